@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import bpe, grammar, media, packing
+from spindrift.llm import bpe, grammar, lines, media, packing, quality, toxicity
 from spindrift.llm.shared import tokenizer_path
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -16,6 +16,15 @@ def op1_bpe_chunks(spark, sf_dir):
     return bpe.digests(_docs(spark, sf_dir), tokenizer_path(WORD_BPE))
 
 
+def _labels(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_quality_attention(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return quality.score(docs, quality.train(docs, _labels(spark, sf_dir)))
+
+
 def op3_media_png(spark, sf_dir):
     return media.digests(_docs(spark, sf_dir))
 
@@ -24,9 +33,29 @@ def op4_pack_squares(spark, sf_dir):
     return packing.pack(_docs(spark, sf_dir), tokenizer_path(BYTE_BPE))
 
 
+def op5_lines_cuckoo(spark, sf_dir):
+    return lines.digests(_docs(spark, sf_dir))
+
+
 def op6_ids_repair(spark, sf_dir):
     return grammar.read(grammar.write(_docs(spark, sf_dir), tokenizer_path(BYTE_BPE)))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_chunks, op3_media_png, op4_pack_squares, op6_ids_repair)}
-ORACLES: dict[str, str] = {}
+def op7_toxicity_zstd(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, _labels(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_chunks, op2_quality_attention, op3_media_png, op4_pack_squares, op5_lines_cuckoo, op6_ids_repair, op7_toxicity_zstd)}
+_LINES_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+l as (select doc_id, i, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as s
+  from (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as i, unnest(string_split(text, chr(10))) as line from d)),
+k as (select doc_id, i, line, case when length(s) >= 40 then translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') end as key from l),
+f as (select key, max(doc_id) as keeper from k where key is not null group by key having count(distinct doc_id) >= 5)
+select doc_id, count(*)::bigint as n_lines, count_if(coalesce(doc_id < keeper, false))::bigint as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not coalesce(doc_id < keeper, false)), '')) as kept_sha256
+from k left join f using (key) group by doc_id
+"""
+
+ORACLES: dict[str, str] = {"op5_lines_cuckoo": _LINES_SQL}
