@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import bpe, grammar, lines, media, packing, quality, toxicity
+from spindrift.llm import bpe, grammar, lines, media, neardup, packing, quality, toxicity
 from spindrift.llm.shared import tokenizer_path
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -46,7 +46,11 @@ def op7_toxicity_zstd(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, _labels(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_chunks, op2_quality_attention, op3_media_png, op4_pack_squares, op5_lines_cuckoo, op6_ids_repair, op7_toxicity_zstd)}
+def op8_neardup_icws(spark, sf_dir):
+    return neardup.classes(_docs(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_chunks, op2_quality_attention, op3_media_png, op4_pack_squares, op5_lines_cuckoo, op6_ids_repair, op7_toxicity_zstd, op8_neardup_icws)}
 _LINES_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
 l as (select doc_id, i, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as s
