@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import bpe, grammar, lines, media, neardup, packing, quality, toxicity
+from spindrift.llm import bpe, grammar, lines, media, neardup, packing, quality, toxicity, urls, winnow
 from spindrift.llm.shared import tokenizer_path
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -50,7 +50,16 @@ def op8_neardup_icws(spark, sf_dir):
     return neardup.classes(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_chunks, op2_quality_attention, op3_media_png, op4_pack_squares, op5_lines_cuckoo, op6_ids_repair, op7_toxicity_zstd, op8_neardup_icws)}
+def op9_urls_as_of(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return urls.active(urls.sample_captures(pages), urls.sample_log(pages))
+
+
+def op10_winnowing(spark, sf_dir):
+    return winnow.edited(_docs(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_chunks, op2_quality_attention, op3_media_png, op4_pack_squares, op5_lines_cuckoo, op6_ids_repair, op7_toxicity_zstd, op8_neardup_icws, op9_urls_as_of, op10_winnowing)}
 _LINES_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
 l as (select doc_id, i, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as s
@@ -62,4 +71,21 @@ select doc_id, count(*)::bigint as n_lines, count_if(coalesce(doc_id < keeper, f
 from k left join f using (key) group by doc_id
 """
 
-ORACLES: dict[str, str] = {"op5_lines_cuckoo": _LINES_SQL}
+_URLS_SQL = r"""
+with parsed as (select page_id, url, nullif(lower(regexp_extract(url, '^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(?:[wW]{3}\.)?([^/?#:@]+)(?::\d*)?(/[^?#]*)?', 1)), '') as host,
+    regexp_extract(url, '^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(?:[wW]{3}\.)?([^/?#:@]+)(?::\d*)?(/[^?#]*)?', 2) as path,
+    timestamp '2024-01-01' + to_days(cast((page_id * 37) % 365 as int)) + to_seconds(page_id % 86400) as fetched_at from pages),
+keyed as (select page_id, fetched_at, unnest(list_distinct(list_concat(
+      list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: 'd:' || array_to_string(string_split(host, '.')[i:], '.')),
+      ['u:' || host || path, 'u:' || host || regexp_extract(path, '^/[^/]*', 0)]))) as key from parsed where host is not null),
+m as (select distinct key, md5(key) as m from keyed where ascii(substr(md5(key), 1, 1)) % 2 = 0),
+e as (select key, ['adult', 'malware', 'spam'][ascii(substr(m, 7, 1)) % 3 + 1] as list, (ascii(substr(m, 2, 1)) * 3 + ascii(substr(m, 3, 1))) % 300 as since,
+    (ascii(substr(m, 2, 1)) * 3 + ascii(substr(m, 3, 1))) % 300 + (ascii(substr(m, 4, 1)) * 7) % 90 + 1 as until, ascii(substr(m, 5, 1)) % 2 = 0 as gone, ascii(substr(m, 6, 1)) % 3 = 0 as back from m),
+iv as (select list, key, timestamp '2024-01-01' + to_days(cast(since as int)) as since, case when gone then timestamp '2024-01-01' + to_days(cast(until as int)) end as until from e
+  union all select list, key, timestamp '2024-01-01' + to_days(cast(until + 20 as int)), null from e where gone and back),
+hit as (select k.page_id, iv.list, k.key from keyed k join iv on k.key = iv.key and k.fetched_at >= iv.since and (iv.until is null or k.fetched_at < iv.until))
+select p.page_id, p.host, count(hit.list)::bigint as n_active, coalesce(string_agg(distinct hit.list, ',' order by hit.list), '') as lists, min(hit.key) as first_key, count(hit.list) > 0 as blocked
+from parsed p left join hit using (page_id) group by p.page_id, p.host
+"""
+
+ORACLES: dict[str, str] = {"op9_urls_as_of": _URLS_SQL, "op5_lines_cuckoo": _LINES_SQL}
