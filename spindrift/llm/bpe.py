@@ -115,7 +115,7 @@ class ChunkCoder:
         cores = [find(k[0][1]) if k[0] else [] for k in fresh.values()]
         joins = {w for row in parts if row for w in row if isinstance(w, str) and w}
         joins = dict(zip(joins, map(find, joins)))
-        table.learn([*cores, *joins.values()])
+        table.turn()
         for (c, k), units in zip(fresh.items(), cores):
             k[1] = self._joined([table[u] for u in units])
             if k[0]:

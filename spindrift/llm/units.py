@@ -32,25 +32,52 @@ KEEPS_SPACE = _pattern(" ?", r"|\s+(?!\S)|\s")
 DROPS_SPACE = _pattern("", "")
 
 
+#: Units that are one piece for the pre-tokenizers, so that the merges alone decide; a tokenizer that drops white space takes digits one by one.
+_ONE_KEEPS = re.compile(f" ?(?:[{_W}]+|[{_P}]+|[0-9]+)").fullmatch
+_ONE_DROPS = re.compile(f"[A-Za-z]+|[{_P}]+|[0-9]").fullmatch
+
+
+def _letters() -> dict[int, int]:
+    """The public byte-level rule: printable bytes stand for themselves, the others for 256, 257, ... in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
 class UnitTable(dict):
     """unit -> value, where value is made from the unit's ids; about 2 * ``room`` entries are kept."""
 
-    def __init__(self, tokenizer, value, room: int):
+    def __init__(self, tokenizer, value, room: int, keeps_space: bool):
         self.tokenizer, self.value, self.room, self.old = tokenizer, value, room, {}
-
-    def learn(self, lists: list[list[str]]) -> None:
-        """Afterwards every unit of the lists has an entry; units that are new are encoded together."""
+        self.one, self.keeps = (_ONE_KEEPS if keeps_space else _ONE_DROPS), keeps_space
+        self.merge, self.letters = tokenizer.model.tokenize, _letters()
+        self.direct = True
+        probes = [" the", "The", " ünd", "...", " (", "7", "École", " 2024", "x", "ſtraße"]
+        self.direct = all(self.ids(p) == self._encoded(p) for p in probes if self.one(p))
+
+    def _encoded(self, unit: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([unit], add_special_tokens=False)[0].ids
+
+    def ids(self, unit: str) -> list[int]:
+        """Through the library's merges alone where they decide, else through all of the library's steps."""
+        if not (self.direct and self.one(unit)):
+            return self._encoded(unit)
+        if self.keeps:
+            unit = unit.encode().decode("latin-1").translate(self.letters)
+        else:
+            unit = unit.lower()
+        return [t.id for t in self.merge(unit)]
+
+    def __missing__(self, unit: str):
+        v = self.old.get(unit)
+        self[unit] = v = self.value(self.ids(unit)) if v is None else v
+        return v
+
+    def turn(self) -> None:
+        """Called now and then: when the table is full, what was not used since the last time is forgotten."""
         if len(self) > self.room:
             self.old = dict(self)
             self.clear()
-        new = set().union(*lists).difference(self)
-        for u in new.intersection(self.old):
-            self[u] = self.old[u]
-        new = list(new.difference(self.old))
-        for i in range(0, len(new), 50_000):
-            some = new[i : i + 50_000]
-            for u, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self[u] = self.value(e.ids)
 
 
 def load(path: str):
@@ -75,7 +102,7 @@ class Encoder:
 
     def __init__(self, path: str, keeps_space: bool, value, room: int = 400_000):
         self.tokenizer = load(path)
-        self.table = UnitTable(self.tokenizer, value, room)
+        self.table = UnitTable(self.tokenizer, value, room, keeps_space)
         self.find = (KEEPS_SPACE if keeps_space else DROPS_SPACE).findall
         self.special = [str(t) for t in (x.content for x in self.tokenizer.get_added_tokens_decoder().values())]
         self.value = value
@@ -87,25 +114,13 @@ class Encoder:
     def whole(self, text: str):
         return self.value(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
-    def encode_all(self, texts, room: int = 1_000_000):
-        """For each text, in order, the list of its units' values. A null counts as empty.
-
-        About ``room`` characters are looked up at a time."""
-        group, size = [], 0
+    def encode_all(self, texts):
+        """For each text, in order, the list of its units' values. A null counts as empty."""
+        find, get = self.find, self.table.__getitem__
         for t in texts:
-            group.append(t or "")
-            size += len(group[-1])
-            if size >= room:
-                yield from self._group(group)
-                group, size = [], 0
-        yield from self._group(group)
-
-    def _group(self, texts: list[str]):
-        lists = [self.find(t) if self.plain(t) else None for t in texts]
-        self.table.learn([x for x in lists if x is not None])
-        get = self.table.__getitem__
-        for t, units in zip(texts, lists):
-            yield [self.whole(t)] if units is None else list(map(get, units))
+            t = t or ""
+            self.table.turn()
+            yield list(map(get, find(t))) if self.plain(t) else [self.whole(t)]
 
 
 def _little(ids: list[int]) -> bytes:
