@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import labelled
-from spindrift.llm.shared import arrow_stage, texts_of
+from spindrift.llm.shared import arrow_stage, keep_rows, texts_of
 from spindrift.llm.words import BY_SPACE, Words, groups
 
 PASSAGE = 64
@@ -109,7 +109,7 @@ class Model:
         return {"out": z.T @ error, "out0": np.array([error.sum()]), "att": (t * g).T @ de, "tan": h.T @ dt, "gate": h.T @ dg, "enc": x.T @ dh, "enc0": dh.sum(0)}
 
 
-def fit(texts: list[str], labels: list[int], hidden: int = 16, gates: int = 8, steps: int = 250, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Model | None:
+def fit(texts: list[str], labels: list[int], hidden: int = 16, gates: int = 8, steps: int = 150, rate: float = 0.03, decay: float = 1e-4, seed: int = 7) -> Model | None:
     """Adam over all bags at once; None where a class is missing."""
     if len(set(labels)) < 2:
         return None
@@ -142,3 +142,8 @@ def score(docs: DataFrame, model: Model | None, folds: int = 5, held_out: int =
 
     scored = arrow_stage(texts_of(docs), rows, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(labelled.remainder("doc_id", folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: Model | None, least: float = 0.3) -> DataFrame:
+    """The documents whose quality score is at least ``least``; all of them without a model."""
+    return docs if model is None else keep_rows(docs, lambda texts: model.scores(texts) >= least)

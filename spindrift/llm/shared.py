@@ -73,6 +73,28 @@ def arrow_stage(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[tuple]]
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(docs: DataFrame, decide: Callable[[list[str]], list[bool]]) -> DataFrame:
+    """The rows for whose text ``decide`` says true, with all their columns; texts are passed some megabytes at a time.
+
+    Rows are filtered where they are read: no join brings the decision back to them."""
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b["text"].to_pylist()]
+            mask, start = [], 0
+            while start < len(texts):
+                end, size = start, 0
+                while end < len(texts) and (size < 1_000_000 or end == start):
+                    size += len(texts[end])
+                    end += 1
+                mask += [bool(x) for x in decide(texts[start:end])]
+                start = end
+            yield b.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public vocabulary file; it is never copied into the repository."""
     import public_tokenizers

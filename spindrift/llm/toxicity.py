@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import labelled
-from spindrift.llm.shared import arrow_stage, texts_of
+from spindrift.llm.shared import arrow_stage, keep_rows, texts_of
 from spindrift.llm.words import BY_LETTER, Words, groups, mix
 
 #: Share of toxic documents that scores are calibrated to.
@@ -199,3 +199,8 @@ def score(docs: DataFrame, model: Model | None, folds: int = 4, held_out: int =
 
     scored = arrow_stage(texts_of(docs), rows, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(labelled.remainder("doc_id", folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: Model | None, least: float = 0.3) -> DataFrame:
+    """The documents whose toxicity score is below ``least``; all of them without a model."""
+    return docs if model is None else keep_rows(docs, lambda texts: model.scores(texts) < least)
