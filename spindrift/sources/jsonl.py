@@ -14,7 +14,7 @@ class CorpusError(ValueError):
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """line (its number in the file, from 1), value. One file is read as one task, which keeps the order; the corpora of benchmarks are small."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     return rows.select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value")).select((F.col("line") + 1).alias("line"), "value").where(T.not_blank("value"))
 
 

@@ -94,7 +94,7 @@ class VectorTable:
         p, fs = self._fs(f"{self.path}/{name}")
         if not fs.exists(p):
             return {}
-        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.path}/{name}").first()[0])
+        return json.loads(self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()[0])
 
     @property
     def pointer(self) -> dict:
