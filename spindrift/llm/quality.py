@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm import labelled
 from spindrift.llm.shared import arrow_stage, keep_rows, texts_of
-from spindrift.llm.words import BY_SPACE, Words, groups
+from spindrift.llm.words import BY_SPACE, Words, groups, slices
 
 PASSAGE = 64
 #: Classes of bytes: upper case, lower case, digits, blanks, line ends, other controls, beyond ASCII; then each ASCII sign.
@@ -113,7 +113,8 @@ def fit(texts: list[str], labels: list[int], hidden: int = 16, gates: int = 8, s
     """Adam over all bags at once; None where a class is missing."""
     if len(set(labels)) < 2:
         return None
-    x, first = passages(texts)
+    parts = [passages(texts[a:b]) for a, b in slices(texts)]
+    x, first = np.concatenate([x for x, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))])
     y, rng = np.array(labels, np.float64), np.random.default_rng(seed)
     shapes = {"enc": (WIDTH, hidden), "enc0": (hidden,), "tan": (hidden, gates), "gate": (hidden, gates), "att": (gates,), "out": (hidden,), "out0": (1,)}
     m = Model(x.mean(0), x.std(0) + 1e-3, {k: rng.normal(size=s) / np.sqrt(s[0]) if k[-1] != "0" else np.zeros(s) for k, s in shapes.items()})

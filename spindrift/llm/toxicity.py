@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm import labelled
 from spindrift.llm.shared import arrow_stage, keep_rows, texts_of
-from spindrift.llm.words import BY_LETTER, Words, groups, mix
+from spindrift.llm.words import BY_LETTER, Words, groups, mix, slices
 
 #: Share of toxic documents that scores are calibrated to.
 PRIOR = 0.25
@@ -106,10 +106,13 @@ class Model:
 
     def evidence(self, texts: list[str]) -> np.ndarray:
         """Of each text, the excess of its windows' gains over the threshold, on a logarithmic scale."""
-        own, n = windows(words(texts))
-        excess = np.maximum(0, self.gains(own) - self.threshold)
-        first, total = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(excess)])
-        return np.log1p(total[first[1:]] - total[first[:-1]])
+        out = [np.zeros(0)]
+        for a, b in slices(texts):
+            own, n = windows(words(texts[a:b]))
+            excess = np.maximum(0, self.gains(own) - self.threshold)
+            first, total = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(excess)])
+            out.append(total[first[1:]] - total[first[:-1]])
+        return np.log1p(np.concatenate(out))
 
     def loss(self, x: np.ndarray, y: np.ndarray) -> float:
         """Cross-entropy of evidence ``x``, with the weights of the classes."""
@@ -134,11 +137,16 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(words' hashes in order, in how many contexts each stands): the word before it, of its first place in each text."""
-    w = words(texts)
-    before = np.concatenate([[np.uint64(0)], w.hash[:-1]]) if len(w.hash) else w.hash
-    before[w.first[:-1][w.first[:-1] < len(before)]] = 0
-    first = np.sort(np.unique(np.column_stack([w.doc.astype(np.uint64), w.hash]), axis=0, return_index=True)[1])
-    pairs = np.unique(np.column_stack([w.hash[first], before[first]]), axis=0)
+    found = [np.zeros((0, 2), np.uint64)]
+    for i, j in slices(texts):
+        w = words(texts[i:j])
+        if not len(w.hash):
+            continue
+        before = np.concatenate([[np.uint64(0)], w.hash[:-1]])
+        before[w.first[:-1][w.first[:-1] < len(before)]] = 0
+        first = np.unique(np.column_stack([w.doc.astype(np.uint64), w.hash]), axis=0, return_index=True)[1]
+        found.append(np.column_stack([w.hash[first], before[first]]))
+    pairs = np.unique(np.concatenate(found), axis=0)
     return np.unique(pairs[:, 0], return_counts=True)
 
 
@@ -167,8 +175,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model | None:
     learn = {v: [i for i in range(len(texts)) if labels[i] == v and part[i]] for v in (0, 1)}
     if not learn[0] or not learn[1]:
         return None
-    common = trained(windows(words([texts[i] for i in learn[0]]))[0], COMMON)
     said = [[texts[i] for i in learn[v]] for v in (0, 1)]
+    common = trained([w for a, b in slices(said[0]) for w in windows(words(said[0][a:b]))[0]], COMMON)
     m = Model(particular(said[1], said[0]) + common, particular(said[0], said[1]) + common)
     rest = [i for i in range(len(texts)) if not part[i]]
     y = np.array([labels[i] for i in rest])

@@ -57,6 +57,18 @@ class Words:
         self.first = np.searchsorted(self.start, self.bounds)  # index of each text's first word; then the number of words
 
 
+def slices(texts: list[str], room: int = 1_000_000):
+    """(first, end) of runs of texts of about ``room`` characters together: arrays for all bytes at once would take some hundred bytes for each."""
+    start = 0
+    while start < len(texts):
+        end, size = start, 0
+        while end < len(texts) and (size < room or end == start):
+            size += len(texts[end])
+            end += 1
+        yield start, end
+        start = end
+
+
 def groups(batches, room: int = 1_000_000, columns: tuple[str, ...] = ("doc_id",)):
     """Lists of rows' ``columns`` and their texts, of about ``room`` characters together."""
     held, texts, size = [], [], 0
