@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import filterfalse
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +27,12 @@ def _bag(words: DataFrame, dims: int) -> DataFrame:
     """key, vector from (key, idx, sign), one row for each word: signed sums, damped, normalized, made dense."""
     sums = words.groupBy("key", "idx").agg(F.sum("sign").alias("c")).where("c <> 0")
     damped = sums.withColumn("w", F.signum("c") * (1 + F.log(F.abs("c"))))
-    packed = damped.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("idx", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))  # dims entries at most
-    return packed.select("key", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i) / F.col("n"), F.lit(0.0)).cast("float")).alias("vector"))
+    packed = damped.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))  # dims entries at most
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k)
+    # each cell with the zeros before it, then the zeros after the last
+    before = lambda x, i: x["idx"] - F.coalesce(F.get("m", i - 1)["idx"], F.lit(-1)) - 1
+    dense = F.concat(F.flatten(F.transform("m", lambda x, i: F.concat(zeros(before(x, i)), F.array(x["w"] / F.col("n"))))), zeros(F.lit(dims - 1) - F.element_at("m", -1)["idx"]))
+    return packed.select("key", dense.cast("array<float>").alias("vector"))
 
 
 def _words(docs: DataFrame, stopwords: list[str]) -> DataFrame:
@@ -56,20 +62,23 @@ _WORD = re.compile(r"\w+")
 _STOP = frozenset(STOPWORDS)
 
 
+@lru_cache(maxsize=200_000)
+def _digest(word: str) -> bytes:
+    return hashlib.blake2b(word.encode(), digest_size=8).digest()
+
+
+#: A word's digest: four bytes choose the cell, the lowest bit of the fifth the sign.
+_DIGEST = np.dtype([("cell", "<u4"), ("sign", "u1"), ("rest", "V3")])
+
+
 def hash_vector(text: str, dims: int) -> list[float]:
     """The hashing model's vector of one text: cells and signs by BLAKE2b of eight bytes."""
-    words = _WORD.findall(text.lower())
-    counts: dict[int, int] = {}
-    for w in [w for w in words if w not in _STOP] or words:
-        h = hashlib.blake2b(w.encode(), digest_size=8).digest()
-        at = int.from_bytes(h[:4], "little") % dims
-        counts[at] = counts.get(at, 0) + (1 if h[4] & 1 else -1)
-    out = [0.0] * dims
-    for at, c in counts.items():
-        if c:
-            out[at] = math.copysign(1 + math.log(abs(c)), c)
-    n = math.sqrt(sum(x * x for x in out)) or 1.0
-    return [x / n for x in out]
+    every = _WORD.findall(text.lower())
+    kept = list(filterfalse(_STOP.__contains__, every)) or every
+    d = np.frombuffer(b"".join(map(_digest, kept)), _DIGEST)
+    sums = np.bincount(d["cell"] % dims, np.where(d["sign"] & 1, 1.0, -1.0), dims)
+    damped = np.sign(sums) * (1 + np.log(np.maximum(np.abs(sums), 1)))
+    return (damped / (np.linalg.norm(damped) or 1)).tolist()
 
 
 def hash_blake(docs: DataFrame, dims: int) -> DataFrame:
