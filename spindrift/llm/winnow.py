@@ -37,7 +37,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str, gram: int = GRAM, windo
     df = df.withColumn(grams, F.when(n >= gram, rolled).when(F.col(text) == "", F.array().cast("array<long>")).otherwise(short))
     count = F.size(grams)
     parts = lambda x, i: [x + (window - 1), *[F.get(F.col(grams), i + k) + (window - 1 - k) for k in range(1, window)]]
-    df = df.withColumn(least, F.transform(F.slice(grams, 1, F.when(count > window, count - (window - 1)).otherwise(F.least(count, F.lit(1)))), lambda x, i: F.least(*parts(x, i))))
+    df = df.withColumn(least, F.transform(F.slice(grams, 1, F.when(count > window, count - (window - 1)).otherwise(F.least(count, F.lit(1)))), lambda x, i: F.least(*parts(x, i)) if window > 1 else x))
     # the next window chooses the same gram exactly if it stands one place further from its right end
     low = lambda x: x.bitwiseAND(F.lit((1 << bits) - 1))
     chosen = F.transform(least, lambda x, i: F.struct((i + (window - 1) - low(x)).cast("int").alias("pos"), F.shiftright(x, bits).alias("hash")))

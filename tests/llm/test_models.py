@@ -87,6 +87,6 @@ def test_compression_tells_known_words():
     rng = np.random.default_rng(0)
     other = rng.integers(1 << 60, size=12, dtype=np.uint64)
     mixed = other.copy()
-    mixed[4] = np.uint64(7) * np.uint64(0x9E3779B97F4A7C15)
+    mixed[4] = (np.arange(1, 30, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[6]
     gains = m.gains([toxicity.codes(other), toxicity.codes(mixed)])
     assert gains[0] <= 1 and gains[1] >= 6
