@@ -127,3 +127,10 @@ def knn_ivf(queries: DataFrame, rows: DataFrame, k: int = 10, lists: int = 16, p
     d = ivf_assign(rows, c, 1).select("key", F.col("vector").alias("dv"), "list_key")
     hits = q.join(d, "list_key").where(F.col("qid") != F.col("key") if exclude_self else F.lit(True))
     return _ranked(hits.select("qid", "key", V.distance("qv", "dv", metric).alias("distance")).where("distance is not null"), k)
+
+
+def sweep(current: int, others: list[int], start: int = 0) -> list[int]:
+    """Search settings to try, the current one among them, beginning elsewhere each time, so that none is always the first to find a cold cache."""
+    every = sorted({current, *others})
+    at = start % len(every)
+    return every[at:] + every[:at]
