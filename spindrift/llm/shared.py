@@ -73,6 +73,30 @@ def arrow_stage(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[tuple]]
     return df.mapInArrow(run, schema)
 
 
+def semi_join(df: DataFrame, key: str, ids: DataFrame, most_words: int = 1 << 18) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is among ``ids`` (one column), which has been stored.
+
+    Rows that surely aren't are left out before anything is shuffled, by a Bloom filter of at least eight
+    bits an id and at most 2 MB. For more ids than that the join does all the work alone."""
+    (name,) = ids.columns
+    ids = ids.distinct().withColumnRenamed(name, "_id")
+    n = ids.count()
+    words = 1024
+    while words * 64 < 16 * n and words < most_words:
+        words *= 2
+    if words * 64 >= 8 * n:
+        place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(words * 64))
+        bits = ids.select(place("_id").alias("h")).groupBy(F.shiftright("h", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b"))
+        held = [0] * words
+        for r in bits.collect():  # as many rows as the filter has words
+            held[r.w] = r.b
+        one = df.sparkSession.createDataFrame([(held,)], "_words array<long>")
+        hit = F.expr("shiftrightunsigned(get(_words, cast(shiftright(_h, 6) as int)), cast(_h & 63 as int)) & 1") == 1
+        names = [F.col(f"`{c}`") for c in df.columns]
+        df = df.withColumn("_h", place(key)).crossJoin(F.broadcast(one)).where(hit).select(*names)  # one row
+    return df.join(ids, F.col(key) == F.col("_id"), "left_semi")
+
+
 def keep_rows(docs: DataFrame, decide: Callable[[list[str]], list[bool]]) -> DataFrame:
     """The rows for whose text ``decide`` says true, with all their columns; texts are passed some megabytes at a time.
 
