@@ -104,6 +104,9 @@ def keep_rows(docs: DataFrame, decide: Callable[[list[str]], list[bool]]) -> Dat
     docs = docs.withColumn("text", F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from spindrift.llm.words import forget_units
+
+        forget_units()
         for b in batches:
             texts = [t or "" for t in b["text"].to_pylist()]
             mask, start = [], 0

@@ -136,19 +136,19 @@ def _small(ids: list[int]) -> bytes:
 
 
 @lru_cache(maxsize=4)
-def id_encoder(path: str) -> Encoder:
-    """One for each worker process. Values are ids as unsigned integers of 16 bits, or of 32 where the vocabulary is larger."""
-    e = Encoder(path, True, _small)
+def id_encoder(path: str, room: int = 400_000) -> Encoder:
+    """One for each worker process and size of its table. Values are ids as unsigned integers of 16 bits, or of 32 where the vocabulary is larger."""
+    e = Encoder(path, True, _small, room)
     if e.tokenizer.get_vocab_size(True) > 65536:
         e.value = e.table.value = _little
     return e
 
 
-def ids_of_all(path: str, texts, end: int | None = None):
+def ids_of_all(path: str, texts, end: int | None = None, room: int = 400_000):
     """For each text its ids as a numpy array, and after them ``end`` where it is given."""
     import numpy as np
 
-    e = id_encoder(path)
+    e = id_encoder(path, room)
     last = b"" if end is None else e.value([end])
     kind = "<u2" if e.value is _small else "<u4"
     for parts in e.encode_all(texts):

@@ -6,6 +6,7 @@ it costs a few array operations a byte whatever the words are.
 
 from __future__ import annotations
 
+import sys
 from functools import lru_cache
 
 import numpy as np
@@ -69,8 +70,15 @@ def slices(texts: list[str], room: int = 1_000_000):
         start = end
 
 
+def forget_units() -> None:
+    """Workers live on from operator to operator: what a tokenizer's operator has kept is given back before other work."""
+    if units := sys.modules.get("spindrift.llm.units"):
+        units.id_encoder.cache_clear()
+
+
 def groups(batches, room: int = 1_000_000, columns: tuple[str, ...] = ("doc_id",)):
     """Lists of rows' ``columns`` and their texts, of about ``room`` characters together."""
+    forget_units()
     held, texts, size = [], [], 0
     for b in batches:
         for i, t in enumerate(b["text"]):
