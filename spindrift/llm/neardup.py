@@ -9,8 +9,10 @@ weighted Jaccard similarity. Three samples make a band; texts that share one of
 
 Texts that are equal are one node. Within a band's bucket nothing is paired with everything: every node
 is compared with one centre of the bucket, the node that meets most others; in further rounds a node that
-is in no centre's class yet is the centre, and is compared with all nodes of other classes. Candidates are verified by their exact weighted Jaccard similarity, from
-their whole texts; verified links are joined to classes by minimum labels.
+was no centre yet is the centre, one in no earlier centre's class if there is any, and is compared with all
+nodes of other classes. A bucket is finished when the nodes that were no centres are of one class.
+Candidates are verified by their exact weighted Jaccard similarity, from their whole texts; verified links
+are joined to classes by minimum labels.
 
 Defined results: equal texts (null counts as empty) are one class; texts without words are only ever in a
 class with equal texts; rows with the same doc_id are one document, so their texts are in one class; a
@@ -209,6 +211,15 @@ def labelled(links: DataFrame, labels: DataFrame | None) -> DataFrame:
         now = following.select("node", "label")
 
 
+def unfinished(in_band: DataFrame, labels: DataFrame, centres: DataFrame) -> DataFrame:
+    """bucket, node, label: of the rows (bucket, node) those that were no centres, in buckets where they are of several classes.
+
+    Whatever pair of a bucket has a centre in it was compared, so all pairs not compared yet are among these."""
+    here = in_band.select("bucket", "node").join(centres, ["bucket", "node"], "left_anti").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    mixed = here.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    return stored(here.join(mixed, "bucket"))
+
+
 def classes(docs: DataFrame, similar: float = SIMILAR, rounds: int = 4) -> DataFrame:
     """doc_id, class_id: one row for each row of ``docs``."""
     weights = idf(word_frequencies(docs))
@@ -230,11 +241,13 @@ def classes(docs: DataFrame, similar: float = SIMILAR, rounds: int = 4) -> DataF
             size = in_band.groupBy("bucket").agg(F.count("node").alias("n"))
             meets = in_band.join(size, "bucket").groupBy("node").agg(F.sum("n").alias("meets"))
             here = in_band.join(meets, "node").select("bucket", "node", F.col("node").alias("label"), F.struct(-F.col("meets"), F.xxhash64("node"), "node").alias("rank"))
-        else:  # afterwards one that is in no earlier centre's class, so that it meets the whole bucket
-            here = in_band.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-            used = centres.join(labels, "node", "left").select("bucket", F.coalesce("label", "node").alias("label"), F.lit(True).alias("used")).distinct()
-            here = here.join(used, ["bucket", "label"], "left").select("bucket", "node", "label", F.when(F.col("used").isNull(), F.struct(F.lit(0).cast("long"), F.xxhash64("node", "bucket", F.lit(k)), "node")).alias("rank"))
-        chosen = here.groupBy("bucket").agg(F.min_by(F.struct("node", "label"), "rank").alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high and c is not null").select("bucket", "c.*")
+        else:  # afterwards one that was no centre, rather of a class that had none
+            in_band = unfinished(in_band, labels, centres)
+            if not in_band.limit(1).count():
+                break
+            used = centres.join(labels, "node", "left").select("bucket", F.coalesce("label", "node").alias("label"), F.lit(1).alias("used")).distinct()
+            here = in_band.join(used, ["bucket", "label"], "left").select("bucket", "node", "label", F.struct(F.coalesce("used", F.lit(0)).cast("long"), F.xxhash64("node", "bucket", F.lit(k)), "node").alias("rank"))
+        chosen = here.groupBy("bucket").agg(F.min_by(F.struct("node", "label"), "rank").alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket", "c.*")
         chosen = stored(chosen.withColumnsRenamed({"node": "centre", "label": "centre_label"}))
         own_centres = chosen.select("bucket", F.col("centre").alias("node"))
         centres = own_centres if centres is None else centres.unionByName(own_centres)
@@ -247,8 +260,6 @@ def classes(docs: DataFrame, similar: float = SIMILAR, rounds: int = 4) -> DataF
         found = stored(found.unionByName(known) if k == 0 else found)
         if k == 0 or found.limit(1).count():
             labels = labelled(found, labels)
-        elif not pairs.limit(1).count():
-            break
     with_node = every.join(nodes.select("h1", "h2", "node"), ["h1", "h2"])
     return with_node.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"))
 

@@ -119,6 +119,25 @@ def test_neardup_of_a_group_of_edits(spark):
     assert {got[d] for d, _ in rows[:121]} == {0} and all(got[d] == d for d, _ in rows[121:])
 
 
+def in_one_bucket(monkeypatch):
+    """All texts share one bucket, and no other."""
+    monkeypatch.setattr(neardup, "bands", lambda drawn: np.zeros((len(drawn), 1), np.int64))
+
+
+def test_neardup_of_versions(spark, monkeypatch):
+    """Each version is near the one before it only: links between nodes of classes that had a centre count too."""
+    in_one_bucket(monkeypatch)
+    # of four versions, the first as the first centre and the last as the second one
+    at = spark.range(400).selectExpr("id", "xxhash64(id) as x", "xxhash64(id, 0L, 1) as y").orderBy("id").collect()
+    start = next(i for i in range(397) if at[i].x == min(r.x for r in at[i : i + 4]) and at[i + 3].y < at[i + 2].y)
+    text, rows = [f"w{i}" for i in range(300)], []
+    for k in range(4):
+        rows.append((start + k, " ".join(text)))
+        text[k * 40 : k * 40 + 20] = [f"v{k}x{i}" for i in range(20)]
+    got = sorted(map(tuple, neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute_classes(rows) and {c for _, c in got} == {start}
+
+
 def test_neardup_odd(spark, odd, empty):
     got = sorted(map(tuple, neardup.classes(odd).collect()), key=str)
     assert got == brute_classes([tuple(r) for r in odd.select("doc_id", "text").collect()])
