@@ -10,7 +10,10 @@ weighted Jaccard similarity. Three samples make a band; texts that share one of
 Texts that are equal are one node. Within a band's bucket nothing is paired with everything: every node
 is compared with one centre of the bucket, the node that meets most others; in further rounds a node that
 was no centre yet is the centre, one in no earlier centre's class if there is any, and is compared with all
-nodes of other classes. A bucket is finished when the nodes that were no centres are of one class.
+nodes of other classes. A bucket is finished when the nodes that were no centres are of one class. What is
+unfinished after four rounds is searched exactly: two texts that are similar enough have in common one of
+their rarest shingles, those that make up a fifth of a text's weight (prefix filter), and all pairs of
+different classes that have are candidates.
 Candidates are verified by their exact weighted Jaccard similarity, from their whole texts; verified links
 are joined to classes by minimum labels.
 
@@ -33,8 +36,8 @@ from spindrift.llm.shared import arrow_stage, semi_join, stored, texts_of
 from spindrift.llm.words import BY_LETTER, Words, groups, mix
 
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 10, 3
-#: Cells of the table of document frequencies.
-CELLS = 1 << 14
+#: Cells of the table of document frequencies, and of that of shingles in the exact search.
+CELLS, RARE_CELLS = 1 << 14, 1 << 17
 _U = np.uint64
 
 
@@ -211,6 +214,49 @@ def labelled(links: DataFrame, labels: DataFrame | None) -> DataFrame:
         now = following.select("node", "label")
 
 
+def rare_shingles(texts: DataFrame, weights: np.ndarray, similar: float) -> DataFrame:
+    """doc_id, weight, shingle: of each text its whole weight, and its rarest shingles until the others weigh less than ``similar`` of it.
+
+    Of two texts that are at least ``similar``, what they share weighs at least that share of either. As
+    shingles are in one order for all texts, the two have one of these in common. The order is by the
+    number of texts, from a table of fixed size, then by the hash."""
+
+    def cells(batches):
+        count = np.zeros(RARE_CELLS, np.int64)
+        for _, own in groups(batches):
+            h, _, _ = shingles(own, weights)
+            count += np.bincount((h % _U(RARE_CELLS)).astype(np.int64), minlength=RARE_CELLS)
+        yield from ((int(i), int(count[i])) for i in np.flatnonzero(count))
+
+    often = np.zeros(RARE_CELLS, np.int64)
+    for r in arrow_stage(texts, cells, "cell int, n long", batch=20_000).groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        often[r.cell] = r.n
+
+    def rows(batches):
+        for ids, own in groups(batches):
+            h, v, first = shingles(own, weights)
+            n = often[(h % _U(RARE_CELLS)).astype(np.int64)]
+            for (d,), a, b in zip(ids, first.tolist(), first[1:].tolist()):
+                order = np.lexsort((h[a:b], n[a:b]))
+                w = v[a:b][order].astype(np.float64)
+                # a little below, for sums of rounded numbers
+                end = int(((w[::-1].cumsum()[::-1]) >= (similar - 1e-4) * w.sum()).sum())
+                yield from ((d, float(w.sum()), x) for x in h[a:b][order][:end].view(np.int64).tolist())
+
+    return arrow_stage(texts, rows, "doc_id long, weight double, shingle long", batch=20_000)
+
+
+def all_similar(rest: DataFrame, texts: DataFrame, weights: np.ndarray, similar: float) -> DataFrame:
+    """(a, b): all pairs of nodes of ``rest`` (node, label) with different labels that can be at least ``similar``."""
+    rare = rare_shingles(semi_join(texts, "doc_id", rest.select("node")), weights, similar).withColumnRenamed("doc_id", "node")
+    rare = stored(rare.join(rest, "node"))
+    mixed = rare.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle")
+    rare = stored(rare.join(mixed, "shingle"))
+    x, y = (rare.select("shingle", F.col("node").alias(n), F.col("label").alias(f"l{n}"), F.col("weight").alias(f"w{n}")) for n in "ab")
+    near = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("wa", "wb") >= (similar - 1e-4) * F.greatest("wa", "wb"))
+    return x.join(y, "shingle").where(near).select("a", "b").distinct()
+
+
 def unfinished(in_band: DataFrame, labels: DataFrame, centres: DataFrame) -> DataFrame:
     """bucket, node, label: of the rows (bucket, node) those that were no centres, in buckets where they are of several classes.
 
@@ -260,6 +306,12 @@ def classes(docs: DataFrame, similar: float = SIMILAR, rounds: int = 4) -> DataF
         found = stored(found.unionByName(known) if k == 0 else found)
         if k == 0 or found.limit(1).count():
             labels = labelled(found, labels)
+    rest = stored(unfinished(in_band, labels, centres).select("node", "label").distinct())
+    if rest.limit(1).count():
+        pairs = stored(all_similar(rest, own, weights, similar).join(tried, ["a", "b"], "left_anti"))
+        found = stored(verified(pairs, own, weights, similar))
+        if found.limit(1).count():
+            labels = labelled(found, labels)
     with_node = every.join(nodes.select("h1", "h2", "node"), ["h1", "h2"])
     return with_node.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"))
 

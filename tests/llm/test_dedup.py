@@ -138,6 +138,28 @@ def test_neardup_of_versions(spark, monkeypatch):
     assert got == brute_classes(rows) and {c for _, c in got} == {start}
 
 
+def test_neardup_of_a_shared_template(spark, monkeypatch):
+    """Many different documents with one template in one bucket, some of them near copies; and edits without their original."""
+    in_one_bucket(monkeypatch)
+    rng = random.Random(3)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    template, base, rows = words(150), words(200), []
+    for i in range(60):
+        own = words(80)
+        rows.append((2 * i, " ".join(template + own)))
+        if i % 3 == 0:
+            own[40] = "edited"
+            rows.append((2 * i + 1, " ".join(template + own)))
+    for i in range(40):
+        t = list(base)
+        for at in rng.sample(range(200), 3):
+            t[at] = f"e{i}"
+        rows.append((1000 + i, " ".join(t)))
+    got = sorted(map(tuple, neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute_classes(rows)
+    assert [d for d, c in got if d < 1000 and d != c] == sorted((2 * i + 1 for i in range(0, 60, 3)), key=str)
+
+
 def test_neardup_odd(spark, odd, empty):
     got = sorted(map(tuple, neardup.classes(odd).collect()), key=str)
     assert got == brute_classes([tuple(r) for r in odd.select("doc_id", "text").collect()])
