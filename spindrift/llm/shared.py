@@ -13,35 +13,63 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or the context's checkpoint folder.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is made and used."""
-    conf = spark.sparkContext.getConf()
-    if not (path := conf.get("spark.checkpoint.dir", None) or getattr(spark, "_spindrift_dir", None)):
-        path = spark._spindrift_dir = f"file://{tempfile.mkdtemp(prefix='spindrift-')}"
-    return path.rstrip("/")
+    Only where neither is set and all runs in one process, as in tests, a temporary folder is made and used."""
+    sc = spark.sparkContext
+    if path := sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or getattr(spark, "_spindrift_dir", None):
+        return path.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark._spindrift_dir = f"file://{tempfile.mkdtemp(prefix='spindrift-')}"
+    return spark._spindrift_dir
 
 
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """The rows of ``df`` as a Parquet table in the shared folder, which cuts the lineage.
 
-    A lost executor loses nothing of it. The table is removed when the application ends."""
+    A lost executor loses nothing of it. The table is removed by discard(), or when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spindrift/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    _remove_at_end(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    atexit.register(_remove, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spindrift_path = path
+    return out
 
 
-def _remove_at_end(spark: SparkSession, path: str) -> None:
-    def remove() -> None:
-        try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # noqa: BLE001  the session is gone; the folder's owner clears it
-            pass
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # noqa: BLE001  the session is gone; the folder's owner clears it
+        pass
 
-    atexit.register(remove)
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes tables made by stored() that nothing reads any more."""
+    for t in tables:
+        if t is not None:
+            _remove(t.sparkSession, t._spindrift_path)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores after it as make it differ from all ``columns`` in Spark's sense."""
+    have = {c.lower() for c in columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def give_back() -> None:
+    """Memory that is free in this worker goes back to the system: workers live on between stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
@@ -49,6 +77,13 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def in_parts(batch: pa.RecordBatch, room: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``room`` bytes (one row at least), so that Python holds few rows at a time whatever their size."""
+    step = max(1, batch.num_rows * room // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def arrow_stage(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[tuple]], schema: str, batch: int = 2000) -> DataFrame:
     """mapInArrow for a generator: ``rows`` gets an iterator of {column: list} and gives tuples in the order of ``schema``."""
     names = [x.split()[0] for x in schema.split(", ")]
@@ -63,51 +98,67 @@ def arrow_stage(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[tuple]]
             held.clear()
             return made
 
-        for row in rows({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in batches):
+        for row in rows({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for whole in batches for b in in_parts(whole)):
             held.append(row)
             if len(held) >= batch:
                 yield out()
         if held:
             yield out()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
-def semi_join(df: DataFrame, key: str, ids: DataFrame, most_words: int = 1 << 18) -> DataFrame:
-    """The rows of ``df`` whose ``key`` is among ``ids`` (one column), which has been stored.
+def maybe_in(df: DataFrame, key: str, ids: DataFrame, most_bits: int = 1 << 24) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with one more column, true for all rows whose ``key`` is among the distinct, stored ``ids`` and for few others; and a
+    function that takes the column off again.
 
-    Rows that surely aren't are left out before anything is shuffled, by a Bloom filter of at least eight
-    bits an id and at most 2 MB. For more ids than that the join does all the work alone."""
+    A Bloom filter of one hash: sixteen bits an id, ``most_bits`` (2 MB) in all. The more ids beyond that, the more
+    other rows pass; callers join what passes, so the filter decides about their work and never about their result."""
     (name,) = ids.columns
-    ids = ids.distinct().withColumnRenamed(name, "_id")
-    n = ids.count()
-    words = 1024
-    while words * 64 < 16 * n and words < most_words:
-        words *= 2
-    if words * 64 >= 8 * n:
-        place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(words * 64))
-        bits = ids.select(place("_id").alias("h")).groupBy(F.shiftright("h", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b"))
-        held = [0] * words
-        for r in bits.collect():  # as many rows as the filter has words
-            held[r.w] = r.b
-        one = df.sparkSession.createDataFrame([(held,)], "_words array<long>")
-        hit = F.expr("shiftrightunsigned(get(_words, cast(shiftright(_h, 6) as int)), cast(_h & 63 as int)) & 1") == 1
-        names = [F.col(f"`{c}`") for c in df.columns]
-        df = df.withColumn("_h", place(key)).crossJoin(F.broadcast(one)).where(hit).select(*names)  # one row
-    return df.join(ids, F.col(key) == F.col("_id"), "left_semi")
+    n, bits = ids.count(), 1 << 16
+    while bits < min(16 * n, most_bits):
+        bits *= 2
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = ids.select(place(F.col(name)).alias("h")).groupBy(F.shiftright("h", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b"))
+    held = [0] * (bits // 64)
+    for r in words.toLocalIterator():  # as many rows as the filter has words
+        held[r.w] = r.b
+    own = list(df.columns)
+    filter_, at, flag = unused(own, "_filter"), unused(own, "_at"), unused(own, "_maybe")
+    one = df.sparkSession.createDataFrame([(held,)], f"{filter_} array<long>")
+    hit = F.expr(f"shiftrightunsigned(get({filter_}, cast(shiftright({at}, 6) as int)), cast({at} & 63 as int)) & 1") == 1
+    out = df.withColumn(at, place(F.col(f"`{key}`"))).crossJoin(F.broadcast(one)).select(*[F.col(f"`{c}`") for c in own], hit.alias(flag))  # one row
+    return out, lambda x: x.select(*[F.col(f"`{c}`") for c in own])
+
+
+def semi_join(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is among ``ids`` (one column, distinct, stored). Rows that surely aren't move nowhere."""
+    marked, plain = maybe_in(df, key, ids)
+    own = unused(df.columns, "_id")
+    return plain(marked.where(F.col(marked.columns[-1]))).join(ids.toDF(own), F.col(f"`{key}`") == F.col(own), "left_semi")
+
+
+def anti_join(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is null or not among ``ids`` (one column, distinct, stored). Rows that surely aren't move nowhere."""
+    marked, plain = maybe_in(df, key, ids)
+    own, flag = unused(df.columns, "_id"), F.col(marked.columns[-1])
+    rest = plain(marked.where(flag)).join(ids.toDF(own), F.col(f"`{key}`") == F.col(own), "left_anti")
+    return plain(marked.where(~flag)).unionByName(rest)
 
 
 def keep_rows(docs: DataFrame, decide: Callable[[list[str]], list[bool]]) -> DataFrame:
     """The rows for whose text ``decide`` says true, with all their columns; texts are passed some megabytes at a time.
 
-    Rows are filtered where they are read: no join brings the decision back to them."""
+    A null text is decided as an empty one and stays null; repeated rows are decided alike; an empty table stays
+    empty. Rows are filtered where they are read: no join brings the decision back to them."""
     docs = docs.withColumn("text", F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from spindrift.llm.words import forget_units
 
         forget_units()
-        for b in batches:
+        for b in (part for whole in batches for part in in_parts(whole)):
             texts = [t or "" for t in b["text"].to_pylist()]
             mask, start = [], 0
             while start < len(texts):
@@ -118,6 +169,7 @@ def keep_rows(docs: DataFrame, decide: Callable[[list[str]], list[bool]]) -> Dat
                 mask += [bool(x) for x in decide(texts[start:end])]
                 start = end
             yield b.filter(pa.array(mask, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -1,7 +1,10 @@
 """Line dedup, near-dedup, winnowing, URL lists and the pipeline against brute force."""
 
 import hashlib
+import math
 import random
+import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -63,31 +66,39 @@ def test_cuckoo_filter():
     assert g.contains_all(table).mean() < 0.1
 
 
-def brute_classes(rows):
-    """rows: (doc_id, text); classes by all pairs that share a shingle."""
+def brute_classes(rows, similar=0.8):
+    """rows: (doc_id, text); classes by all pairs that share a shingle, from the definition alone."""
     texts = [t or "" for _, t in rows]
-    w = neardup._words(texts)
-    n = np.bincount(np.unique(w.doc.astype(np.int64) * neardup.CELLS + (w.hash % np.uint64(neardup.CELLS)).astype(np.int64)) % neardup.CELLS, minlength=neardup.CELLS + 1)
-    n[-1] = len(texts)
-    h, v, first = neardup.shingles(texts, neardup.idf(n))
-    sets = [dict(zip(h[a:b].tolist(), v[a:b].tolist())) for a, b in zip(first, first[1:])]
-    up = list(range(len(rows)))
+    words = [re.findall("[a-z0-9\x80-\U0010ffff]+", t.lower()) for t in texts]
+    often = Counter(w for own in words for w in set(own))
+    idf = {w: 1 + math.log(max(1, min(1000, (len(rows) + 1) / (n + 1)))) / math.log(1000) for w, n in often.items()}
+    sets, at = [], {}
+    for i, own in enumerate(words):
+        grams = [tuple(own[k : k + 5]) for k in range(len(own) - 4)] if len(own) >= 5 else [tuple(own)] if own else []
+        sets.append({g: n * sum(idf[w] for w in g) / len(g) for g, n in Counter(grams).items()})
+        for g in sets[-1]:
+            at.setdefault(g, []).append(i)
+    whole, up = [sum(s.values()) for s in sets], list(range(len(rows)))
 
     def find(x):
         while up[x] != x:
             x = up[x]
         return x
 
+    def link(i, j):
+        up[find(i)] = find(j)
+
+    first = {}
+    for i, (d, _) in enumerate(rows):
+        for k in (("text", texts[i]), ("id", d)) if d is not None else (("text", texts[i]),):
+            link(i, first.setdefault(k, i))
     for i in range(len(rows)):
-        for j in range(i):
+        for j in {j for g in sets[i] for j in at[g] if j < i}:
             a, b = sets[i], sets[j]
-            alike = texts[i] == texts[j] or rows[i][0] is not None and rows[i][0] == rows[j][0]
-            if not alike and a and b and len(a) * 0.35 < len(b) and len(b) * 0.35 < len(a) and a.keys() & b.keys():
-                low = sum(min(a[k], b[k]) for k in a.keys() & b.keys())
-                alike = low / (sum(a.values()) + sum(b.values()) - low) >= 0.8 - 1e-6
-            if alike:
-                x, y = find(i), find(j)
-                up[x] = y
+            if min(whole[i], whole[j]) >= 0.79 * max(whole[i], whole[j]) and find(i) != find(j):
+                low = sum(min(v, b[g]) for g, v in a.items() if g in b)
+                if low / (whole[i] + whole[j] - low) >= similar - 1e-6:
+                    link(i, j)
     ids = {}
     for i, (d, _) in enumerate(rows):
         ids.setdefault(find(i), []).append(d)
@@ -119,28 +130,30 @@ def test_neardup_of_a_group_of_edits(spark):
     assert {got[d] for d, _ in rows[:121]} == {0} and all(got[d] == d for d, _ in rows[121:])
 
 
-def in_one_bucket(monkeypatch):
-    """All texts share one bucket, and no other."""
+def in_one_bucket(monkeypatch, tile):
+    """All texts share one bucket, and no other; ``tile``: weight of the tiles that they are compared in."""
     monkeypatch.setattr(neardup, "bands", lambda drawn: np.zeros((len(drawn), 1), np.int64))
+    monkeypatch.setattr(neardup, "TILE", tile)
 
 
-def test_neardup_of_versions(spark, monkeypatch):
-    """Each version is near the one before it only: links between nodes of classes that had a centre count too."""
-    in_one_bucket(monkeypatch)
-    # of four versions, the first as the first centre and the last as the second one
-    at = spark.range(400).selectExpr("id", "xxhash64(id) as x", "xxhash64(id, 0L, 1) as y").orderBy("id").collect()
-    start = next(i for i in range(397) if at[i].x == min(r.x for r in at[i : i + 4]) and at[i + 3].y < at[i + 2].y)
-    text, rows = [f"w{i}" for i in range(300)], []
-    for k in range(4):
-        rows.append((start + k, " ".join(text)))
-        text[k * 40 : k * 40 + 20] = [f"v{k}x{i}" for i in range(20)]
+@pytest.mark.parametrize("tile", [200_000, 2000])
+def test_neardup_of_versions(spark, monkeypatch, tile):
+    """Each version is near the one before it only: links between nodes that were no centres count too."""
+    in_one_bucket(monkeypatch, tile)
+    rows = []
+    for chain in range(5):
+        text = [f"w{chain}x{i}" for i in range(300)]
+        for k in range(5):
+            rows.append((10 * chain + k, " ".join(text)))
+            text[k * 40 : k * 40 + 20] = [f"v{chain}x{k}x{i}" for i in range(20)]
     got = sorted(map(tuple, neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
-    assert got == brute_classes(rows) and {c for _, c in got} == {start}
+    assert got == brute_classes(rows) and {c for _, c in got} == {0, 10, 20, 30, 40}
 
 
-def test_neardup_of_a_shared_template(spark, monkeypatch):
+@pytest.mark.parametrize("tile", [200_000, 9000])
+def test_neardup_of_a_shared_template(spark, monkeypatch, tile):
     """Many different documents with one template in one bucket, some of them near copies; and edits without their original."""
-    in_one_bucket(monkeypatch)
+    in_one_bucket(monkeypatch, tile)
     rng = random.Random(3)
     words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     template, base, rows = words(150), words(200), []
@@ -160,6 +173,40 @@ def test_neardup_of_a_shared_template(spark, monkeypatch):
     assert [d for d, c in got if d < 1000 and d != c] == sorted((2 * i + 1 for i in range(0, 60, 3)), key=str)
 
 
+def test_products_of_tiles_are_the_similarities():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(5, 60))) for _ in range(40)] + ["", "a b"]
+    weights = neardup.Weights(neardup._words(["a b c"]).hash, np.array([40, 20, 2]), 42)
+    h, v, first = neardup.shingles(texts, weights)
+    sets = [(np.sort(h[i:j]), v[i:j][np.argsort(h[i:j])]) for i, j in zip(first, first[1:])]
+    left, right = np.arange(25), np.arange(20, 42)
+    got = neardup._similarities(*neardup.counted_shingles(texts, weights), left, right)
+    for i, x in enumerate(left):
+        for j, y in enumerate(right):
+            if x != y:  # a text with itself is not asked for
+                want = neardup.weighted_jaccard(sets[x], sets[y]) if len(sets[x][0]) and len(sets[y][0]) else 0
+                assert abs(got[i, j] - want) < 1e-5
+
+
+def test_labels_of_components(spark):
+    rng = random.Random(8)
+    links = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 200)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(80)]
+    rng.shuffle(links)
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            up[y] = x
+    got = dict(map(tuple, neardup.labelled(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == {x: find(x) for x in list(up)}
+
+
 def test_neardup_odd(spark, odd, empty):
     got = sorted(map(tuple, neardup.classes(odd).collect()), key=str)
     assert got == brute_classes([tuple(r) for r in odd.select("doc_id", "text").collect()])
