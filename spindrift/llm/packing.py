@@ -142,7 +142,7 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end: int = 0, with_ids:
                 n += 1
 
         for b in batches:
-            for d, ids in zip(b["doc_id"], ids_of_all(path, b["text"], end, room=200_000)):
+            for d, ids in zip(b["doc_id"], ids_of_all(path, b["text"], end, room=600_000)):
                 yield from told(packer.add((d, len(ids)), ids))
         yield from told(packer.close())
 

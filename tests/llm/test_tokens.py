@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -147,8 +148,34 @@ def test_most_frequent_pair_becomes_the_first_rule():
     ids = np.array([5, 6] * 50 + [7, 8] * 20 + [9])
     ends = np.zeros(len(ids), bool)
     ends[-1] = True
-    _, _, rules, _, _ = grammar.compress(ids, ends, 100, rounds=1)
-    assert rules[0].tolist() == [5, 6]
+    s, _, rules, _, rounds = grammar.compress(ids, ends, 100)
+    assert rules[0].tolist() == [5, 6] and rules[1].tolist() == [7, 8] and rounds[0] == 2
+    assert Counter(zip(s[:-1].tolist(), s[1:].tolist())).most_common(1)[0][1] < 16
+
+
+@pytest.mark.parametrize("kind", ["prose", "runs", "copies"])
+def test_no_frequent_pair_is_left(kind):
+    rng = np.random.default_rng(3)
+    if kind == "prose":
+        docs = [rng.zipf(1.3, 400).clip(0, 900) for _ in range(60)]
+    elif kind == "runs":
+        docs = [np.repeat(rng.integers(0, 4, 30), rng.integers(1, 90, 30)) for _ in range(30)]
+    else:
+        part = rng.integers(0, 50000, 700)
+        docs = [np.concatenate([part[rng.integers(300) :], rng.integers(0, 50000, 20)]) for _ in range(40)]
+    docs = [np.append(d, 0) for d in docs]
+    ids, ends = np.concatenate(docs), np.zeros(sum(map(len, docs)), bool)
+    ends[np.cumsum([len(d) for d in docs]) - 1] = True
+    s, starts, rules, grown, rounds = grammar.compress(ids, ends, 50257)
+    assert np.array_equal(grammar.expand(s, rules, 50257, rounds), ids) and len(rounds) < 60
+    assert np.array_equal(grammar.expand_all(s, rules, grown, 50257, rounds), ids)
+    left, edges = Counter(), [*starts.tolist(), len(s)]
+    for a, b in zip(edges, edges[1:]):
+        k, own = a, s[a:b].tolist()
+        pairs = list(zip(own[:-1], own[1:]))
+        left.update(p for i, p in enumerate(pairs) if i == 0 or p != pairs[i - 1])
+    assert max(left.values(), default=0) < 16
+    assert kind != "copies" or grown.max() > 300
 
 
 def test_id_files(spark, odd, empty, small):
@@ -162,4 +189,7 @@ def test_id_files(spark, odd, empty, small):
             at += len(ids)
         got = grammar.read(grammar.write(docs, BYTE, shard_tokens=5000)).collect()
         assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+        files = grammar.write(docs, BYTE, shard_tokens=5000)
+        some = grammar.documents(files, docs.where("doc_id % 3 = 1").select("doc_id")).collect()
+        assert sorted((r.doc_id, r.n_tokens, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in some) == sorted((d, n, c) for d, _, n, c in want if d is not None and d % 3 == 1)
     assert grammar.read(grammar.write(empty, BYTE)).count() == 0
