@@ -1,13 +1,17 @@
 """Document quality by attention over passages (multiple-instance learning).
 
-A text is a bag of passages of 64 words. Every passage is encoded from its characters and words, by a
-layer that is learned; a gated attention (a tanh branch times a sigmoid branch) weighs the passages; the
+A text is a bag of passages of 64 words. Every passage is encoded from its characters, from statistics of its
+words and from the words themselves (hashed to ``HASHED`` cells), by a layer that is learned; a gated attention (a tanh branch times a sigmoid branch) weighs the passages; the
 weighted mean of their encodings gives the score. All weights are learned from labels of documents, on
 the driver, from a bounded sample (``labelled.SAMPLE`` documents a class); every text is scored whole.
 
+Every text is scored by matrix products of its own passages alone, so equal texts have equal scores whatever
+else is in a batch.
+
 Defined results: a null or empty text is a bag of one passage without words and gets the score that the
-model gives it; an empty table gives an empty table; equal texts have equal scores; without a label of
-one of the classes every score is 0.5; columns other than doc_id and text are left out.
+model gives it; an empty table gives an empty table; equal texts, repeated rows among them, have equal
+scores; texts of any length are scored whole; without a label of one of the classes every score is 0.5;
+columns other than doc_id and text are left out by score() and kept by keep().
 """
 
 from __future__ import annotations
@@ -29,7 +33,9 @@ for _c in range(256):
 for _k, _c in enumerate(c for c in range(33, 127) if not chr(c).isalnum()):
     _CLASS[_c] = 7 + _k
 _N = int(_CLASS.max()) + 1
-WIDTH = _N + 6
+#: Cells of the hashed words of a passage.
+HASHED = 128
+WIDTH = _N + 6 + HASHED
 
 
 def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,8 +67,9 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     fresh[1:] = (h[1:] != h[:-1]) | (p[1:] != p[:-1])
     distinct = np.bincount(p[fresh], minlength=n)
     total = np.maximum(words, 1)
+    hashed = np.bincount(of_word * HASHED + (w.hash % np.uint64(HASHED)).astype(np.int64), minlength=n * HASHED).reshape(n, HASHED)
     more = [np.log1p(words), mean, spread, np.bincount(of_word, same, n) / total, distinct / total, np.log1p(size)]
-    return np.column_stack([np.sqrt(chars / np.maximum(size, 1)[:, None]), *more]).astype(np.float32), first
+    return np.column_stack([np.sqrt(chars / np.maximum(size, 1)[:, None]), *more, np.sqrt(hashed / total[:, None])]).astype(np.float32), first
 
 
 def _sigmoid(x):
@@ -75,11 +82,13 @@ class Model:
     def __init__(self, mean, spread, weights: dict):
         self.mean, self.spread, self.weights = mean, spread, weights
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.spread, -6, 6)
+
     def forward(self, x: np.ndarray, first: np.ndarray):
-        """(scores of the bags, what backward() needs)."""
+        """(scores of the bags, what gradients() needs) from scaled features."""
         k, at = self.weights, first[:-1]
         bag = np.repeat(np.arange(len(at)), np.diff(first))
-        x = np.clip((x - self.mean) / self.spread, -6, 6)
         h = np.tanh(x @ k["enc"] + k["enc0"])
         t, g = np.tanh(h @ k["tan"]), _sigmoid(h @ k["gate"])
         e = (t * g) @ k["att"]
@@ -91,12 +100,20 @@ class Model:
     def attention(self, texts: list[str]) -> list[np.ndarray]:
         """Weights of each text's passages."""
         x, first = passages(texts)
-        a = self.forward(x, first)[1][4]
+        a = self.forward(self.scaled(x), first)[1][4]
         return np.split(a, first[1:-1])
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Rounded, as the last digits of a matrix product depend on what else is in the matrix."""
-        return np.round(self.forward(*passages(texts))[0], 9)
+        """One product a text, as the last digits of a matrix product depend on what else is in the matrix."""
+        k = self.weights
+        x, first = passages(texts)
+        x, out = self.scaled(x), np.empty(len(texts))
+        for i, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist())):
+            h = np.tanh(x[a:b] @ k["enc"] + k["enc0"])
+            e = (np.tanh(h @ k["tan"]) * _sigmoid(h @ k["gate"])) @ k["att"]
+            e = np.exp(e - e.max())
+            out[i] = (e / e.sum()) @ (h @ k["out"])
+        return _sigmoid(out + k["out0"][0])
 
     def gradients(self, kept, error: np.ndarray) -> dict:
         """Of the mean cross-entropy; ``error``: (score - label) / number of bags."""
@@ -120,6 +137,7 @@ def fit(texts: list[str], labels: list[int], hidden: int = 16, gates: int = 8, s
     shapes = {"enc": (WIDTH, hidden), "enc0": (hidden,), "tan": (hidden, gates), "gate": (hidden, gates), "att": (gates,), "out": (hidden,), "out0": (1,)}
     m = Model(x.mean(0), x.std(0) + 1e-3, {k: rng.normal(size=s) / np.sqrt(s[0]) if k[-1] != "0" else np.zeros(s) for k, s in shapes.items()})
     one, two = {k: 0.0 for k in shapes}, {k: 0.0 for k in shapes}
+    x = m.scaled(x)
     for step in range(1, steps + 1):
         p, kept = m.forward(x, first)
         for k, d in m.gradients(kept, (p - y) / len(y)).items():
@@ -147,5 +165,5 @@ def score(docs: DataFrame, model: Model | None, folds: int = 5, held_out: int =
 
 
 def keep(docs: DataFrame, model: Model | None, least: float = 0.3) -> DataFrame:
-    """The documents whose quality score is at least ``least``; all of them without a model."""
+    """The documents whose quality score is at least ``least``, a null text scored as an empty one; all of them without a model."""
     return docs if model is None else keep_rows(docs, lambda texts: model.scores(texts) >= least)

@@ -1,27 +1,33 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic text and one on ordinary text; after each stands
-the same larger ordinary dictionary, so that the two differ in what is particular to them only. Every
-text is cut into windows of twelve words; each window is compressed with both, and the difference of the
-two lengths says which text it is nearer to.
-
-What is compressed is spelled with a code of 16 bytes for each word, made from its hash. In plain letters
-pointing into a dictionary costs zstandard about as much as a short word, so that a known word would save
-nothing, and words that share syllables with toxic ones would save as much; with codes a word that one of
-the dictionaries has saves some ten bytes there, and no other word saves any.
-
-A document label doesn't say which of its words are toxic, and most are not. So the toxic dictionary is
-trained on words that toxic documents have in many contexts (so that copies of one passage count once)
-and ordinary documents of the sample hardly ever; the ordinary one the other way round. A threshold on
-the difference, calibrated on documents kept from the dictionaries, turns windows into evidence, and the
-score is a logistic function of the evidence of all windows of the text.
-
-Dictionaries and thresholds are fitted on the driver to a bounded sample of labelled documents
-(``labelled.SAMPLE`` a class); every text is scored whole.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A text is cut into windows
+of twelve words, and each window is compressed twice: with the ordinary dictionary alone, and with the
+toxic one before it. The second length is the shorter one where the window says what toxic text says and
+ordinary text doesn't. The score is a logistic function of how far, over all windows of the text, that
+gain exceeds a threshold, and of the number of windows, as chance gains grow with it. Threshold, logistic
+function and the size of the toxic dictionary are calibrated on documents that no dictionary has seen;
+then the dictionaries are trained again on all documents of the sample.
+
+What is compressed is spelled with sixteen bytes for each word: eight that stand for its first letters,
+eight for the whole word. In plain letters a pointer into a dictionary costs zstandard about as much as a
+short word, so a known word would save nothing, and words that share syllables with toxic ones would save
+as much (measured). Spelled so, a window's first known word saves six bytes, a further one twelve, and a known
+stem four beside a known word.
+
+A document's label doesn't say which of its words are toxic, and most are not. So the toxic dictionary is
+trained on toxic windows without the words that ordinary text has: what stays are words or stems with
+``ODDS`` times as many contexts a document as in ordinary text, three at least, so that copies of one
+passage count once. The ordinary dictionary is trained on whole windows. Both come from zstandard's own
+trainer, in every case in which it accepts the samples; it refuses only a handful of windows, and then
+these are the dictionary.
+
+Dictionaries are fitted on the driver to a bounded sample of labelled documents (``labelled.SAMPLE`` a
+class, of each at most ``labelled.LONGEST`` characters in slices of the whole); every text is scored whole.
 
 Defined results: a null or empty text has no windows, so no evidence; an empty table gives an empty
-table; equal texts have equal scores; without a label of one of the classes every score is 0; columns
-other than doc_id and text are left out.
+table; equal texts, repeated rows among them, have equal scores; texts of any length are scored whole;
+without a label of one of the classes every score is 0; columns other than doc_id and text are left out
+by score() and kept by keep().
 """
 
 from __future__ import annotations
@@ -34,62 +40,93 @@ from pyspark.sql import functions as F
 
 from spindrift.llm import labelled
 from spindrift.llm.shared import arrow_stage, keep_rows, texts_of
-from spindrift.llm.words import BY_LETTER, Words, groups, mix, slices
+from spindrift.llm.words import BY_LETTER, Words, groups, slices
 
 #: Share of toxic documents that scores are calibrated to.
-PRIOR = 0.25
-#: Words to a window.
-WINDOW = 12
-#: Bytes of a class's own dictionary, and of the ordinary one that both compressors have after it.
-DICTIONARY, COMMON = 16_384, 65_536
-
-
-def words(texts: list[str]) -> Words:
-    return Words([t.lower() for t in texts], BY_LETTER)
-
+PRIOR = 0.2
+#: Words to a window; bytes to a stem.
+WINDOW, STEM = 12, 6
+#: How much oftener toxic text must have a word for the toxic dictionary to be trained on it.
+ODDS = 25
+#: Bytes of the ordinary dictionary, and of the toxic one, of which calibration takes one.
+ORDINARY, TOXIC = 131_072, (512, 1024, 2048, 4096, 8192)
+
+
+class Spelled:
+    """Texts as symbols: ``codes`` has two for each word, its stem's and its own; ``first``: index of each text's first word."""
+
+    def __init__(self, texts: list[str]):
+        w = Words([t.lower() for t in texts], BY_LETTER, STEM)
+        self.first, self.doc = w.first, w.doc
+        self.codes = np.column_stack([w.stem, w.hash ^ np.uint64(0x5555)])
+
+    def windows(self) -> tuple[list[bytes], np.ndarray]:
+        """(all windows of the texts, number of windows of each text)."""
+        data, out = self.codes.tobytes(), []
+        for a, b in zip(self.first.tolist(), self.first[1:].tolist()):
+            out += [data[16 * i : 16 * min(i + WINDOW, b)] for i in range(a, b, WINDOW)]
+        return out, -(-np.diff(self.first) // WINDOW)
+
+    def contexts(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For stems, then for words: (codes in order, in how many contexts each stands). A context is the word before."""
+        before = np.concatenate([np.zeros(1, np.uint64), self.codes[:-1, 1]])[: len(self.codes)]
+        heads = self.first[:-1]
+        before[heads[heads < len(before)]] = 0
+        pairs = [np.unique(np.column_stack([self.codes[:, k], before]), axis=0) for k in (0, 1)]
+        return [np.unique(p[:, 0], return_counts=True) for p in pairs]
+
+
+def _often(table: tuple[np.ndarray, np.ndarray], codes: np.ndarray) -> np.ndarray:
+    have, n = table
+    if not len(have):
+        return np.zeros(len(codes), np.int64)
+    at = np.minimum(np.searchsorted(have, codes), len(have) - 1)
+    return np.where(have[at] == codes, n[at], 0)
+
+
+def particular(own: Spelled, other: Spelled, odds: float = ODDS, least: int = 3) -> list[bytes]:
+    """The windows of ``own``, each once, without the words that ``other`` has too often."""
+    n, m = max(1, len(own.first) - 1), max(1, len(other.first) - 1)
+    keep = np.zeros(len(own.codes), bool)
+    for k, (a, b) in enumerate(zip(own.contexts(), other.contexts())):
+        here, there = _often(a, own.codes[:, k]), _often(b, own.codes[:, k])
+        keep |= (here >= least) & (here / n >= odds * (there + 0.5) / m)
+    out = []
+    for a, b in zip(own.first.tolist(), own.first[1:].tolist()):
+        for i in range(a, b, WINDOW):
+            at = i + np.flatnonzero(keep[i : min(i + WINDOW, b)])
+            if len(at):
+                out.append(own.codes[at].tobytes())
+    return list(dict.fromkeys(out))
 
-def codes(hashes: np.ndarray) -> bytes:
-    """Sixteen bytes for each word."""
-    return np.column_stack([hashes, mix(hashes + np.uint64(1))]).tobytes()
 
+def trained(samples: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary of ``size`` bytes; where the trainer refuses the samples, as too few, the samples themselves."""
+    import zstandard as z
 
-def windows(w: Words) -> tuple[list[bytes], np.ndarray]:
-    """(all windows of the texts, number of windows of each text)."""
-    data = codes(w.hash)
-    n = np.diff(w.first)
-    out = []
-    for a, b in zip(w.first.tolist(), w.first[1:].tolist()):
-        out += [data[16 * i : 16 * min(i + WINDOW, b)] for i in range(a, b, WINDOW)]
-    return out, -(-n // WINDOW)
+    try:
+        d = z.train_dictionary(size, samples, k=16, d=8).as_bytes()
+    except z.ZstdError:
+        d = b"".join(samples)
+    return d[-size:].rjust(size, b"\0")
 
 
 def _compressor(dictionary: bytes):
     import zstandard as z
 
     d = z.ZstdCompressionDict(dictionary, dict_type=z.DICT_TYPE_RAWCONTENT)
-    params = z.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=3, min_match=6, target_length=32, strategy=z.STRATEGY_LAZY, write_content_size=0, write_checksum=0, write_dict_id=0, format=z.FORMAT_ZSTD1_MAGICLESS)
+    params = z.ZstdCompressionParameters(window_log=18, hash_log=17, chain_log=17, search_log=3, min_match=6, target_length=32, strategy=z.STRATEGY_LAZY, write_content_size=0, write_checksum=0, write_dict_id=0, format=z.FORMAT_ZSTD1_MAGICLESS)
     d.precompute_compress(compression_params=params)
     return z.ZstdCompressor(dict_data=d, compression_params=params)
 
 
-def trained(samples: list[bytes], size: int) -> bytes:
-    """The content of a zstandard dictionary; where there is too little to train one, the samples themselves."""
-    import zstandard as z
-
-    try:
-        d = z.train_dictionary(size, samples, k=64, d=8).as_bytes()
-    except z.ZstdError:
-        d = b"".join(samples)
-    return d[-size:].rjust(size)
-
-
 @dataclass
 class Model:
     toxic: bytes
     ordinary: bytes
     threshold: float = 0.0
-    slope: float = 1.0
-    base: float = -1.0
+    #: Weights of the evidence, of the logarithm of the number of windows, and of one.
+    weights: tuple[float, float, float] = (1.0, 0.0, -1.0)
 
     def __post_init__(self):
         self._pair = None
@@ -98,99 +135,85 @@ class Model:
         return self.__dict__ | {"_pair": None}
 
     def gains(self, own: list[bytes]) -> np.ndarray:
-        """For each window, how many bytes shorter it is with the toxic dictionary."""
+        """For each window, how many bytes shorter it is with the toxic dictionary before the ordinary one."""
         if self._pair is None:
-            self._pair = _compressor(self.toxic).compress, _compressor(self.ordinary).compress
+            self._pair = _compressor(self.toxic + self.ordinary).compress, _compressor(bytes(len(self.toxic)) + self.ordinary).compress
         a, b = self._pair
         return np.fromiter((len(b(w)) - len(a(w)) for w in own), np.int16, len(own))
 
-    def evidence(self, texts: list[str]) -> np.ndarray:
-        """Of each text, the excess of its windows' gains over the threshold, on a logarithmic scale."""
-        out = [np.zeros(0)]
+    def evidence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(gains of all windows, number of windows of each text)."""
+        gains, count = [np.zeros(0, np.int16)], [np.zeros(0, np.int64)]
         for a, b in slices(texts):
-            own, n = windows(words(texts[a:b]))
-            excess = np.maximum(0, self.gains(own) - self.threshold)
-            first, total = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(excess)])
-            out.append(total[first[1:]] - total[first[:-1]])
-        return np.log1p(np.concatenate(out))
+            own, n = Spelled(texts[a:b]).windows()
+            gains.append(self.gains(own))
+            count.append(n)
+        return np.concatenate(gains), np.concatenate(count)
+
+    def features(self, gains: np.ndarray, count: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(np.maximum(0, gains - self.threshold))])
+        end = np.cumsum(count)
+        return np.column_stack([np.log1p(total[end] - total[end - count]), np.log1p(count), np.ones(len(count))])
 
-    def loss(self, x: np.ndarray, y: np.ndarray) -> float:
-        """Cross-entropy of evidence ``x``, with the weights of the classes."""
-        p = np.clip(1 / (1 + np.exp(-np.clip(self.base + self.slope * x, -30, 30))), 1e-6, 1 - 1e-6)
-        return float(-PRIOR * np.log(p[y == 1]).mean() - (1 - PRIOR) * np.log(1 - p[y == 0]).mean())
+    def probabilities(self, features: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(features @ np.array(self.weights), -30, 30)))
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.base + self.slope * self.evidence(texts), -30, 30)))
+        return self.probabilities(self.features(*self.evidence(texts)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(slope, base) by Newton's method with a little shrinkage; toxic documents weigh a quarter of all."""
-    a = np.column_stack([x, np.ones(len(x))])
-    w, weight = np.zeros(2), np.where(y == 1, PRIOR / max(1, (y == 1).sum()), (1 - PRIOR) / max(1, (y == 0).sum()))
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights by Newton's method with a little shrinkage."""
+    w = np.zeros(x.shape[1])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (weight * (p - y)) + 1e-4 * w
-        h = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-4 * np.eye(2)
-        w -= np.linalg.solve(h, g)
-    return float(w[0]), float(w[1])
-
-
-def contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(words' hashes in order, in how many contexts each stands): the word before it, of its first place in each text."""
-    found = [np.zeros((0, 2), np.uint64)]
-    for i, j in slices(texts):
-        w = words(texts[i:j])
-        if not len(w.hash):
-            continue
-        before = np.concatenate([[np.uint64(0)], w.hash[:-1]])
-        before[w.first[:-1][w.first[:-1] < len(before)]] = 0
-        first = np.unique(np.column_stack([w.doc.astype(np.uint64), w.hash]), axis=0, return_index=True)[1]
-        found.append(np.column_stack([w.hash[first], before[first]]))
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return np.unique(pairs[:, 0], return_counts=True)
-
-
-def particular(own: list[str], other: list[str], share: float = 0.01, odds: float = 15) -> bytes:
-    """A dictionary trained on what a class says and the other hardly ever: words that stand in at least three contexts
-    and in as many as ``share`` of its texts, ``odds`` times as often as in the other class."""
-    (a, n), (b, m) = contexts(own), contexts(other)
-    at = np.minimum(np.searchsorted(b, a), max(0, len(b) - 1))
-    there = np.where(b[at] == a, m[at], 0) if len(b) else np.zeros(len(a))
-    ok = (n >= max(3, share * len(own))) & (n / len(own) >= odds * (there + 0.5) / len(other))
-    order = np.argsort(n[ok], kind="stable")
-    chosen, often = a[ok][order], n[ok][order]
-    if 16 * len(chosen) <= DICTIONARY:
-        return codes(chosen).rjust(DICTIONARY)  # all of it fits
-    return trained([codes(chosen[i : i + 1]) for i in range(len(chosen)) for _ in range(int(often[i]))], DICTIONARY)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(len(w))
+        w -= np.linalg.solve(h, x.T @ (weight * (p - y)) + 1e-4 * w)
+    return w
+
+
+def calibrated(model: Model, gains: np.ndarray, count: np.ndarray, y: np.ndarray) -> tuple[float, Model]:
+    """(loss, the model with the threshold and weights of the least cross-entropy); toxic documents weigh ``PRIOR`` of all."""
+    weight = np.where(y == 1, PRIOR / max(1, (y == 1).sum()), (1 - PRIOR) / max(1, (y == 0).sum()))
+    best = np.inf, model
+    for threshold in range(13):
+        m = Model(model.toxic, model.ordinary, threshold)
+        x = m.features(gains, count)
+        w = _logistic(x, y, weight)
+        if w[1] > 0:  # length alone is no evidence
+            w = np.insert(_logistic(x[:, [0, 2]], y, weight), 1, 0.0)
+        m.weights = tuple(w.tolist())
+        p = np.clip(m.probabilities(x), 1e-6, 1 - 1e-6)
+        loss = float(-(weight * np.where(y == 1, np.log(p), np.log(1 - p))).sum())
+        best = min(best, (loss, m), key=lambda b: b[0])
+    return best
+
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[list[bytes], bytes]:
+    """(toxic dictionaries of all sizes, the ordinary one)."""
+    a, b = Spelled(toxic), Spelled(ordinary)
+    samples = particular(a, b)
+    return [trained(samples, size) for size in TOXIC], trained(list(dict.fromkeys(b.windows()[0])), ORDINARY)
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model | None:
     """None where a class is missing.
 
-    A third of the documents is kept from the dictionaries, to calibrate the threshold and the score."""
+    A third of the documents is kept from the first dictionaries, to calibrate on."""
     if len(set(labels)) < 2:
         return None
-    rng = np.random.default_rng(seed)
-    part = rng.permutation(len(texts)) % 3
-    learn = {v: [i for i in range(len(texts)) if labels[i] == v and part[i]] for v in (0, 1)}
-    if not learn[0] or not learn[1]:
-        return None
-    said = [[texts[i] for i in learn[v]] for v in (0, 1)]
-    common = trained([w for a, b in slices(said[0]) for w in windows(words(said[0][a:b]))[0]], COMMON)
-    m = Model(particular(said[1], said[0]) + common, particular(said[0], said[1]) + common)
-    rest = [i for i in range(len(texts)) if not part[i]]
-    y = np.array([labels[i] for i in rest])
-    if len(set(y.tolist())) < 2:
-        return m
-    best = np.inf
-    for threshold in range(13):
-        t = Model(m.toxic, m.ordinary, threshold)
-        x = t.evidence([texts[i] for i in rest])
-        t.slope, t.base = _logistic(x, y)
-        loss = t.loss(x, y)
-        if loss < best:
-            best, m = loss, t
-    return m
+    y, part = np.array(labels), np.random.default_rng(seed).permutation(len(texts)) % 3
+    of = lambda ok: [t for t, x in zip(texts, ok) if x]
+    toxic, ordinary = dictionaries(of((y == 1) & (part > 0)), of((y == 0) & (part > 0)))
+    best = np.inf, None, 0
+    if len(set(y[part == 0].tolist())) == 2:
+        for k, d in enumerate(toxic):
+            m = Model(d, ordinary)
+            loss, m = calibrated(m, *m.evidence(of(part == 0)), y[part == 0])
+            best = min(best, (loss, m, k), key=lambda b: b[0])
+    m, k = best[1] or Model(toxic[0], ordinary), best[2]
+    toxic, ordinary = dictionaries(of(y == 1), of(y == 0))
+    return Model(toxic[k], ordinary, m.threshold, m.weights)
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, most: int = labelled.SAMPLE) -> Model | None:
@@ -210,5 +233,5 @@ def score(docs: DataFrame, model: Model | None, folds: int = 4, held_out: int =
 
 
 def keep(docs: DataFrame, model: Model | None, least: float = 0.3) -> DataFrame:
-    """The documents whose toxicity score is below ``least``; all of them without a model."""
+    """The documents whose toxicity score is below ``least``, a null text scored as an empty one; all of them without a model."""
     return docs if model is None else keep_rows(docs, lambda texts: model.scores(texts) < least)

@@ -40,9 +40,10 @@ for _c in range(256):
 
 
 class Words:
-    """``data``: bytes of the texts, one line end after each; ``start``, ``end``, ``doc``, ``hash``: of each word."""
+    """``data``: bytes of the texts, one line end after each; ``start``, ``end``, ``doc``, ``hash``: of each word;
+    on demand ``stem``: the hash of its first ``stem`` bytes."""
 
-    def __init__(self, texts: list[str], kind: np.ndarray):
+    def __init__(self, texts: list[str], kind: np.ndarray, stem: int = 0):
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         self.data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
         self.bounds = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])]).astype(np.int64)
@@ -55,6 +56,9 @@ class Words:
         up, down = _powers(n)
         run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mapped * up[: len(mapped)])])
         self.hash = mix((run[self.end] - run[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        if stem:
+            cut = np.minimum(self.end, self.start + stem)
+            self.stem = mix((run[cut] - run[self.start]) * down[self.start] + (cut - self.start).astype(np.uint64))
         self.first = np.searchsorted(self.start, self.bounds)  # index of each text's first word; then the number of words
 
 

@@ -1,10 +1,13 @@
 """Classifiers: gradients, held-out accuracy, awkward inputs."""
 
+import math
+import random
 import zlib
 
 import numpy as np
+import pytest
 
-from spindrift.llm import quality, queries, toxicity
+from spindrift.llm import labelled, quality, queries, toxicity
 from tests.llm.conftest import ODD
 
 MEDIUM = "/root/testdata/sf0.1"
@@ -31,8 +34,96 @@ def test_quality_held_out(spark):
 
 def test_toxicity_held_out(spark):
     rows = queries.op7_toxicity_zstd(spark, MEDIUM).collect()
-    own = check_held_out(rows, truth(spark, "toxic"), 4, 2, 0.9)
-    assert sum(a for a, b in own if b) / sum(b for _, b in own) > 0.85
+    own = check_held_out(rows, truth(spark, "toxic"), 4, 2, 0.93)
+    assert sum(a for a, b in own if b) / sum(b for _, b in own) > 0.87
+    assert sum(a for a, b in own if not b) / sum(not b for _, b in own) < 0.06
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", MEDIUM])
+def test_both_dictionaries_are_trained(spark, monkeypatch, sf):
+    import zstandard
+
+    calls, real = [], zstandard.train_dictionary
+
+    def spy(size, samples, **more):
+        d = real(size, samples, **more)
+        calls.append((size, d.as_bytes()))
+        return d
+
+    monkeypatch.setattr(zstandard, "train_dictionary", spy)
+    texts, y = labelled.sample(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), "toxic", 4, 2)
+    m = toxicity.fit(texts, y)
+    last = {size: d for size, d in calls}
+    assert last[len(m.toxic)].rjust(len(m.toxic), b"\0") == m.toxic and len(m.toxic.lstrip(b"\0")) > 200
+    assert last[len(m.ordinary)].rjust(len(m.ordinary), b"\0") == m.ordinary and len(m.ordinary.lstrip(b"\0")) > 10_000
+
+
+def test_toxicity_by_plain_loops():
+    """Windows, compressed lengths, evidence and scores against a loop over words."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 8)))
+    bad, common = [word() + "x" for _ in range(9)], [word() for _ in range(300)]
+    texts = [" ".join(rng.choice(bad) if k % 2 and rng.random() < 0.1 else rng.choice(common) for _ in range(rng.randint(20, 200))) for k in range(300)]
+    m = toxicity.fit(texts, [k % 2 for k in range(300)])
+
+    def symbols(w):
+        own = toxicity.Spelled([w]).codes
+        assert len(own) == 1
+        return own[0].tobytes()
+
+    table = {w: symbols(w) for w in bad + common}
+    got = m.scores([*texts, "", *texts[:3]])
+    for t, s in zip([*texts, "", *texts[:3]], got):
+        own, total, n = t.split(), 0.0, 0
+        for i in range(0, len(own), toxicity.WINDOW):
+            w = b"".join(table[x] for x in own[i : i + toxicity.WINDOW])
+            shorter = len(toxicity._compressor(b"\0" * len(m.toxic) + m.ordinary).compress(w)) - len(toxicity._compressor(m.toxic + m.ordinary).compress(w)) if n < 3 else int(m.gains([w])[0])
+            total, n = total + max(0, shorter - m.threshold), n + 1
+        z = m.weights[0] * math.log1p(total) + m.weights[1] * math.log1p(n) + m.weights[2]
+        assert abs(s - 1 / (1 + math.exp(-z))) < 1e-9
+    assert got[:3].tolist() == got[-3:].tolist()
+    assert sum((got[k] >= 0.3) == k % 2 for k in range(300)) > 290
+
+
+def test_quality_by_plain_loops():
+    good, bad = "the quick brown fox jumps over lazy dogs " * 20, "BUY!! NOW!! " * 100
+    texts = [good, bad, good + bad, "", "x"] * 2
+    m = quality.fit(texts, [1, 0, 1, 0, 1] * 2, steps=30)
+    x, first = quality.passages(texts)
+    k = {n: v.tolist() for n, v in m.weights.items()}
+    dot = lambda a, b: sum(p * q for p, q in zip(a, b))
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    columns = lambda w: list(zip(*w))
+    got = m.scores(texts)
+    for i in range(5):
+        hs, es = [], []
+        for row in x[first[i] : first[i + 1]]:
+            own = [min(6, max(-6, (v - mu) / sd)) for v, mu, sd in zip(row.tolist(), m.mean.tolist(), m.spread.tolist())]
+            h = [math.tanh(dot(own, c) + b) for c, b in zip(columns(k["enc"]), k["enc0"])]
+            es.append(dot([math.tanh(dot(h, c)) * sigmoid(dot(h, g)) for c, g in zip(columns(k["tan"]), columns(k["gate"]))], k["att"]))
+            hs.append(h)
+        weights = [math.exp(e - max(es)) for e in es]
+        z = [sum(a / sum(weights) * h[j] for a, h in zip(weights, hs)) for j in range(len(hs[0]))]
+        assert abs(sigmoid(dot(z, k["out"]) + k["out0"][0]) - got[i]) < 1e-5
+    assert np.allclose(m.forward(m.scaled(x), first)[0], got, atol=1e-6)
+
+
+def test_equal_texts_have_equal_scores_in_any_batch():
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choices("abcdeABC!", k=5)) for _ in range(rng.randint(0, 700))) for _ in range(60)]
+    m = quality.fit(texts, [k % 2 for k in range(60)], steps=20)
+    alone = [m.scores([t])[0] for t in texts]
+    assert m.scores(texts).tolist() == alone and m.scores(texts[::-1]).tolist() == alone[::-1]
+
+
+def test_samples_of_long_texts_are_slices_of_the_whole(spark):
+    text = " ".join(f"w{i}" for i in range(40_000))
+    docs = spark.createDataFrame([(1, text), (2, "short"), (3, None), (2, "short"), (5, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
+    texts, _ = labelled.sample(docs, labels, "toxic", 1000, 1001)
+    (long,) = [t for t in texts if len(t) > 10]
+    assert sorted(len(t) for t in texts)[:2] == [0, 5] and len(texts) == 3 and len(long) <= labelled.LONGEST + 8
+    assert long.startswith("w0 ") and long.endswith("w39999") and "w20" in long
 
 
 def test_quality_gradients_and_attention():
@@ -40,7 +131,7 @@ def test_quality_gradients_and_attention():
     texts, y = [good, bad, good + bad, "", "x"] * 2, np.array([1, 0, 1, 0, 1] * 2, float)
     m = quality.fit(texts, y.astype(int).tolist(), steps=30)
     x, first = quality.passages(texts)
-    p, kept = m.forward(x, first)
+    p, kept = m.forward(m.scaled(x), first)
     g = m.gradients(kept, (p - y) / len(y))
     for name, w in m.weights.items():
         at = (0,) * w.ndim
@@ -48,7 +139,7 @@ def test_quality_gradients_and_attention():
         loss = []
         for step in (1e-5, -1e-5):
             w[at] = was + step
-            q = m.forward(x, first)[0]
+            q = m.forward(m.scaled(x), first)[0]
             loss.append(-(y * np.log(q) + (1 - y) * np.log(1 - q)).mean())
         w[at] = was
         assert abs((loss[0] - loss[1]) / 2e-5 - g[name][at]) < 1e-4
@@ -82,11 +173,12 @@ def test_odd_and_empty(spark, odd, empty):
 
 
 def test_compression_tells_known_words():
-    own = toxicity.codes(np.arange(1, 30, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    m = toxicity.Model(own.rjust(toxicity.DICTIONARY), b"".rjust(toxicity.DICTIONARY))
     rng = np.random.default_rng(0)
-    other = rng.integers(1 << 60, size=12, dtype=np.uint64)
-    mixed = other.copy()
-    mixed[4] = (np.arange(1, 30, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[6]
-    gains = m.gains([toxicity.codes(other), toxicity.codes(mixed)])
-    assert gains[0] <= 1 and gains[1] >= 6
+    own = rng.integers(1 << 60, size=(30, 2), dtype=np.uint64)
+    m = toxicity.Model(own.tobytes().rjust(1024, b"\0"), bytes(toxicity.ORDINARY))
+    other = rng.integers(1 << 60, size=(12, 2), dtype=np.uint64)
+    one, two, stem = other.copy(), other.copy(), other.copy()
+    one[4] = two[4] = stem[4] = own[6]
+    two[8], stem[8, 0] = own[2], own[2, 0]
+    none, first, both, half = m.gains([x.tobytes() for x in (other, one, two, stem)]).tolist()
+    assert none == 0 and first >= 5 and both - first >= 10 and 2 <= half - first < both - first
