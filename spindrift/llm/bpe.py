@@ -1,11 +1,12 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 Every text is cut into chunks where a rolling hash of its last 16 characters meets a pattern, so equal
-passages give equal chunks wherever they stand. A chunk that was seen before is not encoded again.
-Encoded chunks are then joined: what stands between the last white space of one chunk and the first of
-the next belongs to both, so it is encoded anew, in a window that grows by whole chunks until it begins
-and ends at white space. There the ids on both sides agree with those of the whole text, because the
-tokenizers used never merge across a blank or a line end.
+passages give equal chunks wherever they stand. A chunk that was seen before is not encoded again. What
+stands between the last white space of one chunk and the first of the next is a join; it is encoded anew,
+in a window that grows by whole chunks until it begins and ends at white space. Then the window and the
+word on either side of it are encoded once more in one piece, by the library, and must agree with what the
+chunks and the join say of them, id by id; a text with a join that doesn't agree is encoded whole. So the
+ids are exact for tokenizers that merge across blanks, too; such just reuse nothing.
 
 Reuse is within a worker process, in a table of bounded size. Sharing chunks between all machines would
 need a shuffle of all texts, which moves more bytes than the encoding of the repeated part costs.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -28,6 +30,7 @@ from spindrift.llm.shared import arrow_stage, texts_of
 from spindrift.llm.units import Encoder
 
 _BREAK = re.compile("[ \n]")
+_WORD = re.compile("[ \n]*[^ \n]+")
 
 
 def chunk_ends(text: str, bits: int = 9, least: int = 96) -> list[int]:
@@ -57,25 +60,39 @@ class ChunkCoder:
         self.words = [t.id_to_token(i) or "" for i in range(t.get_vocab_size(True))]
         self.glue = t.decoder is None  # then the library joins tokens with blanks
         self.room, self.chunks, self.old = room, {}, {}
-        self.reused = self.encoded = 0
-
-    def _value(self, ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), " ".join([self.words[i] for i in ids])
+        self.reused = self.encoded = self.whole = 0
+        self.digits = [str(i) for i in range(len(self.words))]
 
     @staticmethod
-    def _joined(values: list[tuple]) -> tuple[int, str, str]:
-        values = [v for v in values if v[0]]
-        return sum(v[0] for v in values), " ".join([v[1] for v in values]), " ".join([v[2] for v in values])
+    def _value(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes()
 
     def _new(self, chunk: str):
-        """(head, core, tail) of a chunk; None without a safe break."""
+        """(head, core, tail) of a chunk; None without a break."""
         if not (m := _BREAK.search(chunk)):
             return None
         a, b = m.start(), max(chunk.rfind(" "), chunk.rfind("\n"))
         return chunk[:a], chunk[a : b + 1], chunk[b + 1 :]
 
+    @staticmethod
+    def _edges(core: str) -> tuple[str, str]:
+        """The first word of a core with what stands before it, and the last one with what stands after it."""
+        words = _WORD.findall(core)
+        return (words[0], core[core.rindex(words[-1].strip()) :]) if words else ("", "")
+
+    def _units(self, text: str) -> bytes:
+        table = self.encoder.table
+        return b"".join([table[u] for u in self.encoder.find(text)])
+
+    def _agreeing(self, joins: set[tuple[str, str, str]]) -> dict[tuple[str, str, str], bytes | None]:
+        """The ids of joins (word before, join, word after); None where those of all three in one piece are others."""
+        told = list(joins)
+        own = {t: self._units(t[1]) for t in told}
+        whole = self.encoder.tokenizer.encode_batch_fast(["".join(t) for t in told], add_special_tokens=False)
+        return {t: own[t] if self._value(w.ids) == self._units(t[0]) + own[t] + self._units(t[2]) else None for t, w in zip(told, whole)}
+
     def encode_all(self, texts):
-        """(number of ids, ids joined by blanks, decoded text) of each text."""
+        """The ids of each text."""
         group, size = [], 0
         for t in texts:
             group.append(t or "")
@@ -88,8 +105,7 @@ class ChunkCoder:
     def _group(self, texts: list[str]):
         if len(self.chunks) > self.room:
             self.old, self.chunks = self.chunks, {}
-        find, table = self.encoder.find, self.encoder.table
-        parts: list[list | None] = []  # of each text: joins as str, cores as their chunk's key in a tuple
+        parts: list[list | None] = []  # of each text: joins as str and chunks in turn
         fresh: dict = {}
         for t in texts:
             if not self.encoder.plain(t):
@@ -112,22 +128,23 @@ class ChunkCoder:
                     window = k[0][2]
             row.append(window)
             parts.append(row)
-        cores = [find(k[0][1]) if k[0] else [] for k in fresh.values()]
-        joins = {w for row in parts if row for w in row if isinstance(w, str) and w}
-        joins = dict(zip(joins, map(find, joins)))
-        table.turn()
-        for (c, k), units in zip(fresh.items(), cores):
-            k[1] = self._joined([table[u] for u in units])
+        self.encoder.table.turn()
+        for c, k in fresh.items():
             if k[0]:
-                k[0] = (k[0][0], "", k[0][2])
+                head, core, tail = k[0]
+                k[:] = (head, "", tail), self._units(core), *self._edges(core)
             self.chunks[c] = k
-        nothing = (0, "", "")
-        joins = {w: self._joined([table[u] for u in units]) for w, units in joins.items()}
-        for t, row in zip(texts, parts):
-            if row is None:
-                yield self.encoder.whole(t)
-            else:
-                yield self._joined([joins.get(w, nothing) if isinstance(w, str) else w[1] for w in row])
+        rows = []
+        for row in parts:
+            if row:  # a join with the words on its two sides
+                row = [x if k % 2 else (row[k - 1][3] if k else "", x, row[k + 1][2] if k + 1 < len(row) else "") for k, x in enumerate(row)]
+            rows.append(row)
+        joins = self._agreeing({x for row in rows if row for x in row[::2]})
+        for t, row in zip(texts, rows):
+            ids = None if row is None else [x[1] if k % 2 else joins[x] for k, x in enumerate(row)]
+            whole = ids is None or None in ids
+            self.whole += whole
+            yield array("I", self.encoder.whole(t) if whole else b"".join(ids)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """As the library's decode(ids, skip_special_tokens=False)."""
@@ -149,8 +166,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def rows(batches):
         for b in batches:
-            for d, (_, ids, text) in zip(b["doc_id"], coder(path).encode_all(b["text"])):
-                yield d, list(map(int, ids.split())), text
+            c = coder(path)
+            for d, ids in zip(b["doc_id"], c.encode_all(b["text"])):
+                yield d, ids, c.decode(ids)
 
     return arrow_stage(texts_of(docs), rows, "doc_id long, ids array<int>, decoded string", batch=200)
 
@@ -172,7 +190,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def rows(batches):
         sha = hashlib.sha256
         for b in batches:
-            for d, (n, ids, text) in zip(b["doc_id"], coder(path).encode_all(b["text"])):
-                yield d, n, sha(ids.encode()).hexdigest(), sha(text.encode()).hexdigest()
+            c = coder(path)
+            for d, ids in zip(b["doc_id"], c.encode_all(b["text"])):
+                told = " ".join([c.digits[i] for i in ids])
+                yield d, len(ids), sha(told.encode()).hexdigest(), sha(c.decode(ids).encode()).hexdigest()
 
     return arrow_stage(texts_of(docs), rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

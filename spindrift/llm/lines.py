@@ -3,9 +3,13 @@
 The exact table has one row for each (line key, document) and is all that the result depends on: from it
 follow the number of documents of each key and its keeper, the largest doc_id. Keys found in enough
 documents are *frequent*. Sharded cuckoo filters hold the frequent keys; a filter never misses a key it
-holds, so rows whose key it doesn't have need not be joined with the frequent keys. Inserting documents
-adds rows to the table and keys that became frequent to the filters; deleting documents takes both away
-again, so inserting and deleting the same documents leaves what was there before.
+holds, so rows whose key it doesn't have need not be joined with the frequent keys. Rows and filters meet
+by shard, and a shard with many rows is split, so a task holds one filter at a time.
+
+Inserting documents adds rows to the table and keys that became frequent to the filters; deleting
+documents takes both away again, so inserting and deleting the same documents leaves what was there
+before. Either recounts only the keys of the documents that came or went. Filters that have become too
+full are dealt into more shards.
 
 Keys are the line with ``[\\x20\\x09-\\x0D]`` stripped at both ends and A-Z in lower case, by their 128-bit
 BLAKE2 hash.
@@ -27,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.shared import arrow_stage, stored, texts_of
+from spindrift.llm.shared import arrow_stage, give_back, in_parts, semi_join, stored, texts_of, unused
 
 _STRIP = " \t\n\x0b\x0c\r"
 SHORTEST, ENOUGH = 40, 5
-#: Filters of at most so many bytes together are sent to all tasks; beyond it rows go to the join unfiltered.
-FILTER_BYTES = 16 << 20
+#: Frequent keys of a shard when filters are made; rows of a shard that are tested together.
+KEYS_A_SHARD, ROWS_A_TASK = 50_000, 250_000
 
 
 def key_of(line: str, shortest: int = SHORTEST) -> bytes | None:
@@ -150,85 +154,103 @@ class LineIndex:
 
     @staticmethod
     def _frequent(table: DataFrame, enough: int) -> DataFrame:
-        return stored(table.groupBy("key").agg(F.count("doc_id").alias("refs"), F.max("doc_id").alias("keeper")).where(F.col("refs") >= enough))
+        return table.groupBy("key").agg(F.count("doc_id").alias("refs"), F.max("doc_id").alias("keeper")).where(F.col("refs") >= enough)
 
     @classmethod
-    def build(cls, docs: DataFrame, enough: int = ENOUGH, keys_a_shard: int = 50_000) -> LineIndex:
+    def build(cls, docs: DataFrame, enough: int = ENOUGH, keys_a_shard: int = KEYS_A_SHARD) -> LineIndex:
         table = stored(line_keys(docs).distinct())
-        frequent = cls._frequent(table, enough)
-        shards = -(-max(1, frequent.count()) // keys_a_shard)
-        empty = docs.sparkSession.createDataFrame([], "shard int, filter binary")
-        return cls(table, frequent, _updated(empty, frequent.select("key", F.lit(1).alias("change")), shards, keys_a_shard), shards, enough)
-
-    def _changed(self, table: DataFrame) -> LineIndex:
-        table = stored(table)
-        frequent = self._frequent(table, self.enough)
+        frequent = stored(cls._frequent(table, enough))
+        return cls(table, frequent, *_made(frequent, keys_a_shard), enough)
+
+    def _changed(self, table: DataFrame, touched: DataFrame, keys_a_shard: int = KEYS_A_SHARD) -> LineIndex:
+        """The index over ``table``, which differs from the present one in the keys ``touched`` only: all others keep their counts."""
+        table, touched = stored(table), stored(touched.select("key").distinct())
+        now = self._frequent(semi_join(table, "key", touched), self.enough)
+        frequent = stored(self.frequent.join(touched, "key", "left_anti").unionByName(now))
+        if frequent.count() > 2 * keys_a_shard * self.shards:
+            return LineIndex(table, frequent, *_made(frequent, keys_a_shard), self.enough)
         more = frequent.join(self.frequent, "key", "left_anti").select("key", F.lit(1).alias("change"))
         less = self.frequent.join(frequent, "key", "left_anti").select("key", F.lit(-1).alias("change"))
-        return LineIndex(table, frequent, _updated(self.filters, more.unionByName(less), self.shards), self.shards, self.enough)
+        return LineIndex(table, frequent, _updated(self.filters, more.unionByName(less), self.shards, keys_a_shard), self.shards, self.enough)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """The index with the documents in it. A document that is there already changes nothing."""
-        return self._changed(self.table.unionByName(line_keys(docs).select("doc_id", "key")).distinct())
+        new = stored(line_keys(docs).distinct().join(self.table, ["key", "doc_id"], "left_anti").select("doc_id", "key"))
+        return self._changed(self.table.unionByName(new), new)
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """The index without the documents of ``ids`` (doc_id)."""
-        return self._changed(self.table.join(ids.select("doc_id").distinct(), "doc_id", "left_anti"))
+        gone = stored(ids.select("doc_id").distinct())
+        return self._changed(self.table.join(gone, "doc_id", "left_anti"), semi_join(self.table, "doc_id", gone))
 
     def drops(self) -> DataFrame:
         """doc_id, keys: of each document, the frequent keys of which it is not the keeper."""
-        wanted = self.table
-        size = self.filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0]
-        if size <= FILTER_BYTES:
-            wanted = _passing(wanted, {r.shard: r.filter for r in self.filters.collect()}, self.shards)
-        hit = wanted.join(self.frequent.select("key", "keeper"), "key").where(F.col("doc_id") < F.col("keeper"))
+        hit = _passing(self.table, self.filters, self.shards).join(self.frequent.select("key", "keeper"), "key").where(F.col("doc_id") < F.col("keeper"))
         return hit.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
 
-def _updated(filters: DataFrame, changes: DataFrame, shards: int, keys_a_shard: int = 50_000) -> DataFrame:
+def _made(frequent: DataFrame, keys_a_shard: int) -> tuple[DataFrame, int]:
+    """(filters of all frequent keys, number of shards)."""
+    shards = -(-max(1, frequent.count()) // keys_a_shard)
+    empty = frequent.sparkSession.createDataFrame([], "shard int, filter binary")
+    return _updated(empty, frequent.select("key", F.lit(1).alias("change")), shards, keys_a_shard), shards
+
+
+def _updated(filters: DataFrame, changes: DataFrame, shards: int, keys_a_shard: int) -> DataFrame:
     """Filters with keys put in (change 1) or taken out (change -1), shard by shard; a shard's keys are bounded in number."""
 
     def run(key, have: pa.Table, change: pa.Table) -> pa.Table:
         f = CuckooFilter.from_bytes(have["filter"][0].as_py()) if have.num_rows else CuckooFilter(max(2 * keys_a_shard if shards > 1 else 0, 2 * change.num_rows, 1000))
         for k, c in sorted(zip(change["key"].to_pylist(), change["change"].to_pylist()), key=lambda x: (x[1], x[0])):
             f.insert(k) if c > 0 else f.delete(k)
+        give_back()
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([f.to_bytes()], pa.binary())})
 
     return stored(filters.groupBy("shard").cogroup(changes.withColumn("shard", _shard(shards)).groupBy("shard")).applyInArrow(run, "shard int, filter binary"))
 
 
-def _passing(table: DataFrame, filters: dict[int, bytes], shards: int) -> DataFrame:
-    """The rows whose key the filters have, and a few others."""
+def _passing(table: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """The rows whose key the filters have, and a few others.
+
+    A shard's rows are split by document into parts of about ROWS_A_TASK; each part meets a copy of the shard's filter."""
+    placed = table.select("doc_id", "key", _shard(shards).alias("shard"))
+    parts = placed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / ROWS_A_TASK).cast("int").alias("parts"))
+    parts = F.broadcast(parts)  # a row a shard, of KEYS_A_SHARD frequent keys
+    rows = placed.join(parts, "shard").select("shard", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), "doc_id", "key", F.lit(None).cast("binary").alias("filter"))
+    copies = filters.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("key"), "filter")
+    met = rows.unionByName(copies).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("filter").isNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = {s: CuckooFilter.from_bytes(f) for s, f in filters.items()}
+        own, of = None, None
         for b in batches:
-            if not b.num_rows:
-                continue
-            keys = np.frombuffer(b"".join(b["key"].to_pylist()), np.uint8).reshape(-1, 16)
-            shard = keys[:, 12:16].copy().view(">u4")[:, 0].astype(np.int64) % shards
-            ok = np.zeros(len(keys), bool)
-            for s, f in made.items():
-                at = np.flatnonzero(shard == s)
-                ok[at] = f.contains_all(keys[at])
-            yield b.filter(pa.array(ok))
+            shard, part = b["shard"].to_numpy(), b["part"].to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], (shard[1:] != shard[:-1]) | (part[1:] != part[:-1])))) if b.num_rows else []
+            for i, j in zip(starts, [*starts[1:], b.num_rows]):
+                some = b.slice(i, j - i)
+                if some["filter"][0].is_valid:  # the first row of a part, if its shard has a filter at all
+                    own, of, some = CuckooFilter.from_bytes(some["filter"][0].as_py()), (shard[i], part[i]), some.slice(1)
+                if some.num_rows and of == (shard[i], part[i]):
+                    keys = np.frombuffer(b"".join(some["key"].to_pylist()), np.uint8).reshape(-1, 16)
+                    yield some.select(["doc_id", "key"]).filter(pa.array(own.contains_all(keys)))
+        give_back()
 
-    return table.select("doc_id", "key").mapInArrow(run, "doc_id long, key binary")
+    return met.mapInArrow(run, "doc_id long, key binary")
 
 
 def dedup(docs: DataFrame, index: LineIndex | None = None, enough: int = ENOUGH) -> DataFrame:
     """The documents without the lines that another document keeps, and n_lines, n_dropped. Lines are joined by line ends."""
     index = index or LineIndex.build(docs, enough)
-    docs = docs.drop("n_lines", "n_dropped", "_keys")
-    joined = docs.join(index.drops().select(F.col("doc_id").alias("_id"), F.col("keys").alias("_keys")), docs["doc_id"] == F.col("_id"), "left").drop("_id")
+    docs = docs.drop("n_lines", "n_dropped")
     names = docs.columns
+    own_id, own_keys = unused(names, "_id"), unused(names, "_keys")
+    joined = docs.join(index.drops().toDF(own_id, own_keys), F.col("doc_id") == F.col(own_id), "left").select(*[F.col(f"`{c}`") for c in names], own_keys)
     at = names.index("text")
     schema = docs.withColumn("text", F.col("text").cast("string")).withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in in_parts(whole)):
             text, lines, dropped = [], [], []
-            for t, k in zip(b["text"].to_pylist(), b["_keys"].to_pylist()):
+            for t, k in zip(b["text"].to_pylist(), b[own_keys].to_pylist()):
                 own = (t or "").split("\n")
                 lines.append(len(own))
                 if k:
@@ -242,8 +264,9 @@ def dedup(docs: DataFrame, index: LineIndex | None = None, enough: int = ENOUGH)
             columns = [b[n] for n in names]
             columns[at] = pa.array(text, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
+        give_back()
 
-    return joined.select(*[F.col(f"`{c}`") for c in names], "_keys").mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:

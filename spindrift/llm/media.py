@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.shared import arrow_stage, texts_of
+from spindrift.llm.shared import arrow_stage, stored, texts_of
 
 WIDTH = 576
 _SIGN = b"\x89PNG\r\n\x1a\n"
@@ -162,5 +162,5 @@ def from_png(media: DataFrame, *keep: str) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """to_png() and from_png() of every document, with the hash as hexadecimal digits in ``feature``."""
-    return from_png(to_png(docs), "n_bytes long").withColumn("feature", F.lower(F.hex("hash"))).drop("hash", "problem")
+    """to_png() of every document, written to the shared folder, and from_png() of what is there, with the hash as hexadecimal digits in ``feature``."""
+    return from_png(stored(to_png(docs)), "n_bytes long").withColumn("feature", F.lower(F.hex("hash"))).drop("hash", "problem")
