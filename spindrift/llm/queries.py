@@ -72,8 +72,8 @@ from k left join f using (key) group by doc_id
 """
 
 _URLS_SQL = r"""
-with parsed as (select page_id, url, nullif(lower(regexp_extract(url, '^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(?:[wW]{3}\.)?([^/?#:@]+)(?::\d*)?(/[^?#]*)?', 1)), '') as host,
-    regexp_extract(url, '^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(?:[wW]{3}\.)?([^/?#:@]+)(?::\d*)?(/[^?#]*)?', 2) as path,
+with parsed as (select page_id, url, nullif(lower(regexp_extract(url, '^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(?:[wW]{3}\.)?(\[[^\]/?#@]*\]|[^/?#:@\[]+)(?::\d*)?(/[^?#]*)?', 1)), '') as host,
+    regexp_extract(url, '^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(?:[wW]{3}\.)?(\[[^\]/?#@]*\]|[^/?#:@\[]+)(?::\d*)?(/[^?#]*)?', 2) as path,
     timestamp '2024-01-01' + to_days(cast((page_id * 37) % 365 as int)) + to_seconds(page_id % 86400) as fetched_at from pages),
 keyed as (select page_id, fetched_at, unnest(list_distinct(list_concat(
       list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: 'd:' || array_to_string(string_split(host, '.')[i:], '.')),

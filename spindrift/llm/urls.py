@@ -10,8 +10,9 @@ Keys of a capture: ``d:`` with the host and each of its parent domains of two la
 the host and path, and with the host and the path's first segment. Keys are lower case (paths are not),
 without scheme, user, port and a leading ``www.``.
 
-Captures of one host may be many: the join spreads them by Spark's handling of skewed joins, and results
-are gathered by capture, never by host.
+An entry's intervals are gathered by key, a handful of dates each. Captures of one host may be many: keys
+with more than a thousandth of all rows, a thousand keys at most, are joined by broadcast, and only the
+others by a shuffle. Results are gathered by capture, never by host.
 
 Defined results: a null url, or one without a host, meets nothing; an add of what is on the list and a
 removal of what isn't change nothing; of an add and a removal at one time the add comes last, so the
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_URL = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(?:[wW]{3}\.)?([^/?#:@]+)(?::\d*)?(/[^?#]*)?"
+_URL = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(?:[wW]{3}\.)?(\[[^\]/?#@]*\]|[^/?#:@\[]+)(?::\d*)?(/[^?#]*)?"
 
 
 def host_of(url: str) -> Column:
@@ -60,10 +61,24 @@ def active(captures: DataFrame, log: DataFrame) -> DataFrame:
     ``captures``: page_id, url, fetched_at, one row for each capture. Its row is kept whatever it meets."""
     own = captures.select("page_id", "url", "fetched_at").withColumn("host", host_of("url")).withColumn("_row", F.monotonically_increasing_id())
     keyed = own.withColumn("path", path_of("url")).select("page_id", "host", "fetched_at", "_row", F.explode_outer(keys_of("host", "path")).alias("key"))
-    listed = intervals(log)
-    inside = (keyed["key"] == listed["key"]) & (keyed["fetched_at"] >= listed["since"]) & (listed["until"].isNull() | (keyed["fetched_at"] < listed["until"]))
-    met = keyed.join(listed, inside, "left").select(keyed["page_id"], "host", "_row", "list", F.when(F.col("list").isNotNull(), keyed["key"]).alias("key"))
-    found = met.groupBy("page_id", "host", "_row").agg(F.count("list").alias("n_active"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), F.min("key").alias("first_key"))
+    entry = F.struct("list", "since", "until")
+    listed = intervals(log).groupBy("key").agg(F.collect_list(entry).alias("entries"))
+    often = keyed.where("key is not null").groupBy("key").count()
+    total = captures.count()
+    hot = F.broadcast(often.where(F.col("count") * 1000 > total).join(listed, "key").select("key", F.col("entries").alias("hot")))
+    met = keyed.join(hot, "key", "left")
+    # rows that have been served, and rows without a key, are spread by their number; no key looks like that
+    other = F.when(F.col("hot").isNull(), F.col("key"))
+    met = met.withColumn("other", F.coalesce(other, F.concat(F.lit("#"), F.col("_row").cast("string")))).join(listed.toDF("other", "entries"), "other", "left")
+    now = F.col("fetched_at")
+    inside = lambda e: (now >= e["since"]) & (e["until"].isNull() | (now < e["until"]))
+    met = met.withColumn("hits", F.filter(F.coalesce("hot", "entries"), inside))
+    n = F.coalesce(F.when(F.col("hits").isNotNull(), F.size("hits")), F.lit(0))
+    found = met.groupBy("page_id", "host", "_row").agg(
+        F.sum(n).alias("n_active"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("hits", lambda e: e["list"]))))), ",").alias("lists"),
+        F.min(F.when(n > 0, F.col("key"))).alias("first_key"),
+    )
     return found.select("page_id", "host", "n_active", "lists", "first_key", (F.col("n_active") > 0).alias("blocked"))
 
 

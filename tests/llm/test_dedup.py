@@ -226,25 +226,61 @@ def test_weighted_samples_meet_with_the_similarity():
     assert abs((x[0] == x[1]).mean() - want) < 0.04
 
 
+def rolled(words, xx, gram=5):
+    """Hashes of all grams by definition: each word's hash turned left by its place from the gram's end."""
+    turn = lambda h, k: (h << k | h >> (64 - k)) & (1 << 64) - 1 if k else h
+    out = []
+    for i in range(len(words) - gram + 1):
+        h = 0
+        for k in range(gram):
+            h ^= turn(xx(words[i + k]), gram - 1 - k)
+        out.append(h)
+    return out
+
+
+def brute_fingerprint(text, xx, window=4):
+    """(position, hash) of the chosen grams, from the definition alone."""
+    words = [w for w in re.split(r"[^\w]+|_", text.lower()) if w]
+    if not words or len(words) < 5:
+        return None
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    g = [signed(h << 2 & (1 << 64) - 1) >> 2 for h in rolled(words, xx)]
+    out = []
+    for i in range(max(1, len(g) - window + 1)):
+        own = g[i : i + window]
+        at = max(k for k, h in enumerate(own) if h == min(own)) + i
+        if (at, g[at]) not in out:
+            out.append((at, g[at]))
+    return out
+
+
 def test_winnowing_equals_the_definition(spark):
+    import xxhash
+
+    xx = lambda w: xxhash.xxh64(w.encode(), seed=42).intdigest()
     rng = random.Random(9)
-    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.choice([0, 1, 4, 5, 6, 7, 8, 9, 30, 200])))) for i in range(60)]
+    rows = [(i, " ".join(rng.choice(["a", "b", "Cé", "42"]) for _ in range(rng.choice([0, 1, 4, 5, 6, 7, 8, 9, 30, 200])))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    grams = {}
-    for r in winnow.with_fingerprint(docs, "text", "f", window=1).collect():  # windows of one gram choose them all
-        grams[r.doc_id] = [((g.hash << 2) + (1 << 63)) % (1 << 64) for g in sorted(r.f, key=lambda g: g.pos)]  # in windows of four, two bits of a hash are lost
+    own = {}
     for r in winnow.fingerprints(docs).collect():
-        g = grams[r.doc_id]
-        if len(rows[r.doc_id][1].split()) < 5:
-            assert len(r.fingerprint) == (1 if rows[r.doc_id][1] else 0)
-            continue
-        want = []
-        for i in range(max(1, len(g) - 3)):
-            own = g[i : i + 4]
-            at = max(k for k, h in enumerate(own) if h == min(own)) + i
-            if at not in want:
-                want.append(at)
-        assert [x.pos for x in r.fingerprint] == want
+        got, want = [(x.pos, x.hash) for x in r.fingerprint], brute_fingerprint(rows[r.doc_id][1], xx)
+        assert got == want if want is not None else len(got) == (1 if rows[r.doc_id][1] else 0)
+        own[r.doc_id] = {h for _, h in got}
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for r in winnow.edited(docs).collect():
+        following = (r.doc_id - 1) % len(rows)
+        assert abs(r.near_next - alike(own[r.doc_id], own[following])) < 1e-12 and [(x.pos, x.hash) for x in r.marks] and {x.hash for x in r.marks} == own[r.doc_id] or not own[r.doc_id]
+        t, n = rows[r.doc_id][1], rows[following][1]
+        edited = brute_fingerprint(t[: len(t) - len(t) // 2] + n[: len(t) // 2], xx)
+        if edited is not None:
+            assert abs(r.near_edited - alike(own[r.doc_id], {h for _, h in edited})) < 1e-12
+
+
+def test_winnowing_of_scripts_without_blanks(spark):
+    text = "春眠不覺曉處處聞啼鳥夜來風雨聲花落知多少"
+    docs = spark.createDataFrame([(1, text), (2, "又" + text), (3, "白日依山盡黃河入海流欲窮千里目更上一層樓")], "doc_id long, text string")
+    got = {r.doc_id: {x.hash for x in r.fingerprint} for r in winnow.fingerprints(docs).collect()}
+    assert len(got[1] & got[2]) >= len(got[1]) - 1 and not got[1] & got[3]
 
 
 def test_winnowing_guarantee(spark):
@@ -288,10 +324,10 @@ def test_urls_equal_sql(spark, small):
 def test_urls_as_of(spark):
     log = spark.createDataFrame(
         [("bad", "d:evil.com", "add", "2024-01-10"), ("bad", "d:evil.com", "add", "2024-01-12"), ("bad", "d:evil.com", "remove", "2024-02-01"), ("bad", "d:evil.com", "remove", "2024-02-02"), ("bad", "d:evil.com", "add", "2024-03-01"),
-         ("ads", "u:shop.org/ads", "add", "2024-01-01"), ("ads", "u:shop.org/ads", "add", "2024-01-01"), ("ads", None, "add", "2024-01-01"), ("ads", "d:x.org", "remove", "2024-01-01"), ("one", "d:same.org", "remove", "2024-01-05"), ("one", "d:same.org", "add", "2024-01-05")],
+         ("ads", "u:shop.org/ads", "add", "2024-01-01"), ("ads", "u:shop.org/ads", "add", "2024-01-01"), ("ads", None, "add", "2024-01-01"), ("ads", "d:x.org", "remove", "2024-01-01"), ("v6", "u:[2001:db8::1]/", "add", "2024-01-01"), ("one", "d:same.org", "remove", "2024-01-05"), ("one", "d:same.org", "add", "2024-01-05")],
         "list string, key string, action string, at string").withColumn("at", urls.F.to_timestamp("at"))
     cases = [(1, "https://www.EVIL.com/x", "2024-01-09", 0), (2, "https://a.b.evil.com:80/", "2024-01-10", 1), (3, "//evil.com", "2024-02-01", 0), (4, "http://u@evil.com?q", "2024-05-01", 1), (5, "http://notevil.com/", "2024-05-01", 0),
-             (6, "http://shop.org/ads/7?x", "2024-05-01", 1), (7, "http://shop.org/Ads", "2024-05-01", 0), (8, None, "2024-05-01", 0), (9, "nonsense", "2024-05-01", 0), (10, "http://x.org", "2024-05-01", 0), (11, "http://same.org/", "2024-01-05", 1), (12, "http://evil.com", None, 0), (1, "https://www.EVIL.com/x", "2024-01-20", 1)]
+             (6, "http://shop.org/ads/7?x", "2024-05-01", 1), (7, "http://shop.org/Ads", "2024-05-01", 0), (8, None, "2024-05-01", 0), (9, "nonsense", "2024-05-01", 0), (10, "http://x.org", "2024-05-01", 0), (13, "http://[::1]:8080/x", "2024-05-01", 0), (14, "http://u@[2001:db8::1]/", "2024-05-01", 1), (11, "http://same.org/", "2024-01-05", 1), (12, "http://evil.com", None, 0), (1, "https://www.EVIL.com/x", "2024-01-20", 1)]
     got = urls.active(spark.createDataFrame([c[:3] for c in cases], "page_id long, url string, at string").select("page_id", "url", urls.F.to_timestamp("at").alias("fetched_at")), log)
     assert sorted((r.page_id, r.n_active) for r in got.collect()) == sorted((c[0], c[3]) for c in cases)
     assert urls.active(got.limit(0).selectExpr("page_id", "host as url", "current_timestamp() as fetched_at"), log).count() == 0
