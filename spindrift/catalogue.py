@@ -144,11 +144,10 @@ def overlap_at_10(spark, sf):
     return rounded(metrics.overlap(_neighbours(spark, sf), half))
 
 
-def _qrels(spark, sf) -> DataFrame:
-    """Relevant to a query vector: the others of its label."""
-    rows = _vectors(spark, sf)
-    own = rows.where(F.col("key") % 20 == 0).select(F.col("key").alias("qid"), "label")
-    return own.join(rows.select("key", "label"), "label").where("qid <> key").select("qid", "key")
+def _relevant(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Relevant to a query vector: the others of its label. (queries, groups)"""
+    rows = _vectors(spark, sf).withColumnRenamed("label", "group")
+    return rows.where(F.col("key") % 20 == 0).select(F.col("key").alias("qid"), "group"), rows.select("key", "group")
 
 
 def _scores_sql(hits: str) -> str:
@@ -160,7 +159,7 @@ left join (select h.qid, count(*) filter (where rank = 1) as one, count(*) as fo
 
 @query(f"select count(*) as queries, round(avg(recall_at_1), 6) as recall_at_1, round(avg(recall_at_k), 6) as recall_at_k, round(avg(mrr_at_k), 6) as mrr_at_k, round(avg(ndcg_at_k), 6) as ndcg_at_k from ({_scores_sql(_NEAR)})")
 def retrieval_scores_all(spark, sf):
-    return rounded(metrics.scores(metrics.per_query(_neighbours(spark, sf), _qrels(spark, sf))))
+    return rounded(metrics.scores(metrics.per_query_by_group(_neighbours(spark, sf), *_relevant(spark, sf))))
 
 
 def _slices(spark, sf) -> DataFrame:
@@ -173,7 +172,7 @@ from (select s.*, 'label ' || e.label as slice from ({{}}) s join embeddings e o
 
 @query("select slice, queries, round(recall_at_1, 6) as recall_at_1, round(recall_at_k, 6) as recall_at_k, round(mrr_at_k, 6) as mrr_at_k, round(ndcg_at_k, 6) as ndcg_at_k from (" + _BY_SLICE.format(_scores_sql(_NEAR)) + ")")
 def retrieval_scores_by_slice(spark, sf):
-    return rounded(metrics.scores_by_slice(metrics.per_query(_neighbours(spark, sf), _qrels(spark, sf)), _slices(spark, sf)))
+    return rounded(metrics.scores_by_slice(metrics.per_query_by_group(_neighbours(spark, sf), *_relevant(spark, sf)), _slices(spark, sf)))
 
 
 @query(f"""with o as ({_BY_SLICE.format(_scores_sql(_NEAR))}), n as ({_BY_SLICE.format(_scores_sql(_HALF))})
@@ -181,9 +180,9 @@ select slice, o.queries, round(o.recall_at_k, 6) as old_recall, round(n.recall_a
   case when o.queries < 5 then 'small' when n.recall_at_k < o.recall_at_k - 0.02 then 'fell' else 'held' end as decision from o join n using (slice)""")
 def verdict_by_slice(spark, sf):
     """Whether neighbours got worse when vectors are cut to half, by label."""
-    qrels, slices = _qrels(spark, sf), _slices(spark, sf)
+    relevant, slices = _relevant(spark, sf), _slices(spark, sf)
     half = knn.knn_block(_cut(_queries(spark, sf)), _cut(_vectors(spark, sf)), exclude_self=True)
-    old, new = (metrics.scores_by_slice(metrics.per_query(h, qrels), slices) for h in (_neighbours(spark, sf), half))
+    old, new = (metrics.scores_by_slice(metrics.per_query_by_group(h, *relevant), slices) for h in (_neighbours(spark, sf), half))
     return rounded(verdict.by_slice(old, new, verdict.Gates(min_slice=5)))
 
 
@@ -364,10 +363,25 @@ def proxy_queries_bench(spark, sf):
 _PASSAGES = "select b.item_id as qid, d.doc_id as key from benchmark b join documents d on contains(d.text, b.text)"
 
 
+_ANCHOR = 5
+
+
 def _labelled(spark, sf) -> DataFrame:
-    """Passages whose documents are known: those that contain them. The passages are a stated query set of fixed size."""
+    """Passages whose documents are known: those that contain them. A document has all inner words of a passage that it contains.
+
+    So the first inner words of a passage are looked up among all runs of words, by hash, and whole passages are looked for in the
+    documents found. Passages too short for that are few and looked for everywhere."""
+    words = lambda c: F.split(F.col(c), " ")
     b = _table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    pairs = _docs(spark, sf).join(F.broadcast(b), F.col("text").contains(F.col("query"))) if b.count() <= 10_000 else _docs(spark, sf).join(b, F.col("text").contains(F.col("query")))
+    long = F.size(words("query")) >= _ANCHOR + 2
+    anchors = b.where(long).withColumn("anchor", F.xxhash64(F.array_join(F.slice(words("query"), 2, _ANCHOR), " ")))
+    docs = _docs(spark, sf).select("key", "text")
+    n = F.size(words("text"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - (_ANCHOR - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words("text"), i, _ANCHOR), " ")))
+    met = docs.select("key", F.explode(F.array_distinct(runs)).alias("anchor")).join(anchors, "anchor").select("key", "qid", "query")
+    found = met.join(docs, "key").where(F.col("text").contains(F.col("query"))).select("qid", "key")
+    short = docs.join(F.broadcast(b.where(~long & (F.col("query") != ""))), F.col("text").contains(F.col("query"))).select("qid", "key")
+    pairs = found.unionByName(short)
     return b.join(pairs.groupBy("qid").agg(F.collect_set("key").alias("relevant")), "qid", "left").withColumn("relevant", F.coalesce("relevant", F.array().cast("array<long>")))
 
 
@@ -385,6 +399,56 @@ def labelled_prune(spark, sf):
     return all_queries.agg(F.count("qid").alias("queries")).crossJoin(left.agg(F.count("qid").alias("usable"))).withColumn("skipped", F.col("queries") - F.col("usable"))  # one row each
 
 
+# Rows of fixed cases, for what the tables hold no example of.
+def _cases(spark, names: str, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, names)
+
+
+def _cases_sql(names: list[str], rows: list[tuple]) -> str:
+    cell = lambda v: "null" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).lower()
+    return "(values " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") t({', '.join(names)})"
+
+
+_PAYLOADS = [(1, '{"a":1,"b":2}', '{"b":2,"a":1.0}'), (2, '{"a":1}', '{"a":true}'), (3, '{"a":[1,2]}', '{"a":[2,1]}'), (4, None, None), (5, None, "{}"), (6, '{"a":{"x":null}}', '{ "a" : {"x" : null} }'), (7, '{"a":null}', "{}"), (8, '"1"', "1"), (9, "no json", "no json"), (10, "no json", "no  json"), (11, '{"a":"é"}', '{"a":"\\u00e9"}'), (12, '{"n":1.50}', '{"n":1.5}')]
+
+
+@query("select key, key in (1, 4, 6, 9, 11, 12) as same from " + _cases_sql(["key", "a", "b"], _PAYLOADS))
+def payload_diff_json(spark, sf):
+    """Payloads compared as values: the order of keys, blanks and zeros at the end of numbers don't matter, kinds do. SQL states what is right."""
+    return _cases(spark, "key int, a string, b string", _PAYLOADS).select("key", migrate.same_payload("a", "b").alias("same"))
+
+
+@query("""with t as (select doc_id as key, text, case when doc_id % 3 > 0 then 1.0 end as old, doc_id % 3 = 2 as fresh, doc_id % 4 > 0 as sent, doc_id % 5 = 0 as changed from documents),
+w as (select *, sent and not changed and (old is null or not fresh) as ok from t)
+select count(*) as rows, count(*) filter (where ok) as written, count(*) filter (where ok or fresh) as right_hash, count(*) filter (where not ok and not fresh and trim(text, E' \\t\\n\\r\\f\\v') <> '') as still_pending from w""")
+def stale_rewrite(spark, sf):
+    """Vectors made from an older text are replaced, those of the present text and rows whose text changed meanwhile are not."""
+    k = F.col("key")
+    t = _docs(spark, sf).select("key", "text", F.when(k % 3 > 0, F.array(F.lit(1.0))).alias("new_vector"), F.when(k % 3 == 2, F.md5("text")).when(k % 3 == 1, F.lit("old")).alias("new_hash"))
+    sent = t.where(k % 4 > 0).select("key", F.when(k % 5 == 0, F.md5(F.lit("before"))).otherwise(F.md5("text")).alias("text_hash"), F.array(F.lit(2.0)).alias("new_vector"))
+    out = migrate.guarded_write(t, sent)
+    here = F.col("new_hash").eqNullSafe(F.md5("text"))
+    left = migrate.pending(out).agg(F.count("key").alias("still_pending"))
+    return out.agg(F.count("key").alias("rows"), F.count_if(F.col("new_vector")[0] == 2.0).alias("written"), F.count_if(here).alias("right_hash")).crossJoin(left)  # one row each
+
+
+_TEXTS = [(1, "see https://h/x?key=1 now", '"What is it?"\nmore'), (2, "http://a.b/c", "  plain  "), (3, "", "“quoted”"), (4, "x?y", "one\n\ntwo")]
+
+
+@query("select key, regexp_replace(url, '(https?://[^\\s?]*)\\?\\S*', '\\1?…', 'g') as masked, trim(string_split(trim(reply), chr(10))[1], ' ''\"“”') as cleaned from " + _cases_sql(["key", "url", "reply"], _TEXTS))
+def masked_and_cleaned(spark, sf):
+    """Addresses without what they ask for, and the first line of a chat model's reply without its quotes."""
+    return _cases(spark, "key int, url string, reply string", _TEXTS).select("key", T.masked_url("url").alias("masked"), T.cleaned_reply("reply").alias("cleaned"))
+
+
+@query("""select label, count(*) as vectors, round(max(sqrt(list_sum(list_transform(embedding, lambda x: ((x::double / n)::float::double) ^ 2)))), 6) as longest
+from (select *, sqrt(list_sum(list_transform(embedding, lambda x: x::double ^ 2))) as n from embeddings) group by label""")
+def unit_vectors(spark, sf):
+    """Rows brought to length one."""
+    own = _vectors(spark, sf).select("label", V.normalized("vector").alias("v"))
+    return rounded(own.groupBy("label").agg(F.count(F.lit(1)).alias("vectors"), F.max(V.norm("v")).alias("longest")))
+
+
 # Embedding.
 @query()
 def embed_hash256(spark, sf):

@@ -10,7 +10,7 @@ import json
 import sys
 
 from spindrift import service
-from spindrift.functions.identity import Fingerprint
+from spindrift.functions.identity import fingerprint
 from spindrift.plans import job, spec, verdict
 from spindrift.sources import jsonl, tables
 
@@ -48,8 +48,8 @@ def parser() -> argparse.ArgumentParser:
 
 def run(args: argparse.Namespace) -> tuple[dict | str, int]:
     if args.command == "fingerprint":
-        f = Fingerprint(args.provider, args.model, int(args.dimensions), args.version, args.task, args.prefix, not args.unnormalized)
-        return {"tag": f.tag, "digest": f.digest}, 0
+        f = fingerprint(args.provider, args.model, int(args.dimensions), args.version, args.task, args.prefix, not args.unnormalized)
+        return {n: f[n] for n in ("tag", "digest")}, 0
     if args.command == "init":
         return job.template(args.table, args.model, args.column or "new_vector", budget=args.budget), 0
     spark = _session()

@@ -2,8 +2,8 @@
 
 The expression kernel declares the join and lets Spark prune each partition to the k best before it
 shuffles (WindowGroupLimit). The block kernel multiplies matrices in Arrow batches and keeps the k best of
-each partition, then merges. Queries are broadcast only when they are few enough by a count; beyond it
-they are joined in blocks of queries, each of which is small.
+each partition, then merges. Of the two sides the one that is stated to be small is broadcast, in blocks of
+at most BROADCAST_COMPONENTS numbers by a count; no join is made on the size of vectors, a key with one value.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from spindrift.functions import vectors as V
 
 #: Queries beyond so many components together are not sent to every task at once.
 BROADCAST_COMPONENTS = 8_000_000
+#: Distances that a task holds at once.
+TILE = 4_000_000
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -27,10 +29,17 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn(queries: DataFrame, rows: DataFrame, k: int = 10, metric: str = "cosine", exclude_self: bool = False) -> DataFrame:
+def _blocks(side: DataFrame, key: str, vector: str, most: int) -> list[DataFrame]:
+    """``side`` in blocks by hash of about ``most`` components at most."""
+    size = side.select(F.sum(F.size(vector)).alias("n")).first()["n"] or 0
+    n = max(1, -(-size // most))
+    return [side] if n == 1 else [side.where(F.pmod(F.xxhash64(key), F.lit(n)) == b) for b in range(n)]
+
+
+def knn(queries: DataFrame, rows: DataFrame, k: int = 10, metric: str = "cosine", exclude_self: bool = False, small: str = "queries", most: int = BROADCAST_COMPONENTS) -> DataFrame:
     """qid, key, distance, rank from queries (qid, vector) and rows (key, vector), ordered by (distance, key).
 
-    Null vectors and pairs without a distance (other sizes, zero vectors under cosine) give no hit."""
+    ``small``: the side that is broadcast, block by block, queries or rows. Null vectors and pairs without a distance (other sizes, zero vectors under cosine) give no hit."""
     q = queries.select("qid", F.col("vector").alias("qv")).where("qv is not null")
     d = rows.select("key", F.col("vector").alias("dv")).where("dv is not null")
     if metric == "cosine":  # lengths once a row, not once a pair
@@ -40,17 +49,18 @@ def knn(queries: DataFrame, rows: DataFrame, k: int = 10, metric: str = "cosine"
     else:
         dist = V.distance("qv", "dv", metric)
     near = (F.size("qv") == F.size("dv")) & (F.col("qid") != F.col("key")) if exclude_self else F.size("qv") == F.size("dv")
-    pairs = q.join(d, near)
-    return _ranked(pairs.select("qid", "key", dist.alias("distance")).where("distance is not null"), k)
+    out = None
+    for block in _blocks(q, "qid", "qv", most) if small == "queries" else _blocks(d, "key", "dv", most):
+        pairs = d.join(F.broadcast(block), near) if small == "queries" else q.join(F.broadcast(block), near)
+        hits = pairs.select("qid", "key", dist.alias("distance")).where("distance is not null")
+        out = hits if out is None else out.unionByName(hits)
+    return _ranked(out, k)
 
 
 def knn_block(queries: DataFrame, rows: DataFrame, k: int = 10, metric: str = "cosine", exclude_self: bool = False, most: int = BROADCAST_COMPONENTS) -> DataFrame:
     """The same by matrix products. The stated query set goes to the tasks in blocks of at most ``most`` components."""
-    size = queries.select(F.sum(F.size("vector")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-size // most))
     out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+    for part in _blocks(queries, "qid", "vector", most):
         held = part.where("vector is not null").select("qid", "vector").collect()  # at most about ``most`` components
         hits = _block(held, queries.schema["qid"].dataType, rows, k, metric, exclude_self)
         out = hits if out is None else out.unionByName(hits)
@@ -78,6 +88,16 @@ def _block(held: list, qid_type: DataType, rows: DataFrame, k: int, metric: str,
                 ok = ok[row[ok] <= edge]  # with all that tie
             yield from sorted(((q, keys[j], float(row[j])) for j in ok), key=lambda x: (x[2], x[1]))[:k]
 
+    def far(q: np.ndarray, d: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if metric == "cosine":
+                return 1 - (q @ d.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(d, axis=1))
+            if metric == "inner_product":
+                return -(q @ d.T)
+            if metric == "l2":
+                return np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] + (d**2).sum(1) - 2 * (q @ d.T)))
+        raise ValueError(metric)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict = {}
         for b in batches:
@@ -87,17 +107,10 @@ def _block(held: list, qid_type: DataType, rows: DataFrame, k: int, metric: str,
                 if not own:
                     continue
                 keys, d = [x for x, _ in own], np.array([v for _, v in own], np.float64)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    if metric == "cosine":
-                        far = 1 - (q @ d.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(d, axis=1))
-                    elif metric == "inner_product":
-                        far = -(q @ d.T)
-                    elif metric == "l2":
-                        far = np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] + (d**2).sum(1) - 2 * (q @ d.T)))
-                    else:
-                        raise ValueError(metric)
-                for hit in best(far, keys, qids):
-                    kept.setdefault(hit[0], []).append(hit)
+                step = max(1, TILE // len(own))
+                for i in range(0, len(qids), step):  # a tile of distances at a time
+                    for hit in best(far(q[i : i + step], d), keys, qids[i : i + step]):
+                        kept.setdefault(hit[0], []).append(hit)
             for q, hits in kept.items():
                 if len(hits) > 4 * k:
                     kept[q] = sorted(hits, key=lambda x: (x[2], x[1]))[:k]
@@ -116,7 +129,7 @@ def ivf_centroids(rows: DataFrame, lists: int) -> DataFrame:
 
 def ivf_assign(rows: DataFrame, centroids: DataFrame, probes: int = 1) -> DataFrame:
     """Rows with the keys of their ``probes`` nearest lists. Centroids are as many as lists: their number is a parameter."""
-    near = knn(rows.select(F.col("key").alias("qid"), "vector"), centroids.select(F.col("list_key").alias("key"), F.col("centre").alias("vector")), probes)
+    near = knn(rows.select(F.col("key").alias("qid"), "vector"), centroids.select(F.col("list_key").alias("key"), F.col("centre").alias("vector")), probes, small="rows")
     return rows.select("key", "vector").join(near.select(F.col("qid").alias("key"), F.col("key").alias("list_key")), "key")
 
 

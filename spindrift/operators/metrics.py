@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def per_query_by_group(hits: DataFrame, queries: DataFrame, groups: DataFrame, k: int = 10) -> DataFrame:
+    """per_query() where all others of a query's group are relevant, without a row for each such pair.
+
+    hits: qid, key, rank. queries: qid, group. groups: key, group. A group without others gives no row."""
+    size = groups.groupBy("group").agg(F.count("key").alias("size"))
+    relevant = queries.join(size, "group").select("qid", (F.col("size") - 1).alias("n")).where("n > 0")
+    own = hits.where((F.col("rank") <= k) & (F.col("qid") != F.col("key"))).join(queries, "qid")
+    return _scored(relevant, own.join(groups, ["key", "group"], "left_semi"), k)
+
+
 def per_query(hits: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """qid, n_relevant, recall_at_1, recall_at_k, mrr_at_k, ndcg_at_k for every query of ``qrels``.
 
@@ -13,6 +23,11 @@ def per_query(hits: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     relevant rows, so recall at 1 can be below 1 for a perfect hit."""
     relevant = qrels.groupBy("qid").agg(F.count("key").alias("n"))
     good = hits.where(F.col("rank") <= k).join(qrels.select("qid", "key"), ["qid", "key"], "left_semi")
+    return _scored(relevant, good, k)
+
+
+def _scored(relevant: DataFrame, good: DataFrame, k: int) -> DataFrame:
+    """relevant: qid, n. good: hits that are relevant."""
     found = good.groupBy("qid").agg(
         F.count_if(F.col("rank") == 1).alias("one"), F.count("rank").alias("found"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("gain")
     )

@@ -7,7 +7,6 @@ Merges are joins that write a whole new version; nothing is updated in place.
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -57,32 +56,35 @@ def settled(remaining: int, backlog: int) -> bool:
 
 
 def guarded_write(df: DataFrame, written: DataFrame) -> DataFrame:
-    """The table with new vectors where the row has none and its text is still the one that was embedded. written: key, text_hash, new_vector.
+    """The table with new vectors where the row has none of its text and its text is still the one that was embedded. written: key, text_hash, new_vector.
 
-    A row whose text changed meanwhile, or that has a vector by now, keeps what it has."""
-    w = written.select("key", F.col("text_hash").alias("_hash"), F.col("new_vector").alias("_new"))
-    joined = df.join(w, "key", "left")
-    ok = F.col("_new").isNotNull() & F.col("new_vector").isNull() & (F.col("_hash") == F.md5("text"))
-    return joined.withColumn("new_vector", F.when(ok, F.col("_new")).otherwise(F.col("new_vector"))).drop("_hash", "_new")
+    A row whose text changed meanwhile, or that has a vector of its text by now, keeps what it has. Where the table has a
+    new_hash, it says what text a vector was made from, and is written with it."""
+    joined, ok = _accepted(df, written)
+    if "new_hash" in df.columns:
+        joined = joined.withColumn("new_hash", F.when(ok, F.col("_hash")).otherwise(F.col("new_hash")))
+    return joined.withColumn("new_vector", F.when(F.col("_ok"), F.col("_new")).otherwise(F.col("new_vector"))).drop("_hash", "_new", "_ok")
 
 
-def same_payload(a: str, b: str) -> Column:
-    """Whether two JSON texts are equal as values: 1 and 1.0 are, true and 1 aren't, the order of keys doesn't matter."""
+def _accepted(df: DataFrame, written: DataFrame) -> tuple[DataFrame, Column]:
+    w = written.select("key", F.col("text_hash").alias("_hash"), F.col("new_vector").alias("_new"))
+    lacks = F.col("new_vector").isNull()
+    if "new_hash" in df.columns:
+        lacks = lacks | ~F.col("new_hash").eqNullSafe(F.md5("text"))
+    ok = F.coalesce(F.col("_new").isNotNull() & lacks & (F.col("_hash") == F.md5("text")), F.lit(False))
+    return df.join(w, "key", "left").withColumn("_ok", ok), F.col("_ok")
 
-    @F.udf("boolean")
-    def equal(x, y):
-        def plain(v):
-            if isinstance(v, dict):
-                return {k: plain(w) for k, w in v.items()}
-            if isinstance(v, list):
-                return [plain(w) for w in v]
-            return ("bool", v) if isinstance(v, bool) else v
 
-        if x is None or y is None:
-            return x is y
-        return plain(json.loads(x)) == plain(json.loads(y))
+def accepted(df: DataFrame, written: DataFrame) -> int:
+    """How many rows guarded_write() changes."""
+    joined, ok = _accepted(df, written)
+    return joined.where(ok).count()
 
-    return F.when(F.col(a).eqNullSafe(F.col(b)), F.lit(True)).otherwise(equal(a, b))
+
+def same_payload(a: str, b: str) -> Column:
+    """Whether two JSON texts are equal as values: 1 and 1.0 are, true and 1 aren't, the order of keys doesn't matter. What is no JSON equals itself only."""
+    plain = lambda c: F.coalesce(F.to_json(F.try_parse_json(c)), F.col(c))  # noqa: E731  variants keep keys in order and numbers without trailing zeros
+    return F.col(a).eqNullSafe(F.col(b)) | plain(a).eqNullSafe(plain(b))
 
 
 def differences(source: DataFrame, copy: DataFrame, payload: bool = True) -> DataFrame:
@@ -90,7 +92,7 @@ def differences(source: DataFrame, copy: DataFrame, payload: bool = True) -> Dat
     s = source.where(T.not_blank("text")).select("key", F.col("text").alias("st"), F.col("payload").alias("sp"), F.lit(True).alias("_s"))
     c = copy.select("key", F.col("text").alias("ct"), F.col("payload").alias("cp"), F.lit(True).alias("_c"))
     both = s.join(c, "key", "full")
-    stale = ~F.col("sp").eqNullSafe(F.col("cp")) if payload else F.lit(False)
+    stale = ~same_payload("sp", "cp") if payload else F.lit(False)
     action = F.when(F.col("_s").isNull(), "delete").when(F.col("_c").isNull() | ~F.col("st").eqNullSafe(F.col("ct")), "embed").when(stale, "payload")
     return both.select("key", action.alias("action")).where("action is not null")
 
@@ -153,8 +155,14 @@ def apply(
     spark = table.sparkSession
     first = status_counts(out.table).first()
     left = None if until is None else quota(first["with_text"], first["with_text"] - first["missing"], until)
+
+
+    def rejected() -> DataFrame | None:
+        """Keys as the table has them: a saved state has them as text."""
+        return spark.createDataFrame([(str(k),) for k in out.failed], "key string").select(F.col("key").cast(table.schema["key"].dataType)) if out.failed else None
+
     for n in range(1 + MORE_PASSES):
-        bad = spark.createDataFrame([(k,) for k in out.failed], table.select("key").schema) if out.failed else None
+        bad = rejected()
         todo = pending(out.table, failed=bad)
         backlog = todo.count()
         if n == 0:
@@ -170,7 +178,8 @@ def apply(
             limit = min(x for x in (chunk or backlog, backlog - done, left if left is not None else backlog) if x is not None)
             if limit <= 0:
                 break
-            some = store(todo.orderBy("key").limit(limit).select("key", T.clip("text", T.EMBED_CLIP).alias("text"), F.md5("text").alias("text_hash")))
+            part = todo if limit >= backlog - done and left is None else todo.orderBy("key").limit(limit)  # all that is pending needs no order
+            some = store(part.select("key", T.clip("text", T.EMBED_CLIP).alias("text"), F.md5("text").alias("text_hash")))
             size = some.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
             if not size["n"]:
                 break
@@ -184,18 +193,18 @@ def apply(
             good = got.where("error is null").select("key", "text_hash", F.col("vector").alias("new_vector"))
             if changed is not None:
                 out.table = changed(out.table)
+            wrote = accepted(out.table, good)
             out.table = store(guarded_write(out.table, good))
-            wrote = good.count()
             out.rows_written += wrote
             out.spent_usd += cost
             done += size["n"]
             if left is not None:
                 left -= wrote
-            bad = spark.createDataFrame([(k,) for k in out.failed], table.select("key").schema) if out.failed else None
+            bad = rejected()
             todo = pending(out.table, failed=bad)
         if out.status != "complete" or left is not None and left <= 0 or not done:
             break
-    bad = spark.createDataFrame([(k,) for k in out.failed], table.select("key").schema) if out.failed else None
+    bad = rejected()
     out.remaining = pending(out.table, failed=bad).count()
     if out.status == "complete" and left is not None and left <= 0 and out.remaining:
         out.status = "stopped"

@@ -118,11 +118,11 @@ MOST_DIMENSIONS = {"vector": 2000, "halfvec": 4000}
 
 def plan_findings(job: Job, cost: float | None = None, model_tags: list[str] = (), text_field: str | None = "text", texts: int = 1, rows: int = 1, primary_key: bool = True, column_exists: bool = False, column_dims: int | None = None, cut_over: bool = False, index_bytes: int | None = None, memory: int | None = None) -> list[tuple[str, str]]:
     """(id, severity) of what stands against a plan, in the order of the checks."""
-    out, m, dims = [], job.model, job.model.output_dimensions
-    if m.dimensions and m.provider == "openai" and m.base_model in S.DIMENSIONS:
-        if m.base_model not in S.SHORTENS and m.dimensions != S.DIMENSIONS[m.base_model]:
+    out, m, dims = [], job.model, S.width(job.model)
+    if m.dims and m.provider == "openai" and S.family(m) in S.DIMENSIONS:
+        if S.family(m) not in S.SHORTENS and m.dims != S.DIMENSIONS[S.family(m)]:
             out.append(("plan.dims_unsupported", "error"))
-        elif m.dimensions > S.DIMENSIONS[m.base_model]:
+        elif m.dims > S.DIMENSIONS[S.family(m)]:
             out.append(("plan.dims_too_large", "error"))
     if m.provider == "hash":
         out.append(("plan.baseline_model", "warning"))
@@ -157,8 +157,8 @@ def plan_findings(job: Job, cost: float | None = None, model_tags: list[str] = (
 def changes(job: Job, rows: int | None, column_exists: bool = False) -> list[tuple[str, str]]:
     """(kind, summary) of what apply would do, in order."""
     t, live = job.target, job.source.vector_column or "vector"
-    out = [] if column_exists else [("add_column", f"add {t.column}, {t.vector_type}({job.model.output_dimensions or '?'}), to {job.source.table}")]
-    out.append(("embed", f"embed {'all' if rows is None else f'about {rows:,}'} rows with {job.model.name}"))
+    out = [] if column_exists else [("add_column", f"add {t.column}, {t.vector_type}({S.width(job.model) or '?'}), to {job.source.table}")]
+    out.append(("embed", f"embed {'all' if rows is None else f'about {rows:,}'} rows with {S.title(job.model)}"))
     if t.index != "none":
         out.append(("index", f"build a {t.index} index on {t.column}"))
     return [*out, ("cutover", f"later: {live} becomes {live}_old, {t.column} becomes {live}")]

@@ -32,42 +32,62 @@ def by_slice(old: DataFrame, new: DataFrame, gates: Gates = Gates()) -> DataFram
     return both.withColumn("decision", F.when(F.col("queries") < gates.min_slice, "small").when(fell, "fell").otherwise("held"))
 
 
-def decide(slices: list, old_same: float | None = None, new_same: float | None = None, old_p95: float | None = None, new_p95: float | None = None, index_recalls: dict | None = None, mode: str = "queries", gates: Gates = Gates()) -> Verdict:
-    """slices: rows of by_slice(), a handful. No reason against and some evidence is a go; no evidence is inconclusive."""
-    v, evidence = Verdict("go"), False
-    held = []
-    if mode == "queries":
-        for r in slices:
-            name = "overall" if r["slice"] == "all" else r["slice"]
-            if r["decision"] == "small":
-                v.warnings.append(f"{name}: {r['queries']} queries are too few to decide on")
-                continue
-            evidence = True
-            if r["decision"] == "fell":
-                v.reasons.append(f"{name}: recall@10 fell from {r['old_recall']:.3f} to {r['new_recall']:.3f}")
-            else:
-                held.append(name)
-    else:
-        v.warnings.append("the old side is judged by its stored vectors only")
-    if old_same is not None and new_same is not None:
-        evidence = True
-        if new_same < old_same - gates.tolerance:
-            v.reasons.append(f"fewer neighbours of the same document: {old_same:.3f} before, {new_same:.3f} after")
-    if gates.max_p95_ms is not None and new_p95 is not None and new_p95 > gates.max_p95_ms:
-        v.reasons.append(f"p95 is {new_p95:.1f} ms, the limit {gates.max_p95_ms:g} ms")
-    if gates.max_slowdown_pct is not None and old_p95 and new_p95 is not None and new_p95 > old_p95 * (1 + gates.max_slowdown_pct / 100):
-        v.reasons.append(f"p95 is {new_p95:.1f} ms, {old_p95:.1f} ms before: more than {gates.max_slowdown_pct:g}% slower")
-    for side, r in (index_recalls or {}).items():
-        if r is not None and r < gates.least_index_recall:
-            v.warnings.append(f"the {side} index finds {r:.0%} of the exact neighbours")
-    if v.reasons:
-        v.status = "no_go"
-    elif not evidence:
-        v.status = "inconclusive"
-        v.reasons.append("not enough evidence to decide")
-    elif held:
-        v.reasons.append(f"recall@10 held: {', '.join(held)}")
-    return v
+@dataclass(frozen=True)
+class Measured:
+    """All that a decision may rest on. ``slices``: rows of by_slice(), a handful."""
+
+    slices: tuple = ()
+    same: tuple[float | None, float | None] = (None, None)
+    p95: tuple[float | None, float | None] = (None, None)
+    index_recalls: dict = field(default_factory=dict)
+    mode: str = "queries"
+
+
+def _slice_says(m: Measured, g: Gates):
+    for r in m.slices if m.mode == "queries" else ():
+        who, change = {"all": "overall"}.get(r["slice"], r["slice"]), f"{r['old_recall']:.3f} to {r['new_recall']:.3f}"
+        yield {"small": ("warns", f"{who}: {r['queries']} queries are too few to decide on"), "fell": ("against", f"{who}: recall@10 fell from {change}"), "held": ("for", who)}[r["decision"]]
+
+
+def _neighbours_say(m: Measured, g: Gates):
+    before, after = m.same
+    if None not in m.same:
+        yield ("against", f"fewer neighbours of the same document: {before:.3f} before, {after:.3f} after") if after < before - g.tolerance else ("for", "")
+
+
+def _latency_says(m: Measured, g: Gates):
+    before, after = m.p95
+    if after is not None and g.max_p95_ms is not None and after > g.max_p95_ms:
+        yield "against", f"p95 is {after:.1f} ms, the limit {g.max_p95_ms:g} ms"
+    if after is not None and before and g.max_slowdown_pct is not None and after > before * (1 + g.max_slowdown_pct / 100):
+        yield "against", f"p95 is {after:.1f} ms, {before:.1f} ms before: more than {g.max_slowdown_pct:g}% slower"
+
+
+def _index_says(m: Measured, g: Gates):
+    yield from (("warns", f"the {side} index finds {r:.0%} of the exact neighbours") for side, r in m.index_recalls.items() if r is not None and r < g.least_index_recall)
+
+
+def _mode_says(m: Measured, g: Gates):
+    if m.mode != "queries":
+        yield "warns", "the old side is judged by its stored vectors only"
+
+
+#: Each looks at the measurements and says things ``for``, ``against``, or ones that only warn.
+GATES = (_mode_says, _slice_says, _neighbours_say, _latency_says, _index_says)
+
+
+def decide(m: Measured, gates: Gates = Gates()) -> Verdict:
+    """One thing said against is a no-go. A go needs something said for it."""
+    said: dict[str, list[str]] = {"for": [], "against": [], "warns": []}
+    for gate in GATES:
+        for kind, words in gate(m, gates):
+            said[kind].append(words)
+    if said["against"]:
+        return Verdict("no_go", said["against"], said["warns"])
+    if not said["for"]:
+        return Verdict("inconclusive", ["not enough evidence to decide"], said["warns"])
+    held = ", ".join(filter(None, said["for"]))
+    return Verdict("go", [f"recall@10 held: {held}"] if held else [], said["warns"])
 
 
 EXIT_CODES = {"go": 0, "no_go": 1, "error": 2, "inconclusive": 3}

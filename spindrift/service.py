@@ -38,7 +38,7 @@ def plan(spark: SparkSession, j: job.Job) -> dict:
     df = spark.read.parquet(j.source.table)
     c = _columns(df, j.source.vector_column, j.source.text_column)
     own = df.agg(F.count(F.lit(1)).alias("rows"), F.count(c["vector"]).alias("vectors"), F.count_if(text.has_text(c["text"]) if c["text"] else F.lit(False)).alias("texts_present"), (F.avg(F.length(c["text"])) if c["text"] else F.lit(0.0)).alias("avg_chars"), F.max(vectors.dims(c["vector"])).alias("max_dims")).withColumn("estimated_rows", F.col("rows"))
-    e = estimates.estimate(own, j.model.price, j.model.batch_size, j.model.output_dimensions, kind=j.target.vector_type, tokens_per_minute=j.limits.tokens_per_minute, requests_per_minute=j.limits.requests_per_minute, hnsw=j.target.index == "hnsw").first().asDict()
+    e = estimates.estimate(own, j.model.price, j.model.batch, spec.width(j.model), kind=j.target.vector_type, tokens_per_minute=j.limits.tokens_per_minute, requests_per_minute=j.limits.requests_per_minute, hnsw=j.target.index == "hnsw").first().asDict()
     n = own.first()
     found = job.plan_findings(j, e["cost_usd"], text_field=c["text"], texts=n["texts_present"], rows=n["rows"])
     return {"estimates": e, "findings": [{"id": i, "severity": s} for i, s in found], "changes": [{"kind": k, "summary": s} for k, s in job.changes(j, e["est_rows"])], "ok": all(s != "error" for _, s in found)}
@@ -63,8 +63,8 @@ def apply(spark: SparkSession, j: job.Job, work: str, until: float | None = None
         return {"status": "refused", "findings": checked["findings"]}
     t = tables.VectorTable(spark, work)
     state = t.state
-    model, dims = remote.embedder(j.model), j.model.output_dimensions
-    out = migrate.apply(_migrating(spark, j, t), lambda df: embed.embedded(df, model, dims, j.model.batch_size), t.write, j.model.price, j.limits.budget_usd, until=until, failed=state.failed, spent=state.spent_usd)
+    model, dims = remote.embedder(j.model), spec.width(j.model)
+    out = migrate.apply(_migrating(spark, j, t), lambda df: embed.embedded(df, model, dims, j.model.batch), t.write, j.model.price, j.limits.budget_usd, until=until, failed=state.failed, spent=state.spent_usd)
     if not t.pointer.get("live"):
         t.write(out.table.select("key", "text", "vector"), "live")
     t.write(out.table, "new")
@@ -97,7 +97,7 @@ def evaluate(rows: DataFrame, old: spec.ModelSpec | None, new: spec.ModelSpec, q
     for side, model, column in (("old", old, "vector"), ("new", new, "new_vector")):
         have = rows.where(F.col(column).isNotNull()).select("key", F.col(column).alias("vector"))
         if model is not None:
-            q = embed.embedded(made.select("key", F.col("query").alias("text")), remote.embedder(model, "query"), model.output_dimensions).select(F.col("key").alias("qid"), "vector")
+            q = embed.embedded(made.select("key", F.col("query").alias("text")), remote.embedder(model, "query"), spec.width(model)).select(F.col("key").alias("qid"), "vector")
             top[side] = knn.knn_block(q, have, k)
             sides[side] = metrics.scores_by_slice(metrics.per_query(top[side], qrels, k), slices)
         if group is not None:
@@ -105,7 +105,7 @@ def evaluate(rows: DataFrame, old: spec.ModelSpec | None, new: spec.ModelSpec, q
             same[side] = metrics.same_group(near, group).agg(F.avg("same")).first()[0]
     mode = "queries" if "old" in sides else "vectors"
     decided = verdict.by_slice(sides["old"], sides["new"], gates).collect() if mode == "queries" else []
-    v = verdict.decide(decided, same.get("old"), same.get("new"), mode=mode, gates=gates)
+    v = verdict.decide(verdict.Measured(tuple(decided), (same.get("old"), same.get("new")), mode=mode), gates)
     out = {"mode": mode, "verdict": asdict(v), "slices": [r.asDict() for r in decided], "same_group": same, "overlap": metrics.overlap(top["old"], top["new"], k).first()["overlap"] if len(top) == 2 else None}
     made.unpersist()
     return out
@@ -123,12 +123,12 @@ def bench(docs: DataFrame, specs: list[spec.ModelSpec], queries: int = 100, seed
     out = []
     for n, s in enumerate(specs):
         try:
-            d = embed.embedded(docs, remote.embedder(s), s.output_dimensions)
-            q = embed.embedded(asked.select(F.col("qid").alias("key"), F.col("query").alias("text")), remote.embedder(s, "query"), s.output_dimensions)
+            d = embed.embedded(docs, remote.embedder(s), spec.width(s))
+            q = embed.embedded(asked.select(F.col("qid").alias("key"), F.col("query").alias("text")), remote.embedder(s, "query"), spec.width(s))
             score = metrics.scores(metrics.per_query(knn.knn_block(q.select(F.col("key").alias("qid"), "vector"), d), qrels)).first().asDict()
         except Exception as e:  # noqa: BLE001  a model that fails is ranked last
             score = {"error": str(e)[:300]}
-        out.append({"name": s.name, "ordinal": n, "gb": (s.output_dimensions or 0) * 4 / 1000} | score)
+        out.append({"name": spec.title(s), "ordinal": n, "gb": (spec.width(s) or 0) * 4 / 1000} | score)
     return {"models": sorted(out, key=lambda m: ("error" in m, -m.get("recall_at_k", 0), m["ordinal"]))}
 
 

@@ -1,5 +1,6 @@
 """Hand-computed values, awkward rows, and all queries against DuckDB."""
 
+import hashlib
 import json
 import math
 import uuid
@@ -176,11 +177,15 @@ def test_text_functions(spark):
 
 
 def test_fingerprints(spark):
-    f = I.Fingerprint("OpenAI ", "text-embedding-3-small", 1536)
-    assert f.tag == "openai/text-embedding-3-small@1536#a3ac94a82eca" and I.Fingerprint("openai", "text-embedding-3-small", 1536, prefix="|").digest == "6905b75364c7"
-    assert f.compatible(I.Fingerprint("openai", "Text-Embedding-3-Small", 1536)) and not f.compatible(I.Fingerprint("openai", "text-embedding-3-small", 512))
-    with pytest.raises(ValueError):
-        I.Fingerprint(" ", "m", 1)
+    f = I.fingerprint("OpenAI ", "text-embedding-3-small", 1536)
+    assert f["tag"] == "openai/text-embedding-3-small@1536#a3ac94a82eca" and I.fingerprint("openai", "text-embedding-3-small", 1536, prefix="|")["digest"] == "6905b75364c7"
+    assert f == I.fingerprint("openai", "Text-Embedding-3-Small", 1536) and f["digest"] != I.fingerprint("openai", "text-embedding-3-small", 512)["digest"]
+    for bad in ((" ", "m", 1), ("p", "", 1), ("p", "m", 0)):
+        with pytest.raises(ValueError):
+            I.fingerprint(*bad)
+    odd = [("P", "mé😀\x01\t\"\\\\ \x7f/", 3, None, "", "x\ny", False), ("p", "m", 1, "v", "t", None, True)]
+    got = spark.createDataFrame(odd, "provider string, model string, dimensions int, version string, task string, prefix string, normalized boolean").select(I.digest()).collect()
+    assert [r[0] for r in got] == [I.fingerprint(*o)["digest"] for o in odd]
     assert len({I.ulid() for _ in range(50)}) == 50 and len(I.ulid()) == 26
 
 
@@ -236,10 +241,10 @@ def test_estimates_by_hand(spark):
 
 def test_specs():
     s = spec.parse("openai/text-embedding-3-large,dims=256")
-    assert (s.name, s.dimensions, s.price, s.output_dimensions, s.is_local) == ("openai/text-embedding-3-large (256d)", 256, 0.13, 256, False)
-    assert spec.parse("ollama/nomic-embed-text:latest").output_dimensions == 768 and spec.parse("ollama/nomic-embed-text").query_prefix == "search_query: "
-    assert spec.parse("hash/512").dimensions == 512 and spec.parse("compat/BAAI/bge-m3,url=http://h:1/v1/?k=s,price=0").safe_raw.count("k=s") == 0
-    assert spec.parse("compat/m,url=http://10.0.0.1/v1").sends_plaintext and spec.parse("compat/m,url=https://h/v1").key_env is None
+    assert (spec.title(s), s.dims, s.price, spec.width(s), spec.at_home(s)) == ("openai/text-embedding-3-large (256d)", 256, 0.13, 256, False)
+    assert spec.width(spec.parse("ollama/nomic-embed-text:latest")) == 768 and spec.parse("ollama/nomic-embed-text").query_prefix == "search_query: "
+    assert spec.parse("hash/512").dims == 512 and spec.masked(spec.parse("compat/BAAI/bge-m3,url=http://h:1/v1/?k=s,price=0")) == "compat/BAAI/bge-m3,url=http://h:1/v1/?…,price=0"
+    assert spec.in_the_clear(spec.parse("compat/m,url=http://10.0.0.1/v1")) and spec.parse("compat/m,url=https://h/v1").key_env is None
     for bad in ("x", "nope/m", "openai/", "hash/abc", "openai/m,dims=0", "openai/m,what=1", "compat/m", "compat/m,url=ftp://h", "compat/m,url=http://u:p@h"):
         with pytest.raises(spec.SpecError):
             spec.parse(bad)
@@ -262,16 +267,16 @@ def rows_of(**decisions):
 
 
 def test_verdicts():
-    assert verdict.decide(rows_of(all=(40, 0.8, 0.79))).status == "go"
-    assert verdict.decide(rows_of(all=(40, 0.8, 0.7))).status == "no_go"
-    v = verdict.decide(rows_of(all=(40, 0.8, 0.8), ar=(40, 0.9, 0.5)))
+    assert verdict.decide(verdict.Measured(rows_of(all=(40, 0.8, 0.79)))).status == "go"
+    assert verdict.decide(verdict.Measured(rows_of(all=(40, 0.8, 0.7)))).status == "no_go"
+    v = verdict.decide(verdict.Measured(rows_of(all=(40, 0.8, 0.8), ar=(40, 0.9, 0.5))))
     assert v.status == "no_go" and "ar" in v.reasons[0]
-    v = verdict.decide(rows_of(all=(10, 0.8, 0.1)))
+    v = verdict.decide(verdict.Measured(rows_of(all=(10, 0.8, 0.1))))
     assert v.status == "inconclusive" and v.warnings
-    assert verdict.decide([], 0.9, 0.8, mode="vectors").status == "no_go" and verdict.decide([], 0.9, 0.9, mode="vectors").status == "go"
-    assert verdict.decide(rows_of(all=(40, 0.8, 0.8)), new_p95=50, gates=verdict.Gates(max_p95_ms=40)).status == "no_go"
-    assert verdict.decide(rows_of(all=(40, 0.8, 0.8)), old_p95=10, new_p95=16, gates=verdict.Gates(max_slowdown_pct=50)).status == "no_go"
-    assert verdict.decide(rows_of(all=(40, 0.8, 0.8)), index_recalls={"new": 0.5}).warnings
+    assert verdict.decide(verdict.Measured(same=(0.9, 0.8), mode="vectors")).status == "no_go" and verdict.decide(verdict.Measured(same=(0.9, 0.9), mode="vectors")).status == "go"
+    assert verdict.decide(verdict.Measured(rows_of(all=(40, 0.8, 0.8)), p95=(None, 50)), verdict.Gates(max_p95_ms=40)).status == "no_go"
+    assert verdict.decide(verdict.Measured(rows_of(all=(40, 0.8, 0.8)), p95=(10, 16)), verdict.Gates(max_slowdown_pct=50)).status == "no_go"
+    assert verdict.decide(verdict.Measured(rows_of(all=(40, 0.8, 0.8)), index_recalls={"new": 0.5})).warnings
 
 
 def test_readiness():
@@ -320,6 +325,15 @@ def test_apply_until_budget_stop_and_poison(spark, store):
 
     out = migrate.apply(migrating(spark), poison, store)
     assert list(out.failed) == [13] and out.rows_written == 35
+    again = migrate.apply(out.table, poison, store, failed={"13": "no"})  # as a saved state has it
+    assert (again.passes, again.remaining) == (0, 0)
+
+
+def test_stale_vectors_are_replaced(spark, store):
+    rows = spark.createDataFrame([(1, "new text", [1.0], "old"), (2, "same", [1.0], hashlib.md5(b"same").hexdigest()), (3, "none", None, None)], "key long, text string, new_vector array<float>, new_hash string")
+    out = migrate.apply(rows, lengths, store)
+    assert (out.status, out.rows_written, out.remaining, out.passes) == ("complete", 2, 0, 1)
+    assert {r.key: (r.new_vector[0], r.new_hash == hashlib.md5(r.text.encode()).hexdigest()) for r in out.table.collect()} == {1: (8.0, True), 2: (1.0, True), 3: (4.0, True)}
 
 
 def test_edits_during_a_run_are_not_lost(spark, store):
@@ -419,6 +433,10 @@ def test_envfile(tmp_path, monkeypatch):
         envfile.parse("what is this")
     envfile.save(p, "SPINDRIFT_T", 'q"uo\\te')
     envfile.save(p, "SPINDRIFT_T", "two")
+    assert envfile.parse('A="x\\ty\\$z\\q"\nB=a#b # c\nC=#\nD=\n') == {"A": "x\ty$z\\q", "B": "a#b", "C": "", "D": ""}
+    envfile.save(p, "OTHER", 'a"\\$\t\n')
+    assert envfile.parse(p.read_text()) == {"SPINDRIFT_T": "two", "OTHER": 'a"\\$\t\n'} and envfile.load(tmp_path / "none") == []
+    monkeypatch.setenv("OTHER", "")
     assert p.stat().st_mode & 0o777 == 0o600
     monkeypatch.setenv("SPINDRIFT_T", "kept")
     assert envfile.load(p) == []

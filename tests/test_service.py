@@ -52,7 +52,7 @@ def test_http_models(server, spark, monkeypatch):
     rows = {r.key: r for r in embed.embedded(spark.createDataFrame([(1, "x"), (2, "bad"), (3, "yy")], "key long, text string"), remote.embedder(s), 2).collect()}
     assert rows[2].error and rows[1].vector[0] == 3.0 and rows[3].vector[0] == 4.0
     with pytest.raises(remote.EmbeddingError):
-        remote.api_key(spec.parse("compat/m,url=http://example.com/v1,key_env=MY_KEY"))
+        remote.credentials(spec.parse("compat/m,url=http://example.com/v1,key_env=MY_KEY"))
 
 
 def test_a_whole_migration(spark, tmp_path, capsys, monkeypatch):
