@@ -163,7 +163,7 @@ def keep_rows(docs: DataFrame, decide: Callable[[list[str]], list[bool]]) -> Dat
             mask, start = [], 0
             while start < len(texts):
                 end, size = start, 0
-                while end < len(texts) and (size < 1_000_000 or end == start):
+                while end < len(texts) and (size < 500_000 or end == start):
                     size += len(texts[end])
                     end += 1
                 mask += [bool(x) for x in decide(texts[start:end])]

@@ -62,7 +62,7 @@ class Words:
         self.first = np.searchsorted(self.start, self.bounds)  # index of each text's first word; then the number of words
 
 
-def slices(texts: list[str], room: int = 1_000_000):
+def slices(texts: list[str], room: int = 500_000):
     """(first, end) of runs of texts of about ``room`` characters together: arrays for all bytes at once would take some hundred bytes for each."""
     start = 0
     while start < len(texts):
@@ -80,7 +80,7 @@ def forget_units() -> None:
         units.id_encoder.cache_clear()
 
 
-def groups(batches, room: int = 1_000_000, columns: tuple[str, ...] = ("doc_id",)):
+def groups(batches, room: int = 500_000, columns: tuple[str, ...] = ("doc_id",)):
     """Lists of rows' ``columns`` and their texts, of about ``room`` characters together."""
     forget_units()
     held, texts, size = [], [], 0
