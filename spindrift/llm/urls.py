@@ -65,7 +65,8 @@ def active(captures: DataFrame, log: DataFrame) -> DataFrame:
     listed = intervals(log).groupBy("key").agg(F.collect_list(entry).alias("entries"))
     often = keyed.where("key is not null").groupBy("key").count()
     total = captures.count()
-    hot = F.broadcast(often.where(F.col("count") * 1000 > total).join(listed, "key").select("key", F.col("entries").alias("hot")))
+    none = F.array().cast(listed.schema["entries"].dataType)  # most frequent keys are on no list
+    hot = F.broadcast(often.where(F.col("count") * 1000 > total).join(listed, "key", "left").select("key", F.coalesce("entries", none).alias("hot")))
     met = keyed.join(hot, "key", "left")
     # rows that have been served, and rows without a key, are spread by their number; no key looks like that
     other = F.when(F.col("hot").isNull(), F.col("key"))
