@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import identity as I
 from spindrift.functions import text as T
 from spindrift.functions import vectors as V
-from spindrift.operators import embed, knn, metrics, migrate, profile, sampling
+from spindrift.operators import embed, knn, lookup, metrics, migrate, profile, sampling
 from spindrift.plans import estimates, stages, verdict
 from spindrift.sources import tables
 from spindrift.streaming import feed
@@ -406,7 +406,7 @@ def _cases(spark, names: str, rows: list[tuple]) -> DataFrame:
 
 def _cases_sql(names: list[str], rows: list[tuple]) -> str:
     cell = lambda v: "null" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).lower()
-    return "(values " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") t({', '.join(names)})"
+    return "(values " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + ") t(" + ", ".join(f'"{n}"' for n in names) + ")"
 
 
 _PAYLOADS = [(1, '{"a":1,"b":2}', '{"b":2,"a":1.0}'), (2, '{"a":1}', '{"a":true}'), (3, '{"a":[1,2]}', '{"a":[2,1]}'), (4, None, None), (5, None, "{}"), (6, '{"a":{"x":null}}', '{ "a" : {"x" : null} }'), (7, '{"a":null}', "{}"), (8, '"1"', "1"), (9, "no json", "no json"), (10, "no json", "no  json"), (11, '{"a":"é"}', '{"a":"\\u00e9"}'), (12, '{"n":1.50}', '{"n":1.5}')]
@@ -683,3 +683,94 @@ def cutover_readiness(spark, sf):
     c = migrate.status_counts(_migrating(spark, sf)).first()
     found = stages.readiness("ready", pending=c["missing"], no_text=c["rows"] - c["with_text"], old_dims=2, new_dims=1)
     return spark.createDataFrame([(i,) for i, _ in found], "id string")
+
+
+# Rows by key, page or chance; formats.
+@query("select doc_id as key, text, lang from documents where doc_id in (select distinct doc_id from labels where doc_id % 7 = 0)")
+def retrieved_points(spark, sf):
+    docs = _docs(spark, sf).select("key", "text", "lang", F.array(F.lit(1.0)).alias("vector"))
+    return lookup.retrieve(docs, _table(spark, sf, "labels").where("doc_id % 7 = 0").select(F.col("doc_id").alias("key")))
+
+
+@query("select doc_id as key, md5(text) as text from documents where trim(text, E' \\t\\n\\r\\f\\v') <> '' and doc_id in (select doc_id from labels where doc_id % 9 = 1)")
+def looked_up_texts(spark, sf):
+    return lookup.texts(_docs(spark, sf), _table(spark, sf, "labels").where("doc_id % 9 = 1").select(F.col("doc_id").alias("key"))).select("key", F.md5("text").alias("text"))
+
+
+@query("""with p as (select doc_id as key, case when doc_id % 3 <> 0 then text end as text, row_number() over (order by doc_id) as r from documents where doc_id >= 40)
+select key, (select key from p where r = 31) as next from p where r <= 30 and text is not null and trim(text, E' \\t\\n\\r\\f\\v') <> ''""")
+def scrolled_page(spark, sf):
+    """A page of thirty from a key on; rows without text are left out, the cursor goes past them."""
+    docs = _docs(spark, sf).select("key", F.when(F.col("key") % 3 != 0, F.col("text")).alias("text"))
+    return lookup.scroll(docs, 40, 30).select("key", "next")
+
+
+@query("select doc_id as key, lang from documents order by md5(doc_id || '|s1'), doc_id limit 25")
+def random_sample(spark, sf):
+    return lookup.random_sample(_docs(spark, sf), 25, "s1").select("key", "lang")
+
+
+_EVENTS = [("s", "a", "n1", "apply", 1), ("s", "a", "n1", "cutover", 3), ("s", "a", "n1", "rollback", 3), ("s", "a", "n2", "apply", 9), ("s", "b", "n1", "apply", 4), ("t", "a", "n1", "cleanup", 2), ("t", "a", "n1", None, None)]
+_EVENT_COLUMNS = ["store", "alias", "new", "event", "at"]
+
+
+@query('select event, "at" from ' + _cases_sql(_EVENT_COLUMNS, _EVENTS) + " where store = 's' and alias = 'a' and new = 'n1'")
+def switch_history(spark, sf):
+    return lookup.history(_cases(spark, "store string, alias string, new string, event string, at int", _EVENTS), "s", "a", "n1").select("event", "at")
+
+
+@query('select store, alias, max_by(event, ("at", event)) as event, max("at") as "at" from ' + _cases_sql(_EVENT_COLUMNS, _EVENTS) + ' where "at" is not null group by store, alias')
+def latest_events(spark, sf):
+    return lookup.latest(_cases(spark, "store string, alias string, new string, event string, at int", _EVENTS), "store", "alias")
+
+
+@query("select * from (values ('pk', 'a', 1), ('pk', 'b', 2), ('i', 'c', 1)) t(index, \"column\", ordinal)")
+def key_ordinality(spark, sf):
+    return lookup.key_columns(_cases(spark, "index string, columns array<string>", [("pk", ["a", "b"]), ("i", ["c"]), ("none", [])]))
+
+
+_TIMES = [(1, 10.5, 2.0), (2, None, 3.0), (3, 4.0, None)]
+
+
+@query("select key, coalesce(e::double, 0) + s::double as p95 from " + _cases_sql(["key", "e", "s"], _TIMES))
+def end_to_end_p95(spark, sf):
+    return _cases(spark, "key int, e double, s double", _TIMES).select("key", lookup.end_to_end("e", "s").alias("p95"))
+
+
+_SHARES = [(1, 0, 0), (2, 1, 1000), (3, 0, 9), (4, 1, 3), (5, 1, 1), (6, 5, 1000), (7, 25, 1000), (8, 35, 1000)]
+
+
+@query("select key, case when whole = 0 then '0%' when part > 0 and 100.0 * part / whole < 1 then '<1%' else round_even(100.0 * part / whole, 0)::int || '%' end as share from " + _cases_sql(["key", "part", "whole"], _SHARES))
+def share_formats(spark, sf):
+    return _cases(spark, "key int, part int, whole int", _SHARES).select("key", T.share("part", "whole").alias("share"))
+
+
+@query("select doc_id as key, md5('query: ' || text) as as_query, md5('passage: ' || text) as as_document from documents where lang = 'en'")
+def prefix_modes(spark, sf):
+    own = _docs(spark, sf).where("lang = 'en'")
+    return own.select("key", *[F.md5(T.prefixed("text", mode, "query: ", "passage: ")).alias(f"as_{mode}") for mode in ("query", "document")])
+
+
+@query("select * from (values (1, true), (2, false), (3, false), (4, false), (5, false)) t(key, valid)")
+def vector_validity(spark, sf):
+    rows = [(1, [1.0, 0.0]), (2, []), (3, None), (4, [1.0, None]), (5, [float("nan")])]
+    return _cases(spark, "key int, v array<double>", rows).select("key", V.is_valid("v").alias("valid"))
+
+
+@query("select * from (values (true, true, 'cut_over'), (true, false, 'cut_over'), (false, true, 'applied'), (false, false, 'not_applied')) t(points, has_new, stage)")
+def alias_stages(spark, sf):
+    rows = _cases(spark, "points boolean, has_new boolean", [(a, b) for a in (True, False) for b in (True, False)])
+    return rows.select("points", "has_new", stages.alias_stage(F.col("points"), F.col("has_new")).alias("stage"))
+
+
+@query("select vec_id as key, left(repeat('c' || vec_id, 20), 59) || '_old' as old, left(repeat('c' || vec_id, 20), 52) || '_hnsw_index' as index from embeddings where vec_id between 100 and 199")
+def derived_names(spark, sf):
+    own = _vectors(spark, sf).where("key between 100 and 199").select("key", F.repeat(F.concat(F.lit("c"), F.col("key").cast("string")), 20).alias("base"))
+    return own.select("key", lookup.derived_name("base", "old").alias("old"), lookup.derived_name("base", "hnsw_index").alias("index"))
+
+
+@query("select page_id as key, strftime(timestamp '2024-02-28 23:59:58' + to_seconds(page_id * 7), '%Y-%m-%dT%H:%M:%SZ') as \"at\" from pages")
+def utc_times(spark, sf):
+    start = F.to_timestamp(F.lit("2024-02-28T23:59:58Z"))
+    own = _table(spark, sf, "pages").select(F.col("page_id").alias("key"), F.timestamp_add("SECOND", (F.col("page_id") * 7).cast("int"), start).alias("t"))
+    return own.select("key", lookup.utc("t").alias("at"))

@@ -76,9 +76,10 @@ def run(args: argparse.Namespace) -> tuple[dict | str, int]:
         return out, verdict.EXIT_CODES[out["verdict"]["status"]]
     if args.command == "cutover":
         now = service.status(spark, j, args.work)
-        if args.check or now["stage"] != "ready":
+        if args.check or now["stage"] not in ("ready", "filling"):
             return now, int(now["stage"] != "ready")
-        t.cutover()
+        out = service.cutover(spark, j, args.work)
+        return out, int("pending" in out)
     elif args.command == "rollback":
         t.rollback()
     else:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import text, vectors
 from spindrift.operators import embed, knn, metrics, migrate, profile, remote, sampling
-from spindrift.plans import estimates, job, spec, stages, verdict
+from spindrift.plans import estimates, job, spec, stages, switch, verdict
 from spindrift.sources import tables
 
 
@@ -75,6 +75,17 @@ def apply(spark: SparkSession, j: job.Job, work: str, until: float | None = None
     return {"status": out.status, "rows_written": out.rows_written, "spent_usd": out.spent_usd, "remaining": out.remaining, "failed": len(out.failed), "passes": out.passes}
 
 
+def cutover(spark: SparkSession, j: job.Job, work: str) -> dict:
+    """Switches; rows that changed last are embedded on the way, after a catch-up where they are many."""
+    t = tables.VectorTable(spark, work)
+    model, dims = remote.embedder(j.model), spec.width(j.model)
+    try:
+        late = switch.cutover(t, lambda: _migrating(spark, j, t), lambda df: embed.embedded(df, model, dims, j.model.batch), lambda: apply(spark, j, work))
+    except switch.StillPending as e:
+        return {"stage": t.stage, "pending": e.rows}
+    return {"stage": t.stage, "embedded": late}
+
+
 def status(spark: SparkSession, j: job.Job, work: str) -> dict:
     t = tables.VectorTable(spark, work)
     s = t.stage

@@ -347,6 +347,38 @@ def test_edits_during_a_run_are_not_lost(spark, store):
     assert out.remaining == 0 and {r.key: r.new_vector[0] for r in out.table.where("new_vector is not null").collect()}[1] == 6.0 and out.passes == 2
 
 
+def test_late_rows_at_the_switch(spark, tmp_path):
+    from spindrift.plans import switch
+
+    def table_of(path, missing):
+        t = tables.VectorTable(spark, f"file://{tmp_path}/{path}")
+        rows = migrating(spark, 200).where("text is not null and trim(text) <> ''")
+        keys = [r.key for r in rows.select("key").orderBy("key").limit(missing).collect()]
+        full = rows.withColumn("new_vector", F.when(~F.col("key").isin(keys), F.array(F.lit(1.0).cast("float"))).cast("array<float>"))
+        t.write(full.select("key", "text", "new_vector"), "live")
+        return t, full, t.write(full, "new")
+
+    t, full, _ = table_of("a", 7)
+    assert switch.cutover(t, lambda: full, lengths, late=7) == 7 and t.stage == "cut_over"
+    assert migrate.pending(t.read("live")).count() == 0
+    t, full, _ = table_of("b", 8)
+    with pytest.raises(switch.StillPending) as e:
+        switch.cutover(t, lambda: full, lengths, late=7)
+    assert e.value.rows == 8 and t.stage == "filling"
+    state = {"now": full, "n": 0}
+
+    def catch_up():
+        state["n"] += 1
+        state["now"] = switch.fill(full, lengths)[0]
+
+    assert switch.cutover(t, lambda: state["now"], lengths, catch_up, late=7) == 0 and state["n"] == 1
+    t, full, _ = table_of("c", 3)
+    poison = lambda df: df.select("key", F.lit(None).cast("array<float>").alias("vector"), F.lit("no").alias("error"))
+    with pytest.raises(switch.StillPending):
+        switch.cutover(t, lambda: full, poison)
+    assert switch.cutover(t, lambda: full, poison, allow_missing=True) == 3
+
+
 def test_differences_catch_up(spark):
     src = spark.createDataFrame([(i, None if i % 10 == 0 else f"t{i}", "{}") for i in range(25)], "key long, text string, payload string")
     copy = src.where("text is not null")
