@@ -113,6 +113,33 @@ def test_neardup_equals_brute_force(spark, small):
     assert got == want and any(a != b for a, b in got)
 
 
+def test_neardup_recall(spark):
+    """Ids divisible by 20 against all texts: links that an exact search by a prefix filter finds, apart from all bands and centres."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    got = dict(map(tuple, neardup.classes(docs).collect()))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    ids = sorted(texts)
+    own = [texts[i] for i in ids]
+    w = neardup._words(own)
+    words, n = np.unique(neardup._distinct(w), return_counts=True)
+    h, v, first = neardup.shingles(own, neardup.Weights(words[n * neardup.RARE >= len(ids)], n[n * neardup.RARE >= len(ids)], len(ids)))
+    doc = np.repeat(np.arange(len(ids)), np.diff(first))
+    whole, order = np.bincount(doc, v, len(ids)), np.argsort(h, kind="stable")
+    s = h[order]
+    often = np.searchsorted(s, h, "right") - np.searchsorted(s, h, "left")
+    sets = lambda k: (np.sort(h[first[k] : first[k + 1]]), v[first[k] : first[k + 1]][np.argsort(h[first[k] : first[k + 1]])])
+    links = found = 0
+    for q in (k for k, d in enumerate(ids) if d % 20 == 0 and first[k] < first[k + 1]):
+        a, b = first[q], first[q + 1]
+        at = np.argsort(often[a:b], kind="stable")
+        prefix = h[a:b][at][v[a:b][at][::-1].cumsum(dtype=np.float64)[::-1] >= 0.7999 * v[a:b].sum(dtype=np.float64)]
+        near = {k for i, j in zip(np.searchsorted(s, prefix), np.searchsorted(s, prefix, "right")) for k in doc[order[i:j]].tolist()}
+        for k in near:
+            if own[k] != own[q] and min(whole[k], whole[q]) >= 0.79 * max(whole[k], whole[q]) and neardup.weighted_jaccard(sets(q), sets(k)) >= 0.8:
+                links, found = links + 1, found + (got[ids[q]] == got[ids[k]])
+    assert links > 20 and found >= 0.98 * links
+
+
 def test_neardup_of_a_group_of_edits(spark):
     """Copies with edits of their own: many are near the original only, and not near each other."""
     rng = random.Random(4)
