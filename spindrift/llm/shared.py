@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -53,6 +53,30 @@ def discard(*tables: DataFrame | None) -> None:
             _remove(t.sparkSession, t._spindrift_path)
 
 
+def numbered(df: DataFrame, group: str, order: list[str], row_bytes: int, part_bytes: int = 32 << 20) -> DataFrame:
+    """``df`` with two more columns: ``place`` of each row in its group, from 0, in the order of ``order`` (nulls first), and ``n``, the group's rows.
+
+    No group meets in one task: rows are sorted over range partitions of about ``part_bytes``, and stored; a row's place is its place in
+    the partition and the rows of its group in the partitions before. Rows that are equal in all of these are
+    dealt by their place in the input. ``group`` is never null."""
+    rows = in_order(df, [group, *order], row_bytes=F.lit(row_bytes), part_bytes=part_bytes)
+    runs = rows.groupBy(group, "part").agg(F.min("serial").alias("_first"), F.count("*").alias("_n"))  # one row for each group and partition
+    w = Window.partitionBy(group)
+    runs = runs.select(group, "part", (F.sum("_n").over(w.orderBy("part")) - F.col("_n") - F.col("_first")).alias("_shift"), F.sum("_n").over(w).alias("n"))
+    return rows.join(runs, [group, "part"]).select(*df.columns, (F.col("serial") + F.col("_shift")).alias("place"), "n")
+
+
+def in_order(df: DataFrame, order: list[str], row_bytes: Column, part_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of ``df`` sorted by ``order`` (nulls first) over range partitions, stored, with ``part`` and ``serial``, which ascends in this order.
+
+    The number of partitions follows from the sum of ``row_bytes``. Equal rows are dealt by their place in the input, so no key is a hot one."""
+    size = df.agg(F.sum(row_bytes)).first()[0] or 0
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    salt = unused(df.columns, "_salt")
+    dealt = df.withColumn(salt, F.monotonically_increasing_id()).repartitionByRange(max(1, -(-int(size) // part_bytes)), *keys, F.col(salt).asc())
+    return stored(dealt.sortWithinPartitions(*keys).select(*df.columns, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("serial")))
+
+
 def unused(columns: list[str], name: str) -> str:
     """``name``, with as many underscores after it as make it differ from all ``columns`` in Spark's sense."""
     have = {c.lower() for c in columns}
