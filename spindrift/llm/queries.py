@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from spindrift.llm import bpe, grammar, lines, media, merkle, neardup, packing, quality, repair, toxicity, urls, winnow
+from spindrift.llm import bpe, counts, grammar, lines, media, merkle, neardup, packing, quality, repair, toxicity, urls, winnow
 from spindrift.llm.shared import tokenizer_path
 
-WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
+WORD_BPE, BYTE_BPE, PIECE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _docs(spark, sf_dir):
@@ -67,7 +67,11 @@ def op12_repair_lazy(spark, sf_dir):
     return repair.repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_chunks, op2_quality_attention, op3_media_png, op4_pack_squares, op5_lines_cuckoo, op6_ids_repair, op7_toxicity_zstd, op8_neardup_icws, op9_urls_as_of, op10_winnowing, op11_merkle_duckdb, op12_repair_lazy)}
+def op13_prefix_counts(spark, sf_dir):
+    return counts.limits(counts.table(_docs(spark, sf_dir), tokenizer_path(PIECE_BPE)))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_chunks, op2_quality_attention, op3_media_png, op4_pack_squares, op5_lines_cuckoo, op6_ids_repair, op7_toxicity_zstd, op8_neardup_icws, op9_urls_as_of, op10_winnowing, op11_merkle_duckdb, op12_repair_lazy, op13_prefix_counts)}
 _LINES_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
 l as (select doc_id, i, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as s
