@@ -34,7 +34,7 @@ SCHEMA = "doc_id long, n_bytes long, n_chars long, n_tokens long, changes binary
 class Prefixes:
     """Counts of all prefixes of texts. ``room``: bound on the units and pairs that are kept."""
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 1_000_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -51,7 +51,13 @@ class Prefixes:
         # units may only be cut where no piece goes on
         inner = any(re.search(f"[^{BLANK}]{BLANK}", x) for x in self.pieces)
         self.unit = re.compile(".+" if inner else f"{BLANK}+[^{BLANK}]*", re.DOTALL)
-        self.room, self.units, self.pairs = room, {}, {}
+        # lengths of the pieces that end in given three characters, the longest first, with that of two if their last two are a piece
+        self.lengths: dict[str, list[int]] = {}
+        for n, end in sorted({(len(x), x[-3:]) for x in self.pieces if len(x) > 2}, reverse=True):
+            self.lengths.setdefault(end, []).append(n)
+        for end, n in self.lengths.items():
+            n += [2] * (end[1:] in self.pieces)
+        self.room, self.units, self.pairs = room, Recent(room), {}
 
     def merged(self, text: str) -> list[str]:
         """The tokens of a short text, by merging: the best score first, then the leftmost."""
@@ -63,47 +69,71 @@ class Prefixes:
             i = min(found)[1]
             own[i : i + 2] = [own[i] + own[i + 1]]
 
-    def apart(self, before: str, last: str) -> bool:
+    def apart(self, pair: tuple[str, str]) -> bool:
         """Whether the two tokens stay these two when they are merged alone; before the first token there is none."""
-        key = before, last
-        out = self.pairs.get(key)
-        if out is None:
-            if len(self.pairs) >= self.room:
-                self.pairs.clear()
-            out = self.pairs[key] = self.merged(before + last) == ([before, last] if before else [last])
+        if len(self.pairs) >= self.room:
+            self.pairs.clear()
+        before, last = pair
+        out = self.pairs[pair] = self.merged(before + last) == ([before, last] if before else [last])
         return out
 
     def changes(self, unit: str) -> bytes:
         """By how much the count changes with each character of a unit, a signed byte each."""
-        pieces, last, count = self.pieces, [""], [0]
+        pieces, lengths, known = self.pieces, self.lengths.get, self.pairs.get
+        last, count, out, before = [""], [0], bytearray(), 0
         for i in range(1, len(unit) + 1):
-            for k in range(min(i, self.longest), 0, -1):
-                end = unit[i - k : i]
-                if (k == 1 or end in pieces) and self.apart(last[i - k], end):
-                    last.append(end)
-                    count.append(count[i - k] + (1 if end in pieces else len(end.encode())))
-                    break
-        return np.diff(np.array(count, np.int64)).astype(np.int8).tobytes()
+            for k in lengths(unit[i - 3 : i] if i > 2 else "", (2,)):
+                if k <= i and (end := unit[i - k : i]) in pieces:
+                    pair = last[i - k], end
+                    ok = known(pair)
+                    if ok or ok is None and self.apart(pair):
+                        n = count[i - k] + 1
+                        break
+            else:  # the last character alone: one end fits, and no longer one does
+                end = unit[i - 1]
+                n = before + (1 if end in pieces else len(end.encode()))
+            out.append((n - before) & 255)
+            last.append(end)
+            count.append(n)
+            before = n
+        return bytes(out)
 
     def of(self, text: str) -> bytes:
         """The changes of a whole text: its first character's are those of the blank before it too."""
         if not text:
             return b""
-        units, out = self.units, []
+        known, out = self.units.get, []
         for u in self.unit.findall(BLANK + text.replace(" ", BLANK)):
-            c = units.get(u)
+            c = known(u)
             if c is None:
                 c = self.changes(u)
                 if len(u) <= 64:
-                    if len(units) >= self.room:
-                        units.clear()
-                    units[u] = c
+                    self.units.put(u, c)
             out.append(c)
         own = b"".join(out)
         first = np.frombuffer(own[:2], np.int8).sum(dtype=np.int8).tobytes()
         return first + own[2:]
 
 
+class Recent:
+    """A table of at most ``room`` entries: when its younger half is full, it becomes the older one, and what was that is forgotten."""
+
+    def __init__(self, room: int):
+        self.most, self.young, self.old = max(1, room // 2), {}, {}
+
+    def get(self, key):
+        out = self.young.get(key)
+        if out is None and (out := self.old.get(key)) is not None:
+            self.put(key, out)
+        return out
+
+    def put(self, key, value):
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+        return value
+
+
 _held: dict[str, Prefixes] = {}
 
 
