@@ -5,7 +5,7 @@ of twelve words, and each window is compressed twice: with the ordinary dictiona
 toxic one before it. The second length is the shorter one where the window says what toxic text says and
 ordinary text doesn't. The score is a logistic function of how far, over all windows of the text, that
 gain exceeds a threshold, and of the number of windows, as chance gains grow with it. Threshold, logistic
-function and the size of the toxic dictionary are calibrated on documents that no dictionary has seen;
+function and the making of the toxic dictionary are calibrated on documents that no dictionary has seen;
 then the dictionaries are trained again on all documents of the sample.
 
 What is compressed is spelled with sixteen bytes for each word: eight that stand for its first letters,
@@ -14,12 +14,11 @@ short word, so a known word would save nothing, and words that share syllables w
 as much (measured). Spelled so, a window's first known word saves six bytes, a further one twelve, and a known
 stem four beside a known word.
 
-A document's label doesn't say which of its words are toxic, and most are not. So the toxic dictionary is
-trained on toxic windows without the words that ordinary text has: what stays are words or stems with
-``ODDS`` times as many contexts a document as in ordinary text, three at least, so that copies of one
-passage count once. The ordinary dictionary is trained on whole windows. Both come from zstandard's own
-trainer, in every case in which it accepts the samples; it refuses only a handful of windows, and then
-these are the dictionary.
+Both dictionaries come from zstandard's own trainer, which gets every distinct window of its class whole. A document's label doesn't
+say which of its words are toxic, and most are not; the trainer puts what toxic text repeats into the dictionary,
+ordinary words among it. So the trained dictionary is pruned by compression: all windows of both classes are compressed
+with both dictionaries, and of the toxic one those entries stay that stand in toxic windows which it shortened,
+three at least, ``ODDS`` times as often a document as in ordinary windows which it shortened. Size before pruning and odds are calibrated too.
 
 Dictionaries are fitted on the driver to a bounded sample of labelled documents (``labelled.SAMPLE`` a
 class, of each at most ``labelled.LONGEST`` characters in slices of the whole); every text is scored whole.
@@ -46,10 +45,10 @@ from spindrift.llm.words import BY_LETTER, Words, groups, slices
 PRIOR = 0.2
 #: Words to a window; bytes to a stem.
 WINDOW, STEM = 12, 6
-#: How much oftener toxic text must have a word for the toxic dictionary to be trained on it.
-ODDS = 25
-#: Bytes of the ordinary dictionary, and of the toxic one, of which calibration takes one.
-ORDINARY, TOXIC = 131_072, (512, 1024, 2048, 4096, 8192)
+#: How much oftener, a document, a dictionary's entry must serve toxic text; calibration takes one.
+ODDS = (3, 10, 25)
+#: Bytes of the ordinary dictionary, and of the toxic one before pruning, of which calibration takes one.
+ORDINARY, TOXIC = 131_072, (4096, 16_384, 32_768, 65_536)
 
 
 class Spelled:
@@ -67,12 +66,13 @@ class Spelled:
             out += [data[16 * i : 16 * min(i + WINDOW, b)] for i in range(a, b, WINDOW)]
         return out, -(-np.diff(self.first) // WINDOW)
 
-    def contexts(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For stems, then for words: (codes in order, in how many contexts each stands). A context is the word before."""
-        before = np.concatenate([np.zeros(1, np.uint64), self.codes[:-1, 1]])[: len(self.codes)]
-        heads = self.first[:-1]
-        before[heads[heads < len(before)]] = 0
-        pairs = [np.unique(np.column_stack([self.codes[:, k], before]), axis=0) for k in (0, 1)]
+    def shortened(self, gains: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For stems, then for words: (codes in order, in how many windows of a gain each stands)."""
+        words = np.diff(self.first)
+        n = -(-words // WINDOW)
+        at = np.repeat(np.cumsum(n) - n, words) + (np.arange(len(self.codes)) - np.repeat(self.first[:-1], words)) // WINDOW
+        ok = gains[at] > 0
+        pairs = [np.unique(np.column_stack([self.codes[ok, k], at[ok].astype(np.uint64)]), axis=0) for k in (0, 1)]
         return [np.unique(p[:, 0], return_counts=True) for p in pairs]
 
 
@@ -84,31 +84,35 @@ def _often(table: tuple[np.ndarray, np.ndarray], codes: np.ndarray) -> np.ndarra
     return np.where(have[at] == codes, n[at], 0)
 
 
-def particular(own: Spelled, other: Spelled, odds: float = ODDS, least: int = 3) -> list[bytes]:
-    """The windows of ``own``, each once, without the words that ``other`` has too often."""
-    n, m = max(1, len(own.first) - 1), max(1, len(other.first) - 1)
-    keep = np.zeros(len(own.codes), bool)
-    for k, (a, b) in enumerate(zip(own.contexts(), other.contexts())):
-        here, there = _often(a, own.codes[:, k]), _often(b, own.codes[:, k])
-        keep |= (here >= least) & (here / n >= odds * (there + 0.5) / m)
-    out = []
-    for a, b in zip(own.first.tolist(), own.first[1:].tolist()):
-        for i in range(a, b, WINDOW):
-            at = i + np.flatnonzero(keep[i : min(i + WINDOW, b)])
-            if len(at):
-                out.append(own.codes[at].tobytes())
-    return list(dict.fromkeys(out))
-
-
 def trained(samples: list[bytes], size: int) -> bytes:
-    """A zstandard dictionary of ``size`` bytes; where the trainer refuses the samples, as too few, the samples themselves."""
+    """A zstandard dictionary of at most ``size`` bytes. The trainer needs some text: few samples are given to it several times."""
     import zstandard as z
 
-    try:
-        d = z.train_dictionary(size, samples, k=16, d=8).as_bytes()
-    except z.ZstdError:
-        d = b"".join(samples)
-    return d[-size:].rjust(size, b"\0")
+    if not samples:
+        return b""
+    # at least so many samples and bytes that it accepts them
+    times = max(1, -(-64 // len(samples)), -(-4 * size // sum(map(len, samples))))
+    return z.train_dictionary(size, samples * min(times, 4096), k=16, d=8).as_bytes()[-size:]
+
+
+def pruned(toxic: bytes, ordinary: bytes, own: Spelled, other: Spelled, least: int = 3) -> list[bytes]:
+    """For each of ``ODDS``, the entries of the dictionary ``toxic`` that shorten windows of ``own`` so much oftener than windows of ``other``."""
+    if len(toxic) < 8:
+        return [toxic for _ in ODDS]
+    m = Model(toxic, ordinary)
+    n, k = max(1, len(own.first) - 1), max(1, len(other.first) - 1)
+    data = np.frombuffer(toxic, np.uint8)
+    entries = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view("<u8").ravel()
+    served = [x.shortened(m.gains(x.windows()[0])) for x in (own, other)]
+    out = []
+    for odds in ODDS:
+        stay = np.zeros(len(data), bool)
+        for a, b in zip(*served):
+            here, there = _often(a, entries), _often(b, entries)
+            for i in np.flatnonzero((here >= least) & (here / n >= odds * (there + 0.5) / k)):
+                stay[i : i + 8] = True
+        out.append(data[stay].tobytes())
+    return out
 
 
 def _compressor(dictionary: bytes):
@@ -189,11 +193,11 @@ def calibrated(model: Model, gains: np.ndarray, count: np.ndarray, y: np.ndarray
     return best
 
 
-def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[list[bytes], bytes]:
-    """(toxic dictionaries of all sizes, the ordinary one)."""
+def dictionaries(toxic: list[str], ordinary: list[str], sizes: tuple[int, ...] = TOXIC) -> tuple[list[bytes], bytes]:
+    """(toxic dictionaries of all sizes before pruning, and of all odds, the ordinary one)."""
     a, b = Spelled(toxic), Spelled(ordinary)
-    samples = particular(a, b)
-    return [trained(samples, size) for size in TOXIC], trained(list(dict.fromkeys(b.windows()[0])), ORDINARY)
+    samples, base = list(dict.fromkeys(a.windows()[0])), trained(list(dict.fromkeys(b.windows()[0])), ORDINARY)
+    return [d for size in sizes for d in pruned(trained(samples, size), base, a, b)], base
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model | None:
@@ -205,15 +209,15 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model | None:
     y, part = np.array(labels), np.random.default_rng(seed).permutation(len(texts)) % 3
     of = lambda ok: [t for t, x in zip(texts, ok) if x]
     toxic, ordinary = dictionaries(of((y == 1) & (part > 0)), of((y == 0) & (part > 0)))
-    best = np.inf, None, 0
+    best = np.inf, Model(toxic[0], ordinary), 0
     if len(set(y[part == 0].tolist())) == 2:
         for k, d in enumerate(toxic):
             m = Model(d, ordinary)
             loss, m = calibrated(m, *m.evidence(of(part == 0)), y[part == 0])
             best = min(best, (loss, m, k), key=lambda b: b[0])
-    m, k = best[1] or Model(toxic[0], ordinary), best[2]
-    toxic, ordinary = dictionaries(of(y == 1), of(y == 0))
-    return Model(toxic[k], ordinary, m.threshold, m.weights)
+    _, m, k = best
+    toxic, ordinary = dictionaries(of(y == 1), of(y == 0), (TOXIC[k // len(ODDS)],))
+    return Model(toxic[k % len(ODDS)], ordinary, m.threshold, m.weights)
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, most: int = labelled.SAMPLE) -> Model | None:

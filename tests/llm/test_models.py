@@ -35,27 +35,41 @@ def test_quality_held_out(spark):
 def test_toxicity_held_out(spark):
     rows = queries.op7_toxicity_zstd(spark, MEDIUM).collect()
     own = check_held_out(rows, truth(spark, "toxic"), 4, 2, 0.93)
-    assert sum(a for a, b in own if b) / sum(b for _, b in own) > 0.87
-    assert sum(a for a, b in own if not b) / sum(not b for _, b in own) < 0.06
+    assert sum(a for a, b in own if b) / sum(b for _, b in own) > 0.9
+    assert sum(a for a, b in own if not b) / sum(not b for _, b in own) < 0.04
 
 
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", MEDIUM])
-def test_both_dictionaries_are_trained(spark, monkeypatch, sf):
+def test_both_dictionaries_are_trained_on_whole_windows(spark, monkeypatch, sf):
     import zstandard
 
     calls, real = [], zstandard.train_dictionary
 
     def spy(size, samples, **more):
         d = real(size, samples, **more)
-        calls.append((size, d.as_bytes()))
+        calls.append((list(samples), d.as_bytes()))
         return d
 
     monkeypatch.setattr(zstandard, "train_dictionary", spy)
     texts, y = labelled.sample(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), "toxic", 4, 2)
     m = toxicity.fit(texts, y)
-    last = {size: d for size, d in calls}
-    assert last[len(m.toxic)].rjust(len(m.toxic), b"\0") == m.toxic and len(m.toxic.lstrip(b"\0")) > 200
-    assert last[len(m.ordinary)].rjust(len(m.ordinary), b"\0") == m.ordinary and len(m.ordinary.lstrip(b"\0")) > 10_000
+    (ordinary, base), (toxic, before) = calls[-2:]
+    for label, samples in ((0, ordinary), (1, toxic)):
+        words = [toxicity.Spelled([t]).codes.tobytes() for t, v in zip(texts, y) if v == label]
+        windows = {w[i : i + 16 * toxicity.WINDOW] for w in words for i in range(0, len(w), 16 * toxicity.WINDOW)}
+        assert windows == set(samples)
+    assert m.ordinary == base and len(base) > 10_000
+    # pruning only takes away: what is left stands in the trained dictionary, in its order
+    for k in range(0, len(m.toxic) - 8, 8):
+        assert any(m.toxic[k + j : k + j + 8] in before for j in range(8))
+    assert 200 < len(m.toxic) < len(before)
+
+
+def test_few_windows_and_none():
+    assert toxicity.trained([], 4096) == b""
+    assert 0 < len(toxicity.trained([b"abcdefgh" * 2], 4096)) <= 4096
+    m = toxicity.fit(["!!!", "one two", "", "idiot idiot"], [1, 0, 0, 1])
+    assert m is not None and len(m.scores(["", "idiot", "x"])) == 3
 
 
 def test_toxicity_by_plain_loops():
