@@ -174,7 +174,7 @@ class LineIndex:
         return LineIndex(table, frequent, _updated(self.filters, more.unionByName(less), self.shards, keys_a_shard), self.shards, self.enough)
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        """The index with the documents in it. A document that is there already changes nothing."""
+        """The index with the documents in it. Keys that a document has already change nothing; one that comes with another text has the keys of both."""
         new = stored(line_keys(docs).distinct().join(self.table, ["key", "doc_id"], "left_anti").select("doc_id", "key"))
         return self._changed(self.table.unionByName(new), new)
 
@@ -185,8 +185,7 @@ class LineIndex:
 
     def drops(self) -> DataFrame:
         """doc_id, keys: of each document, the frequent keys of which it is not the keeper."""
-        hit = _passing(self.table, self.filters, self.shards).join(self.frequent.select("key", "keeper"), "key").where(F.col("doc_id") < F.col("keeper"))
-        return hit.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+        return _met(self.table, self.filters, self.frequent, self.shards).groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
 
 def _made(frequent: DataFrame, keys_a_shard: int) -> tuple[DataFrame, int]:
@@ -209,48 +208,54 @@ def _updated(filters: DataFrame, changes: DataFrame, shards: int, keys_a_shard:
     return stored(filters.groupBy("shard").cogroup(changes.withColumn("shard", _shard(shards)).groupBy("shard")).applyInArrow(run, "shard int, filter binary"))
 
 
-def _passing(table: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """The rows whose key the filters have, and a few others.
+def _met(table: DataFrame, filters: DataFrame, frequent: DataFrame, shards: int) -> DataFrame:
+    """doc_id, key: the rows whose key is frequent and kept by another document.
 
-    A shard's rows are split by document into parts of about ROWS_A_TASK; each part meets a copy of the shard's filter."""
+    A shard's rows are split by document into parts of about ROWS_A_TASK; each part meets a copy of the shard's filter and of its frequent keys, which are bounded in number."""
     placed = table.select("doc_id", "key", _shard(shards).alias("shard"))
     parts = placed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / ROWS_A_TASK).cast("int").alias("parts"))
     parts = F.broadcast(parts)  # a row a shard, of KEYS_A_SHARD frequent keys
-    rows = placed.join(parts, "shard").select("shard", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), "doc_id", "key", F.lit(None).cast("binary").alias("filter"))
-    copies = filters.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("key"), "filter")
+    null = {"filter": "binary", "keys": "array<binary>", "keepers": "array<bigint>"}
+    rows = placed.join(parts, "shard").select("shard", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), "doc_id", "key", *[F.lit(None).cast(t).alias(c) for c, t in null.items()])
+    exact = frequent.groupBy(_shard(shards).alias("shard")).agg(F.collect_list(F.struct("key", "keeper")).alias("own"))
+    held = filters.join(exact, "shard").select("shard", "filter", F.col("own.key").alias("keys"), F.col("own.keeper").alias("keepers"))
+    copies = held.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("key"), *null)
     met = rows.unionByName(copies).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("filter").isNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, of = None, None
+        own, keeper, of = None, {}, None
         for b in batches:
             shard, part = b["shard"].to_numpy(), b["part"].to_numpy()
             starts = np.flatnonzero(np.concatenate(([True], (shard[1:] != shard[:-1]) | (part[1:] != part[:-1])))) if b.num_rows else []
             for i, j in zip(starts, [*starts[1:], b.num_rows]):
                 some = b.slice(i, j - i)
                 if some["filter"][0].is_valid:  # the first row of a part, if its shard has a filter at all
-                    own, of, some = CuckooFilter.from_bytes(some["filter"][0].as_py()), (shard[i], part[i]), some.slice(1)
+                    own, of = CuckooFilter.from_bytes(some["filter"][0].as_py()), (shard[i], part[i])
+                    keeper, some = dict(zip(some["keys"][0].as_py(), some["keepers"][0].as_py())), some.slice(1)
                 if some.num_rows and of == (shard[i], part[i]):
                     keys = np.frombuffer(b"".join(some["key"].to_pylist()), np.uint8).reshape(-1, 16)
-                    yield some.select(["doc_id", "key"]).filter(pa.array(own.contains_all(keys)))
+                    passed = some.select(["doc_id", "key"]).filter(pa.array(own.contains_all(keys)))
+                    yield passed.filter(pa.array([d < keeper.get(k, d) for d, k in zip(passed["doc_id"].to_pylist(), passed["key"].to_pylist())], pa.bool_()))
         give_back()
 
     return met.mapInArrow(run, "doc_id long, key binary")
 
 
-def dedup(docs: DataFrame, index: LineIndex | None = None, enough: int = ENOUGH) -> DataFrame:
-    """The documents without the lines that another document keeps, and n_lines, n_dropped. Lines are joined by line ends."""
+def dedup(docs: DataFrame, index: LineIndex | None = None, enough: int = ENOUGH, counts: bool = True) -> DataFrame:
+    """The documents without the lines that another document keeps, joined by line ends; with ``counts`` n_lines and n_dropped too, in place of columns of these names."""
     index = index or LineIndex.build(docs, enough)
-    docs = docs.drop("n_lines", "n_dropped")
+    docs = docs.drop("n_lines", "n_dropped") if counts else docs
     names = docs.columns
     own_id, own_keys = unused(names, "_id"), unused(names, "_keys")
     joined = docs.join(index.drops().toDF(own_id, own_keys), F.col("doc_id") == F.col(own_id), "left").select(*[F.col(f"`{c}`") for c in names], own_keys)
-    at = names.index("text")
-    schema = docs.withColumn("text", F.col("text").cast("string")).withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
+    at = [n.lower() for n in names].index("text")
+    schema = docs.withColumn(names[at], F.col("text").cast("string"))
+    schema = (schema.withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}) if counts else schema).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in in_parts(whole)):
             text, lines, dropped = [], [], []
-            for t, k in zip(b["text"].to_pylist(), b[own_keys].to_pylist()):
+            for t, k in zip(b[names[at]].to_pylist(), b[own_keys].to_pylist()):
                 own = (t or "").split("\n")
                 lines.append(len(own))
                 if k:
@@ -263,7 +268,8 @@ def dedup(docs: DataFrame, index: LineIndex | None = None, enough: int = ENOUGH)
                     text.append(t)
             columns = [b[n] for n in names]
             columns[at] = pa.array(text, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
+            more = [pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())] if counts else []
+            yield pa.RecordBatch.from_arrays([*columns, *more], [*names, *["n_lines", "n_dropped"][: len(more)]])
         give_back()
 
     return joined.mapInArrow(run, schema)

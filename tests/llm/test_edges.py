@@ -83,3 +83,25 @@ def test_joins_by_a_filter(spark):
     assert there.count() + gone.count() == 1000 and gone.where("doc_id is null").count() == 10
     assert shared.semi_join(rows, "doc_id", shared.stored(ids.limit(0))).count() == 0
     shared.discard(ids)
+
+
+def test_stages_keep_all_columns_and_repeated_rows(spark):
+    """drop_lines on repeated rows, null and empty texts, other spellings, and columns with the operator's names."""
+    line = "a line of more than forty characters that several documents have"
+    rows = [(i, f"{line}\nown {i}", 7, "n", i) for i in range(6)] + [(5, f"{line}\nown 5", 7, "n", 5), (7, None, 7, None, 0), (8, "", 7, "n", 9)]
+    docs = spark.createDataFrame(rows, "DOC_ID long, Text string, n_lines int, n_dropped string, N_CHARS long")
+    out = corpus_pipeline.drop_lines(spark, docs, "")
+    assert out.columns == docs.columns and out.schema["n_lines"].dataType == docs.schema["n_lines"].dataType
+    want = [(i, f"own {i}", 7, "n", len(f"own {i}")) for i in range(5)] + [(5, f"{line}\nown 5", 7, "n", len(line) + 6)] * 2 + [(7, None, 7, None, 0), (8, "", 7, "n", 0)]
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+    plan = lines.LineIndex.build(docs).drops()._jdf.queryExecution().toString()
+    assert "Join Inner, (key" not in plan and "[key" not in "".join(x for x in plan.splitlines() if "SortMergeJoin" in x)
+
+
+def test_models_keep_rows_as_they_are(spark, models):
+    rows = [(1, "SPAM!! idiot!! " * 9, "x"), (2, None, None), (3, "", "y"), (2, None, None), (4, "a nice text about birds " * 5, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    q, t = models
+    got = sorted(map(repr, map(tuple, toxicity.keep(docs, t).collect())))
+    assert got == sorted(map(repr, rows[1:]))
+    assert toxicity.keep(docs.limit(0), t).count() == 0 and quality.keep(docs, q).columns == docs.columns
