@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm import lines, neardup, packing, quality, toxicity
 from spindrift.llm.queries import BYTE_BPE
-from spindrift.llm.shared import stored, tokenizer_path
+from spindrift.llm.shared import discard, stored, tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +25,13 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents repeat stay in one of them; n_chars follows the text."""
-    kept = lines.dedup(docs).drop("n_lines", "n_dropped")
-    return kept.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in kept.columns else kept
+    """Lines that many documents repeat stay in one of them; n_chars follows the text, where it is a column. A null text and all other columns stay as they are; a repeated row is treated as each of its copies."""
+    own = {c.lower(): c for c in docs.columns}
+    kept = lines.dedup(docs, counts=False)
+    if n := own.get("n_chars"):
+        text = F.col(f"`{own['text']}`")
+        kept = kept.withColumn(n, F.when(text.isNotNull(), F.length(text).cast("long")).otherwise(F.col(f"`{n}`")))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each stage's result written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        if hasattr(before, "_spindrift_path"):  # a stage's table, not the input
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
