@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from spindrift.functions import identity as I
 from spindrift.functions import text as T
 from spindrift.functions import vectors as V
-from spindrift.operators import embed, knn, lookup, metrics, migrate, profile, sampling
+from spindrift.operators import embed, ivf, knn, lookup, metrics, migrate, profile, sampling
 from spindrift.plans import estimates, stages, verdict
-from spindrift.sources import tables
+from spindrift.sources import scratch, tables
 from spindrift.streaming import feed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,11 +114,31 @@ def knn_neighbours_same_group(spark, sf):
 
 @query()
 def index_recall_ivf(spark, sf):
-    """What share of the exact neighbours an inverted-file search finds. No SQL: its lists are drawn by hash and searched in part."""
-    found = knn.knn_ivf(_queries(spark, sf), _vectors(spark, sf), lists=16, probes=8)
+    """What share of the exact neighbours an inverted-file search finds. No SQL: its lists are trained and searched in part."""
+    found = _index(spark, sf).search(_queries(spark, sf), probes=8)
     return rounded(metrics.index_recall(found, knn.knn(_queries(spark, sf), _vectors(spark, sf))))
 
 
+def _index(spark, sf, lists: int = 16) -> ivf.Index:
+    return ivf.Index.build(_vectors(spark, sf), scratch.fresh(spark, "ivf"), lists)
+
+
+@query()
+def index_recall_by_probes(spark, sf):
+    """Recall of one trained index by the number of lists searched, up to all of them."""
+    index, exact, out = _index(spark, sf), scratch.kept(knn.knn_block(_queries(spark, sf), _vectors(spark, sf))), None
+    for probes in (1, 2, 4, 8, 16):
+        own = metrics.index_recall(index.search(_queries(spark, sf), probes=probes), exact).select(F.lit(probes).alias("probes"), "queries", "index_recall")
+        out = own if out is None else out.unionByName(own)
+    return rounded(out)
+
+
+@query(_knn_sql(_COS))
+def ivf_all_lists(spark, sf):
+    """A search of all lists of a stored index is exact."""
+    return rounded(_index(spark, sf).search(_queries(spark, sf), probes=16))
+
+
 @query(f"""with t as ({_hits_sql(_COS)}), f as ({_hits_sql(_COS, rows="(select * from embeddings where vec_id % 2 = 0)")}),
 e as (select qid, count(*) as n, max(distance) as edge from t group by qid),
 m as (select f.qid, count(*) as m from f join e using (qid) where f.distance <= e.edge + 1e-6 * greatest(1, abs(e.edge)) group by f.qid)

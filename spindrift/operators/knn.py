@@ -3,7 +3,7 @@
 The expression kernel declares the join and lets Spark prune each partition to the k best before it
 shuffles (WindowGroupLimit). The block kernel multiplies matrices in Arrow batches and keeps the k best of
 each partition, then merges. Of the two sides the one that is stated to be small is broadcast, in blocks of
-at most BROADCAST_COMPONENTS numbers by a count; no join is made on the size of vectors, a key with one value.
+at most BROADCAST_COMPONENTS numbers by a count, so no row of the other is shuffled by the size of its vector.
 """
 
 from __future__ import annotations
@@ -24,12 +24,12 @@ BROADCAST_COMPONENTS = 8_000_000
 TILE = 4_000_000
 
 
-def _ranked(hits: DataFrame, k: int) -> DataFrame:
+def ranked(hits: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("qid").orderBy("distance", "key")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _blocks(side: DataFrame, key: str, vector: str, most: int) -> list[DataFrame]:
+def blocks(side: DataFrame, key: str, vector: str, most: int) -> list[DataFrame]:
     """``side`` in blocks by hash of about ``most`` components at most."""
     size = side.select(F.sum(F.size(vector)).alias("n")).first()["n"] or 0
     n = max(1, -(-size // most))
@@ -50,21 +50,46 @@ def knn(queries: DataFrame, rows: DataFrame, k: int = 10, metric: str = "cosine"
         dist = V.distance("qv", "dv", metric)
     near = (F.size("qv") == F.size("dv")) & (F.col("qid") != F.col("key")) if exclude_self else F.size("qv") == F.size("dv")
     out = None
-    for block in _blocks(q, "qid", "qv", most) if small == "queries" else _blocks(d, "key", "dv", most):
+    for block in blocks(q, "qid", "qv", most) if small == "queries" else blocks(d, "key", "dv", most):
         pairs = d.join(F.broadcast(block), near) if small == "queries" else q.join(F.broadcast(block), near)
         hits = pairs.select("qid", "key", dist.alias("distance")).where("distance is not null")
         out = hits if out is None else out.unionByName(hits)
-    return _ranked(out, k)
+    return ranked(out, k)
 
 
 def knn_block(queries: DataFrame, rows: DataFrame, k: int = 10, metric: str = "cosine", exclude_self: bool = False, most: int = BROADCAST_COMPONENTS) -> DataFrame:
     """The same by matrix products. The stated query set goes to the tasks in blocks of at most ``most`` components."""
     out = None
-    for part in _blocks(queries, "qid", "vector", most):
+    for part in blocks(queries, "qid", "vector", most):
         held = part.where("vector is not null").select("qid", "vector").collect()  # at most about ``most`` components
         hits = _block(held, queries.schema["qid"].dataType, rows, k, metric, exclude_self)
         out = hits if out is None else out.unionByName(hits)
-    return _ranked(out, k)
+    return ranked(out, k)
+
+
+def best(distances: np.ndarray, keys: list, qids: list, k: int, exclude_self: bool) -> Iterator[tuple]:
+    """(qid, key, distance) of the ``k`` nearest keys of each row of ``distances``, by (distance, key)."""
+    for i, q in enumerate(qids):
+        row = distances[i]
+        ok = np.flatnonzero(np.isfinite(row))
+        if exclude_self:
+            ok = ok[[keys[j] != q for j in ok]] if len(ok) else ok
+        if len(ok) > k:
+            edge = np.partition(row[ok], k - 1)[k - 1]
+            ok = ok[row[ok] <= edge]  # with all that tie
+        yield from sorted(((q, keys[j], float(row[j])) for j in ok), key=lambda x: (x[2], x[1]))[:k]
+
+
+def far(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of all rows of ``q`` to all of ``d``; not finite where there is none."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if metric == "cosine":
+            return 1 - (q @ d.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(d, axis=1))
+        if metric == "inner_product":
+            return -(q @ d.T)
+        if metric == "l2":
+            return np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] + (d**2).sum(1) - 2 * (q @ d.T)))
+    raise ValueError(metric)
 
 
 def _block(held: list, qid_type: DataType, rows: DataFrame, k: int, metric: str, exclude_self: bool) -> DataFrame:
@@ -77,27 +102,6 @@ def _block(held: list, qid_type: DataType, rows: DataFrame, k: int, metric: str,
         own = [r for r in held if len(r.vector) == n]
         by_size[n] = [r.qid for r in own], np.array([r.vector for r in own], np.float64).reshape(len(own), n)
 
-    def best(distances: np.ndarray, keys: list, qids: list) -> Iterator[tuple]:
-        for i, q in enumerate(qids):
-            row = distances[i]
-            ok = np.flatnonzero(np.isfinite(row))
-            if exclude_self:
-                ok = ok[[keys[j] != q for j in ok]] if len(ok) else ok
-            if len(ok) > k:
-                edge = np.partition(row[ok], k - 1)[k - 1]
-                ok = ok[row[ok] <= edge]  # with all that tie
-            yield from sorted(((q, keys[j], float(row[j])) for j in ok), key=lambda x: (x[2], x[1]))[:k]
-
-    def far(q: np.ndarray, d: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            if metric == "cosine":
-                return 1 - (q @ d.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(d, axis=1))
-            if metric == "inner_product":
-                return -(q @ d.T)
-            if metric == "l2":
-                return np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] + (d**2).sum(1) - 2 * (q @ d.T)))
-        raise ValueError(metric)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict = {}
         for b in batches:
@@ -109,7 +113,7 @@ def _block(held: list, qid_type: DataType, rows: DataFrame, k: int, metric: str,
                 keys, d = [x for x, _ in own], np.array([v for _, v in own], np.float64)
                 step = max(1, TILE // len(own))
                 for i in range(0, len(qids), step):  # a tile of distances at a time
-                    for hit in best(far(q[i : i + step], d), keys, qids[i : i + step]):
+                    for hit in best(far(q[i : i + step], d, metric), keys, qids[i : i + step], k, exclude_self):
                         kept.setdefault(hit[0], []).append(hit)
             for q, hits in kept.items():
                 if len(hits) > 4 * k:
@@ -121,27 +125,6 @@ def _block(held: list, qid_type: DataType, rows: DataFrame, k: int, metric: str,
     return rows.select("key", "vector").mapInArrow(run, f"qid {qid_type.simpleString()}, key {key_type}, distance double")
 
 
-def ivf_centroids(rows: DataFrame, lists: int) -> DataFrame:
-    """list_id, centre: the vectors whose keys have the smallest hashes. One is drawn for each list."""
-    drawn = rows.where("vector is not null").orderBy(F.md5(F.col("key").cast("string")), "key").limit(lists)
-    return drawn.select(F.col("key").alias("list_key"), F.col("vector").alias("centre"))
-
-
-def ivf_assign(rows: DataFrame, centroids: DataFrame, probes: int = 1) -> DataFrame:
-    """Rows with the keys of their ``probes`` nearest lists. Centroids are as many as lists: their number is a parameter."""
-    near = knn(rows.select(F.col("key").alias("qid"), "vector"), centroids.select(F.col("list_key").alias("key"), F.col("centre").alias("vector")), probes, small="rows")
-    return rows.select("key", "vector").join(near.select(F.col("qid").alias("key"), F.col("key").alias("list_key")), "key")
-
-
-def knn_ivf(queries: DataFrame, rows: DataFrame, k: int = 10, lists: int = 16, probes: int = 4, metric: str = "cosine", exclude_self: bool = False) -> DataFrame:
-    """Approximate: only rows of a query's ``probes`` nearest lists are compared, by an equality join on the list."""
-    c = ivf_centroids(rows, lists)
-    q = ivf_assign(queries.select(F.col("qid").alias("key"), "vector"), c, probes).select(F.col("key").alias("qid"), F.col("vector").alias("qv"), "list_key")
-    d = ivf_assign(rows, c, 1).select("key", F.col("vector").alias("dv"), "list_key")
-    hits = q.join(d, "list_key").where(F.col("qid") != F.col("key") if exclude_self else F.lit(True))
-    return _ranked(hits.select("qid", "key", V.distance("qv", "dv", metric).alias("distance")).where("distance is not null"), k)
-
-
 def sweep(current: int, others: list[int], start: int = 0) -> list[int]:
     """Search settings to try, the current one among them, beginning elsewhere each time, so that none is always the first to find a cold cache."""
     every = sorted({current, *others})

@@ -7,6 +7,7 @@ comes first, and the switch is tried again, a bounded number of times.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,29 +27,74 @@ class StillPending(RuntimeError):
         self.rows = rows
 
 
-def fill(table: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int]:
-    """(the table with vectors for what is pending, how many rows got none all the same)."""
-    todo = migrate.pending(table).select("key", T.clip("text", T.EMBED_CLIP).alias("text"), F.md5("text").alias("text_hash"))
-    got = todo.join(embed(todo.select("key", "text")), "key")
-    good = got.where("error is null").select("key", "text_hash", F.col("vector").alias("new_vector"))
-    return migrate.guarded_write(table, good), got.where("error is not null").count()
+class OverBudget(RuntimeError):
+    """Embedding the last rows would cost more than is left."""
 
 
-def cutover(t: VectorTable, current: Callable[[], DataFrame], embed: Callable[[DataFrame], DataFrame], catch_up: Callable[[], object] | None = None, late: int = migrate.LATE_ROWS, allow_missing: bool = False, attempts: int = ATTEMPTS) -> int:
+@dataclass
+class Filled:
+    """A version with vectors for what was pending: rows embedded, rows that the model rejected, rows that are pending still, what it cost."""
+
+    table: DataFrame
+    embedded: int = 0
+    rejected: int = 0
+    left: int = 0
+    usd: float = 0.0
+
+
+def fill(t: VectorTable, table: DataFrame, embed: Callable[[DataFrame], DataFrame], price: float | None = None, budget: float | None = None) -> Filled:
+    """The table with vectors for what is pending, as a version of ``t``.
+
+    What is asked and what the model answered are stored before either is used, so the model sees each row once; whether a row is
+    pending still is counted in what was written. ``budget``: what may be spent, at ``price`` a million tokens."""
+    todo = t.write(migrate.pending(table).select("key", T.clip("text", T.EMBED_CLIP).alias("text"), F.md5("text").alias("text_hash")))
+    usd = (todo.agg(F.sum(F.length("text"))).first()[0] or 0) / migrate.CHARS_PER_TOKEN * (price or 0.0) / 1e6
+    if budget is not None and usd > budget:
+        t.forget(todo)
+        raise OverBudget(f"the last rows cost {usd:.4f}, {budget:.4f} is left")
+    got = t.write(todo.join(embed(todo.select("key", "text")), "key", "left"))
+    n = got.agg(F.count_if(F.col("error").isNotNull()).alias("rejected"), F.count_if(F.col("error").isNull() & F.col("vector").isNotNull()).alias("good")).first()
+    good = got.where("error is null and vector is not null").select("key", "text_hash", F.col("vector").alias("new_vector"))
+    done = t.write(migrate.guarded_write(table, good))
+    t.forget(todo, got)
+    return Filled(done, n["good"], n["rejected"], migrate.pending(done).count(), usd)
+
+
+def late_writes(current: DataFrame, written: DataFrame) -> int:
+    """Rows whose text is another than the one in what was written, came since, or are gone."""
+    now, then = current.select("key", F.md5("text").alias("_now"), F.lit(True).alias("_n")), written.select("key", F.md5("text").alias("_then"), F.lit(True).alias("_t"))
+    return now.join(then, "key", "full").where(F.col("_n").isNull() | F.col("_t").isNull() | ~F.col("_now").eqNullSafe(F.col("_then"))).count()
+
+
+def cutover(
+    t: VectorTable, current: Callable[[], DataFrame], embed: Callable[[DataFrame], DataFrame], catch_up: Callable[[], object] | None = None, late: int = migrate.LATE_ROWS, allow_missing: bool = False, attempts: int = ATTEMPTS,
+    price: float | None = None, budget: float | None = None, charge: Callable[[Filled], None] = lambda filled: None,
+) -> int:
     """Switches, and says how many rows were embedded on the way. ``current``: the table as it is now, with what new vectors it has.
 
-    Rows that the model rejects forbid the switch, unless ``allow_missing``."""
+    Any row that is pending after the write forbids the switch; those that the model rejects don't where ``allow_missing`` is set.
+    Rows that change while others are embedded are seen before the pointer moves, and another attempt is made. ``charge`` gets what each attempt spent."""
+    embedded = 0
     for k in range(attempts):
         table = t.write(current())
         left = migrate.pending(table).count()
         if left <= late:
-            done, bad = fill(table, embed) if left else (table, 0)
-            if bad and not allow_missing:
-                raise StillPending(bad)
-            t.write(done, "new")
-            t.cutover()
-            return left
+            filled = fill(t, table, embed, price, budget) if left else Filled(table)
+            if left:
+                charge(filled)
+                embedded += filled.embedded
+                budget = None if budget is None else budget - filled.usd
+            if filled.left > (filled.rejected if allow_missing else 0):
+                raise StillPending(filled.left)
+            t.adopt(filled.table, "new")
+            if filled.table is not table:
+                t.forget(table)
+            if late_writes(current(), filled.table) == 0:
+                t.cutover()
+                return embedded
+            continue
         if catch_up is None:
             break
+        t.forget(table)
         catch_up()
     raise StillPending(left)

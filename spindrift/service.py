@@ -79,10 +79,19 @@ def cutover(spark: SparkSession, j: job.Job, work: str) -> dict:
     """Switches; rows that changed last are embedded on the way, after a catch-up where they are many."""
     t = tables.VectorTable(spark, work)
     model, dims = remote.embedder(j.model), spec.width(j.model)
+
+    def charge(filled: switch.Filled) -> None:
+        state = t.state
+        state.spent_usd, state.rows_written = state.spent_usd + filled.usd, state.rows_written + filled.embedded
+        t.save(state)
+
+    budget = None if j.limits.budget_usd is None else j.limits.budget_usd - t.state.spent_usd
     try:
-        late = switch.cutover(t, lambda: _migrating(spark, j, t), lambda df: embed.embedded(df, model, dims, j.model.batch), lambda: apply(spark, j, work))
+        late = switch.cutover(t, lambda: _migrating(spark, j, t), lambda df: embed.embedded(df, model, dims, j.model.batch), lambda: apply(spark, j, work), price=j.model.price, budget=budget, charge=charge)
     except switch.StillPending as e:
         return {"stage": t.stage, "pending": e.rows}
+    except switch.OverBudget as e:
+        return {"stage": t.stage, "budget": str(e)}
     return {"stage": t.stage, "embedded": late}
 
 

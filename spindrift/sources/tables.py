@@ -112,9 +112,23 @@ class VectorTable:
         """Writes a version; with a role (live, new) the pointer takes it. The result reads it."""
         name = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{name}")
+        out = self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+        out._spindrift_version = name
         if role:
-            self._put("pointer", self.pointer | {role: name})
-        return self.spark.read.parquet(f"{self.path}/{name}")
+            self.adopt(out, role)
+        return out
+
+    def adopt(self, version: DataFrame, role: str) -> None:
+        """The pointer's ``role`` is a version that write() made."""
+        self._put("pointer", self.pointer | {role: version._spindrift_version})
+
+    def forget(self, *versions: DataFrame) -> None:
+        """Removes versions that write() made, but for those that the pointer names."""
+        named = set(self.pointer.values())
+        for v in versions:
+            if v._spindrift_version not in named:
+                at, fs = self._fs(f"{self.path}/{v._spindrift_version}")
+                fs.delete(at, True)
 
     def read(self, role: str = "live") -> DataFrame:
         if not (name := self.pointer.get(role)):

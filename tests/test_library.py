@@ -97,13 +97,6 @@ def test_top_k_is_pruned_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2 and "Python" not in plan
 
 
-def test_full_probe_is_exact(spark):
-    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
-    q = rows.where("key < 10").select(F.col("key").alias("qid"), "vector")
-    found = lambda probes: one(metrics.index_recall(knn.knn_ivf(q, rows, lists=8, probes=probes), knn.knn(q, rows)))["index_recall"]
-    assert found(8) == 1 and 0 < found(1) <= 1
-
-
 # Profiles and findings.
 def healthy(spark, n=100, **change):
     rows = [{"key": i, "vector": [math.cos(i), math.sin(i), 0.0], "text": f"chunk {i}", "model": "m"} for i in range(n)]
@@ -369,14 +362,61 @@ def test_late_rows_at_the_switch(spark, tmp_path):
 
     def catch_up():
         state["n"] += 1
-        state["now"] = switch.fill(full, lengths)[0]
+        state["now"] = switch.fill(t, full, lengths).table
 
     assert switch.cutover(t, lambda: state["now"], lengths, catch_up, late=7) == 0 and state["n"] == 1
     t, full, _ = table_of("c", 3)
     poison = lambda df: df.select("key", F.lit(None).cast("array<float>").alias("vector"), F.lit("no").alias("error"))
     with pytest.raises(switch.StillPending):
         switch.cutover(t, lambda: full, poison)
-    assert switch.cutover(t, lambda: full, poison, allow_missing=True) == 3
+    assert switch.cutover(t, lambda: full, poison, allow_missing=True) == 0 and t.stage == "cut_over"
+
+    # Each row reaches the model once; a model that answers once and then no more loses nothing.
+    t, full, _ = table_of("d", 5)
+    calls = spark.sparkContext.accumulator(0)
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def once(df):
+        def run(parts):
+            for p in parts:
+                calls.add(len(p))
+                new = [not (seen / str(k)).exists() for k in p["key"]]
+                for k in p["key"]:
+                    (seen / str(k)).touch()
+                yield p.assign(vector=[[1.0] if ok else None for ok in new], error=[None if ok else "no" for ok in new])[["key", "vector", "error"]]
+
+        return df.select("key", "text").mapInPandas(run, "key long, vector array<float>, error string")
+
+    charged = []
+    assert switch.cutover(t, lambda: full, once, price=1e6, budget=1e9, charge=charged.append) == 5 and calls.value == 5
+    assert migrate.pending(t.read("live")).count() == 0 and charged[0].usd > 0 and charged[0].embedded == 5
+    silent = lambda df: df.select("key", F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("string").alias("error"))
+    t, full, _ = table_of("e", 5)
+    for allowed in (False, True):  # no answer is not a rejection
+        with pytest.raises(switch.StillPending):
+            switch.cutover(t, lambda: full, silent, allow_missing=allowed)
+    with pytest.raises(switch.OverBudget):
+        switch.cutover(t, lambda: full, lengths, price=1e9, budget=0.01)
+    assert t.stage == "filling"
+
+    # A row that changes while others are embedded is embedded too, in another attempt.
+    t, full, _ = table_of("f", 2)
+    state = {"now": full, "n": 0}
+
+    def busy(df):
+        state["n"] += 1
+        if state["n"] == 1:
+            state["now"] = full.withColumn("text", F.when(F.col("key") == 3, F.lit("changed meanwhile")).otherwise(F.col("text")))
+        return lengths(df)
+
+    def now():
+        done = t.read("new").select("key", F.col("text").alias("_t"), F.col("new_vector").alias("_v"))
+        own = state["now"].drop("new_vector").join(done, "key", "left")
+        return own.withColumn("new_vector", F.when(F.col("text").eqNullSafe(F.col("_t")), F.col("_v"))).drop("_t", "_v")
+
+    assert switch.cutover(t, now, busy) == 3 and state["n"] == 2
+    assert migrate.pending(t.read("live")).count() == 0 and t.read("live").where("text = 'changed meanwhile'").count() == 1
 
 
 def test_differences_catch_up(spark):
