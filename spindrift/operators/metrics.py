@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.operators import ranks
+
 
 def per_query_by_group(hits: DataFrame, queries: DataFrame, groups: DataFrame, k: int = 10) -> DataFrame:
     """per_query() where all others of a query's group are relevant, without a row for each such pair.
@@ -76,26 +78,16 @@ def same_group(hits: DataFrame, groups: DataFrame) -> DataFrame:
     return hits.join(own, "qid").join(groups.select("key", "group"), "key", "left").groupBy("qid", "own").agg(F.avg((F.coalesce(F.col("group") == F.col("own"), F.lit(False))).cast("double")).alias("same")).select("qid", F.col("own").alias("group"), "same")
 
 
-def percentile_disc(value: str, p: float) -> Column:
-    """Nearest rank: the smallest value that p of all values don't exceed."""
-    return F.expr(f"percentile_disc({p}) within group (order by {value})")
-
-
 def latencies(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """n, p50, p95, p99 by nearest rank, for each group."""
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), *[percentile_disc(value, p / 100).alias(f"p{p}") for p in (50, 95, 99)])
+    """n, p50, p95, p99 by nearest rank, for each group: the smallest value that such a share of all values don't exceed."""
+    return ranks.at_ranks(rows, value, list(by), {f"p{p}": ranks.nearest(p / 100) for p in (50, 95, 99)})
 
 
 def bench_latencies(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """n, p50, p95 as benchmarks report them: the median between two values, and the value at the index 0.95 (n - 1), rounded half to even.
-
-    The index is found by rank, not by gathering a group's values."""
-    from pyspark.sql import Window
-
-    rows = rows.where(F.col(value).isNotNull())
-    w = Window.partitionBy(*by).orderBy(value)
-    at = F.bround(0.95 * (F.count(value).over(Window.partitionBy(*by)) - 1), 0).cast("long") + 1
-    return rows.withColumn("_hit", F.when(F.row_number().over(w) == at, F.col(value))).groupBy(*by).agg(F.count(value).alias("n"), F.percentile(value, 0.5).alias("p50"), F.max("_hit").alias("p95"))
+    """n, p50, p95 as benchmarks report them: the median between two values, and the value at the index 0.95 (n - 1), rounded half to even."""
+    at = F.bround(0.95 * (F.col("n") - 1), 0) + 1
+    found = ranks.at_ranks(rows, value, list(by), {"_low": ranks.lower_middle(), "_high": ranks.upper_middle(), "p95": at})
+    return found.select(*by, "n", ((F.col("_low") + F.col("_high")) / 2).alias("p50"), "p95")
 
 
 def leaderboard(models: DataFrame) -> DataFrame:

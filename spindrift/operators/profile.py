@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
 from spindrift.functions import vectors as V
+from spindrift.operators import ranks
+from spindrift.sources import scratch
 
 BINS = 20
 DUPLICATES_WARN, UNINDEXED_WARN = 0.01, 100_000
@@ -28,17 +30,29 @@ def per_row(df: DataFrame, vector: str = "vector", text: str | None = None, mode
     )
 
 
+def _repeated(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """One row: how many rows repeat a value of the column. Each value's count is a partial aggregate."""
+    return rows.where(F.col(column).isNotNull()).groupBy(column).agg((F.count("*") - 1).alias("more")).agg(F.coalesce(F.sum("more"), F.lit(0)).alias(name))
+
+
 def profile(rows: DataFrame) -> DataFrame:
-    """One row of statistics from per_row()."""
+    """One row of statistics from per_row(), whose rows are stored as several passes read them."""
     nonzero = F.col("norm") >= V.ZERO
-    return rows.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if("is_null").alias("null_vectors"), F.count_if(~F.col("is_null")).alias("vectors"),
-        F.count_if("has_text").alias("texts_present"), (F.count("text_hash") - F.count_distinct("text_hash")).alias("duplicate_texts"), (F.count("vector_hash") - F.count_distinct("vector_hash")).alias("duplicate_vectors"),
+    rows = scratch.kept(rows, "profile")
+    middle = ranks.at_ranks(rows, "norm", [], {"_low": ranks.lower_middle(), "_high": ranks.upper_middle()}).select(((F.col("_low") + F.col("_high")) / 2).alias("median_norm"))
+    models = rows.where("model is not null").groupBy("model").count().agg(F.count("*").alias("models"))
+    one = rows.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("is_null").alias("null_vectors"), F.count_if(~F.col("is_null")).alias("vectors"), F.count_if("has_text").alias("texts_present"),
         F.count_distinct("dims").alias("sizes"), F.min("dims").alias("min_dims"), F.max("dims").alias("max_dims"),
         F.count_if(F.col("norm") < V.ZERO).alias("zero"), F.count_if(nonzero & (F.abs(F.col("norm") - 1) <= V.UNIT)).alias("unit"),
-        F.min("norm").alias("min_norm"), F.percentile("norm", 0.5).alias("median_norm"), F.max("norm").alias("max_norm"),
-        F.min(F.when(nonzero, F.col("norm"))).alias("min_nonzero"), F.max(F.when(nonzero, F.col("norm"))).alias("max_nonzero"),
-        F.count("model").alias("models_recorded"), F.count_distinct("model").alias("models"),
+        F.min("norm").alias("min_norm"), F.max("norm").alias("max_norm"),
+        F.min(F.when(nonzero, F.col("norm"))).alias("min_nonzero"), F.max(F.when(nonzero, F.col("norm"))).alias("max_nonzero"), F.count("model").alias("models_recorded"),
+    )
+    for more in (middle, models, _repeated(rows, "text_hash", "duplicate_texts"), _repeated(rows, "vector_hash", "duplicate_vectors")):
+        one = one.crossJoin(F.broadcast(more))  # one row each
+    return one.select(
+        "rows", "null_vectors", "vectors", "texts_present", "duplicate_texts", "duplicate_vectors", "sizes", "min_dims", "max_dims", "zero", "unit",
+        "min_norm", "median_norm", "max_norm", "min_nonzero", "max_nonzero", "models_recorded", "models",
     )
 
 

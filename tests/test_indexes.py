@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.operators import ivf, knn, metrics
+from spindrift.operators import graph, ivf, knn, metrics
 from spindrift.sources import scratch
 
 SF = "/root/testdata/sf0.001"
@@ -82,3 +82,38 @@ def test_hot_list_is_split_and_odd_vectors(spark, monkeypatch):
     assert none.search(q).count() == 0 and index.search(q.limit(0)).count() == 0 and ivf.Index.open(spark, none.path).search(q).count() == 0
     with pytest.raises(ValueError):
         ivf.train(rows, 8_000_000)
+
+
+# Neighbour graphs.
+def test_graph_finds_neighbours(spark, rows, queries):
+    exact = knn.knn(rows.select(F.col("key").alias("qid"), "vector"), rows, k=10, exclude_self=True)
+    g = graph.Graph.build(rows, 16)
+    own = g.edges.select(F.col("key").alias("qid"), F.col("other").alias("key"), "distance")
+    assert 0 < g.rounds <= graph.ROUNDS and recall(own, exact) >= 0.9
+    assert g.edges.groupBy("key").count().agg(F.max("count")).first()[0] <= 16 and g.edges.where("key = other").count() == 0
+    wanted = knn.knn(queries, rows)
+    found = [recall(g.search(queries, ef=ef), wanted) for ef in (10, 64)]
+    assert found[1] >= 0.9 and found[1] >= found[0]
+    got = g.search(queries, k=5, ef=64, exclude_self=True)
+    assert got.where("qid = key").count() == 0 and got.groupBy("qid").count().where("count <> 5").count() == 0
+    true = {(r.qid, r.key): r.distance for r in exact.collect()}
+    assert all(abs(true[r.qid, r.key] - r.distance) < 1e-9 for r in got.collect() if (r.qid, r.key) in true)
+
+
+def test_graph_of_copies_and_odd_rows(spark):
+    data = [(i, [1.0, 0.0, 0.5]) for i in range(700)] + [(1000 + i, [float(np.cos(i)), float(np.sin(i)), 0.1 * (i % 7)]) for i in range(300)] + [(2000, None), (2001, [0.0, 0.0, 0.0]), (2002, [1.0])]
+    rows = spark.createDataFrame(data, "key long, vector array<float>")
+    g = graph.Graph.build(rows, 8, "l2")
+    assert g.rows.count() == 1001 and {r.key for r in g.edges.select("key").distinct().collect()} == {k for k, v in data if v and len(v) == 3}
+    q = rows.where("key in (3, 1004, 2000)").select(F.col("key").alias("qid"), "vector")
+    wanted = knn.knn(q, rows.where("size(vector) = 3"), metric="l2")
+    assert recall(g.search(q, ef=64), wanted) >= 0.9
+    assert graph.Graph.build(rows.limit(0)).search(q).count() == 0 and g.search(q.limit(0)).count() == 0
+    one = graph.Graph.build(rows.where("key = 3"))
+    assert one.edges.count() == 0 and [r.key for r in one.search(q.where("qid = 3")).collect()] == [3]
+
+
+def test_a_round_compares_no_all_pairs(rows):
+    g = graph.Graph.build(rows, 4, rounds=0)
+    plan = graph._joined(g.rows, g.edges.withColumn("new", F.lit(True)), 4, "cosine")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
