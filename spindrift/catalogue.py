@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from spindrift.functions import identity as I
 from spindrift.functions import text as T
 from spindrift.functions import vectors as V
-from spindrift.operators import embed, ivf, knn, lookup, metrics, migrate, profile, sampling
+from spindrift.operators import digests, embed, graph, ivf, knn, lookup, metrics, migrate, profile, sampling
 from spindrift.plans import estimates, stages, verdict
-from spindrift.sources import scratch, tables
+from spindrift.sources import buckets, scratch, tables
 from spindrift.streaming import feed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,6 +133,16 @@ def index_recall_by_probes(spark, sf):
     return rounded(out)
 
 
+@query()
+def index_recall_graph(spark, sf):
+    """Recall of a search on a neighbour graph by the width of its beam. No SQL: the graph is found by descent."""
+    g, exact, out = graph.Graph.build(_vectors(spark, sf)), scratch.kept(knn.knn_block(_queries(spark, sf), _vectors(spark, sf))), None
+    for ef in (16, 64):
+        own = metrics.index_recall(g.search(_queries(spark, sf), ef=ef), exact).select(F.lit(ef).alias("ef"), "queries", "index_recall")
+        out = own if out is None else out.unionByName(own)
+    return rounded(out)
+
+
 @query(_knn_sql(_COS))
 def ivf_all_lists(spark, sf):
     """A search of all lists of a stored index is exact."""
@@ -443,15 +453,33 @@ w as (select *, sent and not changed and (old is null or not fresh) as ok from t
 select count(*) as rows, count(*) filter (where ok) as written, count(*) filter (where ok or fresh) as right_hash, count(*) filter (where not ok and not fresh and trim(text, E' \\t\\n\\r\\f\\v') <> '') as still_pending from w""")
 def stale_rewrite(spark, sf):
     """Vectors made from an older text are replaced, those of the present text and rows whose text changed meanwhile are not."""
+    return _rewritten(migrate.guarded_write(*_stale(spark, sf)))
+
+
+def _stale(spark, sf) -> tuple[DataFrame, DataFrame]:
     k = F.col("key")
     t = _docs(spark, sf).select("key", "text", F.when(k % 3 > 0, F.array(F.lit(1.0))).alias("new_vector"), F.when(k % 3 == 2, F.md5("text")).when(k % 3 == 1, F.lit("old")).alias("new_hash"))
     sent = t.where(k % 4 > 0).select("key", F.when(k % 5 == 0, F.md5(F.lit("before"))).otherwise(F.md5("text")).alias("text_hash"), F.array(F.lit(2.0)).alias("new_vector"))
-    out = migrate.guarded_write(t, sent)
+    return t, sent
+
+
+def _rewritten(out: DataFrame) -> DataFrame:
     here = F.col("new_hash").eqNullSafe(F.md5("text"))
     left = migrate.pending(out).agg(F.count("key").alias("still_pending"))
     return out.agg(F.count("key").alias("rows"), F.count_if(F.col("new_vector")[0] == 2.0).alias("written"), F.count_if(here).alias("right_hash")).crossJoin(left)  # one row each
 
 
+@query(ORACLES["stale_rewrite"])
+def bucketed_rewrite(spark, sf):
+    """The same in a table of buckets: only rows that get a vector are written, and read back with the others."""
+    t, sent = _stale(spark, sf)
+    table = buckets.BucketTable(spark, scratch.fresh(spark, "buckets"))
+    table.create(t, "key", 16)
+    now = table.read()
+    table.merge(migrate.guarded_write(now.join(sent.select("key"), "key", "left_semi"), sent).where(F.col("new_vector")[0] == 2.0))
+    return _rewritten(table.read())
+
+
 _TEXTS = [(1, "see https://h/x?key=1 now", '"What is it?"\nmore'), (2, "http://a.b/c", "  plain  "), (3, "", "“quoted”"), (4, "x?y", "one\n\ntwo")]
 
 
@@ -636,6 +664,12 @@ def source_copy_diff(spark, sf):
     return migrate.differences(*_source_copy(spark, sf))
 
 
+@query(_ACTIONS)
+def range_digest_diff(spark, sf):
+    """The same differences, found by digests of ranges of keys: only ranges that differ are joined."""
+    return digests.differences(*_source_copy(spark, sf))
+
+
 @query(f"select key from ({_ACTIONS}) where action = 'delete'")
 def deleted_points(spark, sf):
     return migrate.differences(*_source_copy(spark, sf)).where("action = 'delete'").select("key")
@@ -671,6 +705,17 @@ def feed_merge(spark, sf):
     return feed.live(table).select("id", "event_id", "value")
 
 
+@query(ORACLES["lww_upsert_tombstone"])
+def feed_stateful(spark, sf):
+    """The same by a stream of changes in shuffled files, with the newest change of each id in the state store and a table of buckets behind it."""
+    v, at = _versions(spark, sf), scratch.fresh(spark, "feed")
+    v.repartition(4, F.md5(F.col("event_id").cast("string"))).write.parquet(f"{at}/in")
+    table = buckets.BucketTable(spark, f"{at}/table")
+    table.create(v.limit(0).drop("deleted"), "id", 16)
+    feed.keep_up(spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in"), table, f"{at}/checkpoint").awaitTermination()
+    return table.read().select("id", "event_id", "value")
+
+
 @query("select event_type, sum(json_extract_string(props, '$.k')::bigint)::bigint as total, count(*) filter (where json_extract_string(props, '$.none.deeper') is null) as absent from events group by event_type")
 def json_path_payload(spark, sf):
     return _table(spark, sf, "events").groupBy("event_type").agg(F.sum(profile.json_path("props", "k").cast("long")).alias("total"), F.count_if(profile.json_path("props", "none.deeper").isNull()).alias("absent"))

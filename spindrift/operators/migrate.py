@@ -83,8 +83,12 @@ def accepted(df: DataFrame, written: DataFrame) -> int:
 
 def same_payload(a: str, b: str) -> Column:
     """Whether two JSON texts are equal as values: 1 and 1.0 are, true and 1 aren't, the order of keys doesn't matter. What is no JSON equals itself only."""
-    plain = lambda c: F.coalesce(F.to_json(F.try_parse_json(c)), F.col(c))  # noqa: E731  variants keep keys in order and numbers without trailing zeros
-    return F.col(a).eqNullSafe(F.col(b)) | plain(a).eqNullSafe(plain(b))
+    return F.col(a).eqNullSafe(F.col(b)) | plain_payload(a).eqNullSafe(plain_payload(b))
+
+
+def plain_payload(c: str) -> Column:
+    """A JSON text as one of all that are equal as values: variants keep keys in order and numbers without trailing zeros."""
+    return F.coalesce(F.to_json(F.try_parse_json(c)), F.col(c))
 
 
 def differences(source: DataFrame, copy: DataFrame, payload: bool = True) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
-from spindrift.operators import migrate
+from spindrift.operators import digests, migrate
 from spindrift.sources.tables import VectorTable
 
 ATTEMPTS = 3
@@ -60,12 +60,6 @@ def fill(t: VectorTable, table: DataFrame, embed: Callable[[DataFrame], DataFram
     return Filled(done, n["good"], n["rejected"], migrate.pending(done).count(), usd)
 
 
-def late_writes(current: DataFrame, written: DataFrame) -> int:
-    """Rows whose text is another than the one in what was written, came since, or are gone."""
-    now, then = current.select("key", F.md5("text").alias("_now"), F.lit(True).alias("_n")), written.select("key", F.md5("text").alias("_then"), F.lit(True).alias("_t"))
-    return now.join(then, "key", "full").where(F.col("_n").isNull() | F.col("_t").isNull() | ~F.col("_now").eqNullSafe(F.col("_then"))).count()
-
-
 def cutover(
     t: VectorTable, current: Callable[[], DataFrame], embed: Callable[[DataFrame], DataFrame], catch_up: Callable[[], object] | None = None, late: int = migrate.LATE_ROWS, allow_missing: bool = False, attempts: int = ATTEMPTS,
     price: float | None = None, budget: float | None = None, charge: Callable[[Filled], None] = lambda filled: None,
@@ -89,7 +83,7 @@ def cutover(
             t.adopt(filled.table, "new")
             if filled.table is not table:
                 t.forget(table)
-            if late_writes(current(), filled.table) == 0:
+            if digests.changed_rows(current(), filled.table) == 0:
                 t.cutover()
                 return embedded
             continue
