@@ -175,27 +175,21 @@ def keep_rows(docs: DataFrame, decide: Callable[[list[str]], list[bool]]) -> Dat
     """The rows for whose text ``decide`` says true, with all their columns; texts are passed some megabytes at a time.
 
     A null text is decided as an empty one and stays null; repeated rows are decided alike; an empty table stays
-    empty. Rows are filtered where they are read: no join brings the decision back to them."""
-    docs = docs.withColumn("text", F.col("text").cast("string"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from spindrift.llm.words import forget_units
+    empty. Only texts go to Python and only decisions come back: the rows wait for them where they are read, and no join brings them together."""
+    def kept(texts: pa.Array) -> pa.Array:
+        from spindrift.llm.words import forget_units, slices
 
         forget_units()
-        for b in (part for whole in batches for part in in_parts(whole)):
-            texts = [t or "" for t in b["text"].to_pylist()]
-            mask, start = [], 0
-            while start < len(texts):
-                end, size = start, 0
-                while end < len(texts) and (size < 500_000 or end == start):
-                    size += len(texts[end])
-                    end += 1
-                mask += [bool(x) for x in decide(texts[start:end])]
-                start = end
-            yield b.filter(pa.array(mask, pa.bool_()))
+        mask: list[bool] = []
+        for b in in_parts(pa.RecordBatch.from_arrays([texts], ["text"])):
+            own = [t or "" for t in b["text"].to_pylist()]
+            for start, end in slices(own):
+                mask += [bool(x) for x in decide(own[start:end])]
         give_back()
+        return pa.array(mask, pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    text = F.col("text").cast("string")
+    return docs.withColumn("text", text).where(F.arrow_udf(kept, "boolean")(F.col("text")))
 
 
 def tokenizer_path(name: str) -> str:
