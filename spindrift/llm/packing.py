@@ -121,16 +121,17 @@ class Packer:
         self.__init__(self.window, self.most_open)
 
 
-def pack(docs: DataFrame, path: str, window: int = 1024, end: int = 0, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = 1024, end: int = 0, with_ids: bool = False, most_open: int = 4096, room: int = 600_000) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and on demand its ids.
 
     ``path``: file of a byte-level tokenizer; ``end`` follows every document. sequence_id holds the
-    number of the task in its upper bits."""
+    number of the task in its upper bits. ``most_open``: windows that a task holds open, beyond which the emptiest are
+    cut to fill the fullest; ``room``: units whose ids a worker keeps, about twice as many at most. Neither changes which ids are packed."""
 
     def rows(batches):
         from pyspark import TaskContext
 
-        first, n, packer = TaskContext.get().partitionId() << 40, 0, Packer(window)
+        first, n, packer = TaskContext.get().partitionId() << 40, 0, Packer(window, most_open)
 
         def told(sequences):
             nonlocal n
@@ -142,7 +143,7 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end: int = 0, with_ids:
                 n += 1
 
         for b in batches:
-            for d, ids in zip(b["doc_id"], ids_of_all(path, b["text"], end, room=600_000)):
+            for d, ids in zip(b["doc_id"], ids_of_all(path, b["text"], end, room)):
                 yield from told(packer.add((d, len(ids)), ids))
         yield from told(packer.close())
 
