@@ -15,12 +15,12 @@ from spindrift.llm.shared import discard, stored, tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go."""
+    """Documents that the toxicity classifier rejects go. Null and empty texts, of which nothing is said, stay, and repeated rows are decided alike."""
     return toxicity.keep(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. A null text is scored as an empty one, and repeated rows are decided alike."""
     return quality.keep(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -35,13 +35,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays; null texts and texts without words are near copies of none, repeated rows of each other."""
     return neardup.one_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 1,024 ids."""
-    return packing.pack(docs, tokenizer_path(BYTE_BPE))
+    """The pieces of all documents in sequences of at most 1,024 ids. A null text is packed as an empty one, a repeated row as often as it is there.
+
+    Workers that go on from stage to stage keep fewer units than where packing runs alone."""
+    return packing.pack(docs, tokenizer_path(BYTE_BPE), room=200_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("line dedup", drop_lines), ("near-dedup", drop_near_copies), ("packing", pack)]
