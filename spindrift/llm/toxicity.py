@@ -52,12 +52,18 @@ ORDINARY, TOXIC = 131_072, (4096, 16_384, 32_768, 65_536)
 
 
 class Spelled:
-    """Texts as symbols: ``codes`` has two for each word, its stem's and its own; ``first``: index of each text's first word."""
+    """Texts as symbols: ``codes`` has two for each word, its stem's and its own; ``first``: index of each text's first word, and the number of words.
+
+    Texts are taken some at a time, as finding words needs some hundred bytes for each character."""
 
     def __init__(self, texts: list[str]):
-        w = Words([t.lower() for t in texts], BY_LETTER, STEM)
-        self.first, self.doc = w.first, w.doc
-        self.codes = np.column_stack([w.stem, w.hash ^ np.uint64(0x5555)])
+        codes, first, n = [np.zeros((0, 2), np.uint64)], [np.zeros(1, np.int64)], 0
+        for a, b in slices(texts):
+            w = Words([t.lower() for t in texts[a:b]], BY_LETTER, STEM)
+            codes.append(np.column_stack([w.stem, w.hash ^ np.uint64(0x5555)]))
+            first.append(n + w.first[1:])
+            n += len(w.hash)
+        self.codes, self.first = np.concatenate(codes), np.concatenate(first)
 
     def windows(self) -> tuple[list[bytes], np.ndarray]:
         """(all windows of the texts, number of windows of each text)."""
