@@ -590,9 +590,10 @@ def bytes_per_vector(spark, sf):
     return d.select("dims", *[V.bytes_per_vector("dims", k).alias(k) for k in ("vector", "halfvec", "collection")])
 
 
-@query("select n, greatest(1, case when n <= 1000000 then n // 1000 else floor(sqrt(n)) end)::bigint as lists from (values (10), (5000), (1000000), (4000001), (100000000000)) t(n)")
+@query("select event_id, n, greatest(1, case when n <= 1000000 then n // 1000 else floor(sqrt(n)) end)::bigint as lists from (select event_id, event_id * event_id as n from events)")
 def ivf_lists(spark, sf):
-    return spark.createDataFrame([(10,), (5000,), (1000000,), (4000001,), (100000000000,)], "n long").select("n", V.ivf_lists("n").alias("lists"))
+    """Lists for tables of as many rows as the squares of all events' numbers."""
+    return _table(spark, sf, "events").select("event_id", (F.col("event_id") * F.col("event_id")).alias("n")).withColumn("lists", V.ivf_lists("n"))
 
 
 @query("""with q as (select doc_id, lang as query from documents where doc_id % 10 = 0), c as (select (select sum(length(text)) from documents) + (select sum(length(query)) from q) + (select sum(length(query)) from (select query from q order by doc_id limit 20)) as chars)
@@ -794,20 +795,16 @@ def key_ordinality(spark, sf):
     return lookup.key_columns(_cases(spark, "index string, columns array<string>", [("pk", ["a", "b"]), ("i", ["c"]), ("none", [])]))
 
 
-_TIMES = [(1, 10.5, 2.0), (2, None, 3.0), (3, 4.0, None)]
-
-
-@query("select key, coalesce(e::double, 0) + s::double as p95 from " + _cases_sql(["key", "e", "s"], _TIMES))
+@query("select event_id, round(coalesce(case when event_id % 3 <> 0 then value end, 0) + case when event_id % 4 <> 0 then 2 * value end, 6) as p95 from events")
 def end_to_end_p95(spark, sf):
-    return _cases(spark, "key int, e double, s double", _TIMES).select("key", lookup.end_to_end("e", "s").alias("p95"))
-
-
-_SHARES = [(1, 0, 0), (2, 1, 1000), (3, 0, 9), (4, 1, 3), (5, 1, 1), (6, 5, 1000), (7, 25, 1000), (8, 35, 1000)]
+    e = _table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("e"), F.when(F.col("event_id") % 4 != 0, 2 * F.col("value")).alias("s"))
+    return e.select("event_id", r6(lookup.end_to_end("e", "s")).alias("p95"))
 
 
-@query("select key, case when whole = 0 then '0%' when part > 0 and 100.0 * part / whole < 1 then '<1%' else round_even(100.0 * part / whole, 0)::int || '%' end as share from " + _cases_sql(["key", "part", "whole"], _SHARES))
+@query("""select event_id, case when whole = 0 then '0%' when part > 0 and 100.0 * part / whole < 1 then '<1%' else round_even(100.0 * part / whole, 0)::int || '%' end as share
+from (select event_id, event_id % 97 as part, event_id % 1000 as whole from events)""")
 def share_formats(spark, sf):
-    return _cases(spark, "key int, part int, whole int", _SHARES).select("key", T.share("part", "whole").alias("share"))
+    return _table(spark, sf, "events").select("event_id", (F.col("event_id") % 97).alias("part"), (F.col("event_id") % 1000).alias("whole")).select("event_id", T.share("part", "whole").alias("share"))
 
 
 @query("select doc_id as key, md5('query: ' || text) as as_query, md5('passage: ' || text) as as_document from documents where lang = 'en'")
@@ -816,10 +813,13 @@ def prefix_modes(spark, sf):
     return own.select("key", *[F.md5(T.prefixed("text", mode, "query: ", "passage: ")).alias(f"as_{mode}") for mode in ("query", "document")])
 
 
-@query("select * from (values (1, true), (2, false), (3, false), (4, false), (5, false)) t(key, valid)")
+@query("""select key, coalesce(len(v) > 0 and list_aggregate(list_transform(v, lambda x: coalesce(isfinite(x), false)), 'bool_and'), false) as valid
+from (select vec_id as key, case vec_id % 5 when 0 then embedding::double[] when 1 then [] when 3 then list_append(embedding::double[], null) when 4 then list_append(embedding::double[], 'nan'::double) end as v from embeddings)""")
 def vector_validity(spark, sf):
-    rows = [(1, [1.0, 0.0]), (2, []), (3, None), (4, [1.0, None]), (5, [float("nan")])]
-    return _cases(spark, "key int, v array<double>", rows).select("key", V.is_valid("v").alias("valid"))
+    """Every fifth vector as it is; others empty, null, with a null or with a NaN in them."""
+    v, k = F.col("vector").cast("array<double>"), F.col("key") % 5
+    odd = F.when(k == 0, v).when(k == 1, F.array().cast("array<double>")).when(k == 3, F.concat(v, F.array(F.lit(None).cast("double")))).when(k == 4, F.concat(v, F.array(F.lit(float("nan")))))
+    return _vectors(spark, sf).select("key", odd.alias("v")).select("key", V.is_valid("v").alias("valid"))
 
 
 @query("select * from (values (true, true, 'cut_over'), (true, false, 'cut_over'), (false, true, 'applied'), (false, false, 'not_applied')) t(points, has_new, stage)")

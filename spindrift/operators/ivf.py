@@ -133,8 +133,8 @@ class Index:
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Index:
         about = json.loads(spark.read.text(f"{path}/about").first()[0])
-        centres = np.array(about["centres"], np.float64)
-        return cls(spark, path, about["metric"], centres.reshape(len(about["centres"]), -1), {int(k): n for k, n in about["counts"].items()})
+        centres = np.array(about["centres"], np.float64) if about["centres"] else np.zeros((0, 0))
+        return cls(spark, path, about["metric"], centres, {int(k): n for k, n in about["counts"].items()})
 
     def rows(self) -> DataFrame:
         about = json.loads(self.spark.read.text(f"{self.path}/about").first()[0])
