@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import identity as I
 from spindrift.functions import text as T
 from spindrift.functions import vectors as V
-from spindrift.operators import digests, embed, graph, ivf, knn, lookup, metrics, migrate, profile, sampling
+from spindrift.operators import digests, embed, graph, ivf, knn, lookup, metrics, migrate, pivots, profile, sampling
 from spindrift.plans import estimates, stages, verdict
 from spindrift.sources import buckets, scratch, tables
 from spindrift.streaming import feed
@@ -95,6 +95,13 @@ def knn_block_kernel(spark, sf):
     return rounded(knn.knn_block(_queries(spark, sf), _vectors(spark, sf)))
 
 
+@query("select qid, key, round(distance, 6) + 0.0::double as distance, rank::int as rank from (" + _hits_sql(_COS, "q.vec_id <> d.vec_id").replace("where q.vec_id % 20 = 0", "") + ")")
+def knn_all_vectors(spark, sf):
+    """Every vector's ten nearest others, by pivots: neither side is broadcast."""
+    own = _vectors(spark, sf)
+    return rounded(pivots.knn_pivots(own.select(F.col("key").alias("qid"), "vector"), own, exclude_self=True).hits)
+
+
 def _neighbours(spark, sf) -> DataFrame:
     return knn.knn_block(_queries(spark, sf), _vectors(spark, sf), exclude_self=True)
 
@@ -429,23 +436,22 @@ def labelled_prune(spark, sf):
     return all_queries.agg(F.count("qid").alias("queries")).crossJoin(left.agg(F.count("qid").alias("usable"))).withColumn("skipped", F.col("queries") - F.col("usable"))  # one row each
 
 
-# Rows of fixed cases, for what the tables hold no example of.
-def _cases(spark, names: str, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, names)
-
-
-def _cases_sql(names: list[str], rows: list[tuple]) -> str:
-    cell = lambda v: "null" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).lower()
-    return "(values " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + ") t(" + ", ".join(f'"{n}"' for n in names) + ")"
+_VARIANTS = [
+    ("props", "props"), ("props", """'{"x": 1.50,  "k":' || k || '.0}'"""), ("""'{"x":1.5,"k":' || k || '}'""", """'{"k":' || k || ',  "x":1.50}'"""), ("props", """'{"k":"' || k || '"}'"""),
+    ("null", "props"), ("""'{"k":null}'""", "'{}'"), ("""'{"k":[' || k || ',2]}'""", """'{"k":[2,' || k || ']}'"""), ("""'{"k":' || k || '.00}'""", "props"), ("null", "null"), ("'k=' || k", "'k=' || k"), ("'k=' || k", "'k =' || k"),
+]
+_PAYLOADS_SQL = ", ".join("case event_id % 11 " + " ".join(f"when {i} then {v[side]}" for i, v in enumerate(_VARIANTS)) + f" end as {name}" for side, name in enumerate("ab"))
+_FLAT = lambda c: f"""list_sort(list_transform(json_keys({c}), lambda n: n || ' ' || case when json_type({c}, '$.' || n) in ('UBIGINT', 'BIGINT', 'DOUBLE') then 'n' || json_extract({c}, '$.' || n)::double else json_type({c}, '$.' || n) || json_extract({c}, '$.' || n) end))"""
 
 
-_PAYLOADS = [(1, '{"a":1,"b":2}', '{"b":2,"a":1.0}'), (2, '{"a":1}', '{"a":true}'), (3, '{"a":[1,2]}', '{"a":[2,1]}'), (4, None, None), (5, None, "{}"), (6, '{"a":{"x":null}}', '{ "a" : {"x" : null} }'), (7, '{"a":null}', "{}"), (8, '"1"', "1"), (9, "no json", "no json"), (10, "no json", "no  json"), (11, '{"a":"é"}', '{"a":"\\u00e9"}'), (12, '{"n":1.50}', '{"n":1.5}')]
-
-
-@query("select key, key in (1, 4, 6, 9, 11, 12) as same from " + _cases_sql(["key", "a", "b"], _PAYLOADS))
+@query(f"""with p as (select event_id as key, {_PAYLOADS_SQL} from (select *, json_extract_string(props, '$.k') as k from events)),
+f as (select *, case when json_valid(a) then {_FLAT("a")} end as fa, case when json_valid(b) then {_FLAT("b")} end as fb from p)
+select key, a is not distinct from b or coalesce(fa = fb, false) as same from f""")
 def payload_diff_json(spark, sf):
-    """Payloads compared as values: the order of keys, blanks and zeros at the end of numbers don't matter, kinds do. SQL states what is right."""
-    return _cases(spark, "key int, a string, b string", _PAYLOADS).select("key", migrate.same_payload("a", "b").alias("same"))
+    """Payloads and variants of them compared as values: the order of keys, blanks and zeros at the end of numbers don't matter, kinds do."""
+    own = _table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    sides = [F.expr(_PAYLOADS_SQL.split(" end as ")[0] + " end").alias("a"), F.expr("case" + _PAYLOADS_SQL.split("case")[2].removesuffix(" as b")).alias("b")]
+    return own.select(F.col("event_id").alias("key"), *sides).select("key", migrate.same_payload("a", "b").alias("same"))
 
 
 @query("""with t as (select doc_id as key, text, case when doc_id % 3 > 0 then 1.0 end as old, doc_id % 3 = 2 as fresh, doc_id % 4 > 0 as sent, doc_id % 5 = 0 as changed from documents),
@@ -480,13 +486,14 @@ def bucketed_rewrite(spark, sf):
     return _rewritten(table.read())
 
 
-_TEXTS = [(1, "see https://h/x?key=1 now", '"What is it?"\nmore'), (2, "http://a.b/c", "  plain  "), (3, "", "“quoted”"), (4, "x?y", "one\n\ntwo")]
-
-
-@query("select key, regexp_replace(url, '(https?://[^\\s?]*)\\?\\S*', '\\1?…', 'g') as masked, trim(string_split(trim(reply), chr(10))[1], ' ''\"“”') as cleaned from " + _cases_sql(["key", "url", "reply"], _TEXTS))
+@query(r"""select doc_id as key, 'see ' || regexp_replace(url, '(https?://[^\s?,]+)\?[^\s,]*', '\1?…') || ' now' as masked,
+md5(regexp_replace(trim(string_split(trim(case doc_id % 3 when 0 then '"' || text else ' “' || text || '”' end, ' '), chr(10))[1], ' '), '^["''“”]+|["''“”]+$', '', 'g')) as cleaned
+from documents join pages on page_id = doc_id""")
 def masked_and_cleaned(spark, sf):
-    """Addresses without what they ask for, and the first line of a chat model's reply without its quotes."""
-    return _cases(spark, "key int, url string, reply string", _TEXTS).select("key", T.masked_url("url").alias("masked"), T.cleaned_reply("reply").alias("cleaned"))
+    """Addresses without what they ask for, and the first lines of quoted texts, as chat models reply, without their quotes."""
+    pages = _table(spark, sf, "pages").select(F.col("page_id").alias("key"), F.concat(F.lit("see "), "url", F.lit(" now")).alias("url"))
+    reply = F.when(F.col("key") % 3 == 0, F.concat(F.lit('"'), "text")).otherwise(F.concat(F.lit(" “"), "text", F.lit("”")))
+    return _docs(spark, sf).join(pages, "key").select("key", T.masked_url("url").alias("masked"), F.md5(T.cleaned_reply(reply)).alias("cleaned"))
 
 
 @query("""select label, count(*) as vectors, round(max(sqrt(list_sum(list_transform(embedding, lambda x: ((x::double / n)::float::double) ^ 2)))), 6) as longest
@@ -554,15 +561,17 @@ def embedding_cache_misses(spark, sf):
 
 
 # Identity.
-_SPECS = [("OpenAI", " text-embedding-3-small ", 1536, None, None, None, True), ("hash", "64", 64, None, None, "|", True), ("ollama", "nomic-embed-text", 768, "v1.5", "search", 'a"b', False)]
-_SPEC_SQL = " union all ".join("select " + ", ".join(("null::varchar" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower()) + f" as {n}" for v, n in zip(s, ("provider", "model", "dimensions", "version", "task", "prefix", "normalized"))) for s in _SPECS)
-
-
-@query(f"""with s as ({_SPEC_SQL}), j as (select *, lower(trim(provider)) as p, lower(trim(model)) as m from s),
-h as (select *, substr(sha256('{{"dimensions":' || dimensions || ',"model":' || to_json(m) || ',"normalized":' || normalized || ',"prefix":' || coalesce(to_json(prefix), 'null') || ',"provider":' || to_json(p) || ',"task":' || coalesce(to_json(task), 'null') || ',"version":' || coalesce(to_json(version), 'null') || '}}'), 1, 12) as digest from j)
+@query("""with s as (select distinct ' ' || upper(source) || ' ' as provider, lang || '-Model' as model, n_chars::int + 1 as dimensions, case when n_chars % 2 = 0 then 'v' || n_chars % 7 end as version, case when n_chars % 3 = 0 then 'search' end as task, case when n_chars % 5 = 0 then lang || '"|' end as prefix, n_chars % 4 > 0 as normalized from documents),
+j as (select *, lower(trim(provider)) as p, lower(trim(model)) as m from s),
+h as (select *, substr(sha256('{"dimensions":' || dimensions || ',"model":' || to_json(m) || ',"normalized":' || normalized || ',"prefix":' || coalesce(to_json(prefix), 'null') || ',"provider":' || to_json(p) || ',"task":' || coalesce(to_json(task), 'null') || ',"version":' || coalesce(to_json(version), 'null') || '}'), 1, 12) as digest from j)
 select digest, p || '/' || m || '@' || dimensions || '#' || digest as tag from h""")
 def fingerprint_tags(spark, sf):
-    s = spark.createDataFrame(_SPECS, "provider string, model string, dimensions int, version string, task string, prefix string, normalized boolean")
+    """Vector spaces named after the sources, languages and lengths of documents."""
+    n = F.col("n_chars")
+    s = _table(spark, sf, "documents").select(
+        F.concat(F.lit(" "), F.upper("source"), F.lit(" ")).alias("provider"), F.concat("lang", F.lit("-Model")).alias("model"), (n.cast("int") + 1).alias("dimensions"), F.when(n % 2 == 0, F.concat(F.lit("v"), n % 7)).alias("version"),
+        F.when(n % 3 == 0, "search").alias("task"), F.when(n % 5 == 0, F.concat("lang", F.lit('"|'))).alias("prefix"), (n % 4 > 0).alias("normalized"),
+    ).distinct()
     return s.select(I.digest().alias("digest"), I.tag().alias("tag"))
 
 
@@ -733,14 +742,13 @@ def running_spend(spark, sf):
     return rounded(migrate.running_spend(b, "event_id", ("user_id",)).select("user_id", "event_id", "total_usd", "total_rows"))
 
 
-_STAGES = [(False, False, None, False, False), (True, False, 5, True, False), (True, False, 0, True, False), (True, False, 0, False, False), (False, True, None, True, False), (True, True, 1, True, False), (False, False, None, False, True)]
-_STAGE_SQL = ", ".join(f"({i}, {', '.join('null' if v is None else str(v).lower() for v in s)})" for i, s in enumerate(_STAGES))
-
-
-@query(f"""select case_id::int as case_id, case when n and o then 'conflict' when o then 'cut_over' when n and m = 0 and ix then 'ready' when n then 'filling' when c then 'cleaned_up' else 'not_started' end as stage from (values {_STAGE_SQL}) t(case_id, n, o, m, ix, c)""")
+@query("""select doc_id as case_id, case when n and o then 'conflict' when o then 'cut_over' when n and m = 0 and ix then 'ready' when n then 'filling' when c then 'cleaned_up' else 'not_started' end as stage
+from (select doc_id, doc_id % 2 = 1 as n, doc_id % 3 = 1 as o, case when quality is not null then toxic end as m, doc_id % 5 > 1 as ix, doc_id % 7 = 2 as c from documents left join labels using (doc_id))""")
 def stage_machine(spark, sf):
-    s = spark.createDataFrame([(i, *x) for i, x in enumerate(_STAGES)], "case_id int, n boolean, o boolean, m int, ix boolean, c boolean")
-    return s.select("case_id", stages.stage(F.col("n"), F.col("o"), F.col("m"), F.col("ix"), F.col("c")).alias("stage"))
+    """Every document as a migration: which columns it has by its id, what is missing by its label (null: not counted)."""
+    s = _table(spark, sf, "documents").join(_table(spark, sf, "labels"), "doc_id", "left")
+    k = F.col("doc_id")
+    return s.select(k.alias("case_id"), stages.stage(k % 2 == 1, k % 3 == 1, F.when(F.col("quality").isNotNull(), F.col("toxic")), k % 5 > 1, k % 7 == 2).alias("stage"))
 
 
 @query("""with c as (select count(*) filter (where trim(text) <> '' and quality is null) as pending, count(*) filter (where not trim(text) <> '') as no_text from documents left join labels using (doc_id))
@@ -776,23 +784,33 @@ def random_sample(spark, sf):
     return lookup.random_sample(_docs(spark, sf), 25, "s1").select("key", "lang")
 
 
-_EVENTS = [("s", "a", "n1", "apply", 1), ("s", "a", "n1", "cutover", 3), ("s", "a", "n1", "rollback", 3), ("s", "a", "n2", "apply", 9), ("s", "b", "n1", "apply", 4), ("t", "a", "n1", "cleanup", 2), ("t", "a", "n1", None, None)]
-_EVENT_COLUMNS = ["store", "alias", "new", "event", "at"]
+_SWITCHES = "select event_type as store, 'a' || user_id % 5 as alias, 'n' || user_id % 3 as new, case event_id % 4 when 0 then 'apply' when 1 then 'cutover' when 2 then 'rollback' end as event, case when event_id % 9 > 0 then event_id // 50 end as at from events"
+
+
+def _switches(spark, sf) -> DataFrame:
+    """The events of the feed as a history of switches: several at one time, some without one."""
+    kind, k, user = F.col("event_id") % 4, F.col("event_id"), F.col("user_id")
+    event = F.when(kind == 0, "apply").when(kind == 1, "cutover").when(kind == 2, "rollback")
+    return _table(spark, sf, "events").select(
+        F.col("event_type").alias("store"), F.concat(F.lit("a"), user % 5).alias("alias"), F.concat(F.lit("n"), user % 3).alias("new"), event.alias("event"), F.when(k % 9 > 0, F.floor(k / 50)).alias("at")
+    )
 
 
-@query('select event, "at" from ' + _cases_sql(_EVENT_COLUMNS, _EVENTS) + " where store = 's' and alias = 'a' and new = 'n1'")
+@query(f'select event, "at" from ({_SWITCHES}) where store = \'click\' and alias = \'a1\' and new = \'n1\'')
 def switch_history(spark, sf):
-    return lookup.history(_cases(spark, "store string, alias string, new string, event string, at int", _EVENTS), "s", "a", "n1").select("event", "at")
+    return lookup.history(_switches(spark, sf), "click", "a1", "n1").select("event", "at")
 
 
-@query('select store, alias, max_by(event, ("at", event)) as event, max("at") as "at" from ' + _cases_sql(_EVENT_COLUMNS, _EVENTS) + ' where "at" is not null group by store, alias')
+@query(f"""select store, alias, case r when 0 then null when 1 then 'apply' when 2 then 'cutover' else 'rollback' end as event, "at" from (select store, alias, "at", max(case event when 'apply' then 1 when 'cutover' then 2 when 'rollback' then 3 else 0 end) as r
+from ({_SWITCHES}) s where "at" = (select max("at") from ({_SWITCHES}) o where o.store = s.store and o.alias = s.alias) group by all)""")
 def latest_events(spark, sf):
-    return lookup.latest(_cases(spark, "store string, alias string, new string, event string, at int", _EVENTS), "store", "alias")
+    return lookup.latest(_switches(spark, sf), "store", "alias")
 
 
-@query("select * from (values ('pk', 'a', 1), ('pk', 'b', 2), ('i', 'c', 1)) t(index, \"column\", ordinal)")
+@query("""select page_id as index, unnest(p) as "column", generate_subscripts(p, 1)::int as ordinal from (select page_id, string_split(url, '/') as p from pages)""")
 def key_ordinality(spark, sf):
-    return lookup.key_columns(_cases(spark, "index string, columns array<string>", [("pk", ["a", "b"]), ("i", ["c"]), ("none", [])]))
+    """The parts of every page's address with their places."""
+    return lookup.key_columns(_table(spark, sf, "pages").select(F.col("page_id").alias("index"), F.split("url", "/").alias("columns")))
 
 
 @query("select event_id, round(coalesce(case when event_id % 3 <> 0 then value end, 0) + case when event_id % 4 <> 0 then 2 * value end, 6) as p95 from events")
@@ -822,10 +840,11 @@ def vector_validity(spark, sf):
     return _vectors(spark, sf).select("key", odd.alias("v")).select("key", V.is_valid("v").alias("valid"))
 
 
-@query("select * from (values (true, true, 'cut_over'), (true, false, 'cut_over'), (false, true, 'applied'), (false, false, 'not_applied')) t(points, has_new, stage)")
+@query("""select doc_id as key, case when quality = 1 then 'cut_over' when quality is not null then 'applied' else 'not_applied' end as stage from documents left join labels using (doc_id)""")
 def alias_stages(spark, sf):
-    rows = _cases(spark, "points boolean, has_new boolean", [(a, b) for a in (True, False) for b in (True, False)])
-    return rows.select("points", "has_new", stages.alias_stage(F.col("points"), F.col("has_new")).alias("stage"))
+    """Every document as a collection: the new one exists where it has a label, the alias points at it where that is 1."""
+    rows = _table(spark, sf, "documents").join(_table(spark, sf, "labels"), "doc_id", "left")
+    return rows.select(F.col("doc_id").alias("key"), stages.alias_stage(F.coalesce(F.col("quality") == 1, F.lit(False)), F.col("quality").isNotNull()).alias("stage"))
 
 
 @query("select vec_id as key, left(repeat('c' || vec_id, 20), 59) || '_old' as old, left(repeat('c' || vec_id, 20), 52) || '_hnsw_index' as index from embeddings where vec_id between 100 and 199")
