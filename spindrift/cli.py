@@ -36,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
     add("fingerprint", "provider", "model", "dimensions", version=str, task=str, prefix=str, unnormalized=bool)
     add("doctor", "table", vector=str, text_column=str, sample=int, declared=int)
     add("init", "table", "model", column=str, budget=float)
-    add("plan", "job")
+    add("plan", "job", probe=bool)
     for name in ("apply", "status", "cutover", "rollback"):
         add(name, "job", "work", **({"until": float} if name == "apply" else {"check": bool} if name == "cutover" else {}))
     add("cleanup", "job", "work", "typed")
@@ -62,7 +62,7 @@ def run(args: argparse.Namespace) -> tuple[dict | str, int]:
         return out, 0
     j = job.load(args.job)
     if args.command == "plan":
-        out = service.plan(spark, j)
+        out = service.plan(spark, j, args.probe)
         return out, int(not out["ok"])
     t = tables.VectorTable(spark, args.work)
     if args.command == "apply":

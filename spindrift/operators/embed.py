@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 from itertools import filterfalse
 
@@ -86,35 +88,67 @@ def hash_blake(docs: DataFrame, dims: int) -> DataFrame:
     return embedded(docs, lambda texts: [hash_vector(t, dims) for t in texts], dims).select("key", "vector")
 
 
-def embedded(docs: DataFrame, model: Callable[[list[str]], list[list[float]]], dims: int | None = None, batch: int = 64) -> DataFrame:
-    """key, vector, error: texts through a model in batches; null texts are left out.
+class Answer(list):
+    """Vectors, and the tokens that the call counted (None where the model doesn't say)."""
+
+    tokens: int | None = None
+
+
+def embedded(docs: DataFrame, model: Callable[[list[str]], list[list[float]]], dims: int | None = None, batch: int = 64, parallel: int = 1) -> DataFrame:
+    """key, vector, error, tokens: texts through a model in batches, ``parallel`` of them at a time in each task; null texts are left out.
 
     Where a call fails, or gives vectors of another number or size than it should, the batch is halved
-    until single rows fail: one bad text costs no other its vector, and no stage fails."""
+    until single rows fail: one bad text costs no other its vector, and no stage fails. What a call counted as
+    tokens is in its first row, 0 in its others; null where it counted none."""
     key_type = docs.schema["key"].dataType
 
-    def isolated(texts: list[str]) -> list[tuple[list[float] | None, str | None]]:
+    def isolated(texts: list[str]) -> list[tuple[list[float] | None, str | None, int | None]]:
         try:
             out = model(texts)
             if len(out) != len(texts):
                 raise ValueError(f"{len(out)} vectors for {len(texts)} texts")
             if dims and any(len(v) != dims for v in out):
                 raise ValueError(f"a vector has not {dims} dimensions")
-            return [(v, None) for v in out]
+            used = getattr(out, "tokens", None)
+            return [(v, None, used if not i or used is None else 0) for i, v in enumerate(out)]
         except Exception as e:  # noqa: BLE001  whatever a model raises is the row's error
             if len(texts) == 1:
-                return [(None, f"{type(e).__name__}: {e}"[:300])]
+                return [(None, f"{type(e).__name__}: {e}"[:300], 0)]
             half = len(texts) // 2
             return isolated(texts[:half]) + isolated(texts[half:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b["text"].to_pylist()
-            out = [r for i in range(0, len(texts), batch) for r in isolated(texts[i : i + batch])]
-            if out:
-                yield pa.RecordBatch.from_arrays([b["key"], pa.array([v for v, _ in out], pa.list_(pa.float32())), pa.array([e for _, e in out], pa.string())], ["key", "vector", "error"])
-
-    return docs.select("key", "text").where("text is not null").mapInArrow(run, f"key {key_type.simpleString()}, vector array<float>, error string")
+        with ThreadPoolExecutor(parallel) as pool:
+            for b in batches:
+                texts = b["text"].to_pylist()
+                calls = [texts[i : i + batch] for i in range(0, len(texts), batch)]
+                out = [r for answers in (map if parallel == 1 else pool.map)(isolated, calls) for r in answers]
+                if out:
+                    vector, error, tokens = zip(*out)
+                    yield pa.RecordBatch.from_arrays([b["key"], pa.array(vector, pa.list_(pa.float32())), pa.array(error, pa.string()), pa.array(tokens, pa.int64())], ["key", "vector", "error", "tokens"])
+
+    return docs.select("key", "text").where("text is not null").mapInArrow(run, f"key {key_type.simpleString()}, vector array<float>, error string, tokens long")
+
+
+#: Texts of a probe.
+PROBE = 16
+
+
+def probe(docs: DataFrame, model: Callable[[list[str]], list[list[float]]]) -> dict:
+    """What a few texts of docs (key, text), spread by hash, say about a model: rows, dims, tokens_per_char, docs_per_second; or its error.
+
+    The ratio is None where the model counts no tokens. Texts are cut as they will be when all are embedded."""
+    some = docs.where(T.has_text("text")).orderBy(F.md5(F.col("key").cast("string")), "key").limit(PROBE)
+    texts = [r[0] for r in some.select(T.clip("text", T.EMBED_CLIP)).collect()]
+    if not texts:
+        return {"rows": 0, "dims": None, "tokens_per_char": None, "docs_per_second": None}
+    began = time.perf_counter()
+    try:
+        out = model(texts)
+    except Exception as e:  # noqa: BLE001  whatever a model raises is what the probe found
+        return {"rows": len(texts), "error": f"{type(e).__name__}: {e}"[:300]}
+    took, used = time.perf_counter() - began, getattr(out, "tokens", None)
+    return {"rows": len(texts), "dims": len(out[0]), "tokens_per_char": used / sum(map(len, texts)) if used else None, "docs_per_second": len(texts) / max(took, 1e-6)}
 
 
 def cache_split(docs: DataFrame, cache: DataFrame, identity_text: str, mode: str = "document") -> tuple[DataFrame, DataFrame]:

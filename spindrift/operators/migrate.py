@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
+from spindrift.operators.cache import EmbeddingCache
 
 #: Passes after the first; what may be left for a run to count as done; rows embedded while switching.
 MORE_PASSES, SETTLED_ROWS, SETTLED_SHARE, LATE_ROWS = 5, 100, 0.001, 500
@@ -133,9 +134,22 @@ def running_spend(batches: DataFrame, order: str = "batch", by: tuple[str, ...]
     return batches.withColumn("total_rows", F.sum("rows").over(w)).withColumn("total_usd", F.sum("usd").over(w))
 
 
+def spent(got: DataFrame) -> DataFrame:
+    """One row: tokens, calls (that counted them), rejected, good, from answers (text, vector, error, tokens where counted).
+
+    Where a call counted none, a quarter of the characters stands for it."""
+    counted = F.col("tokens") if "tokens" in got.columns else F.lit(None).cast("long")
+    length = F.length("text")
+    of = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return got.agg(
+        of(F.coalesce(counted, length / CHARS_PER_TOKEN)).alias("tokens"), F.coalesce(F.sum(F.when(counted > 0, 1)), F.lit(0)).alias("calls"),
+        F.count_if(F.col("error").isNotNull()).alias("rejected"), F.count_if(F.col("error").isNull() & F.col("vector").isNotNull()).alias("good"),
+    )
+
+
 @dataclass
 class Outcome:
-    """complete, stopped, budget or failed."""
+    """complete, stopped, budget or failed. Texts the model was ``asked`` and what they cost; ``failed``: key, error of all rows rejected so far, ``rejected`` of them in this run."""
 
     status: str
     table: DataFrame
@@ -143,33 +157,32 @@ class Outcome:
     spent_usd: float = 0.0
     passes: int = 0
     remaining: int = 0
-    failed: dict = field(default_factory=dict)
+    tokens: int = 0
+    asked: int = 0
+    rejected: int = 0
+    failed: DataFrame | None = None
 
 
 def apply(
     table: DataFrame, embed: Callable[[DataFrame], DataFrame], store: Callable[[DataFrame], DataFrame], price: float | None = None, budget: float | None = None, chunk: int | None = None,
-    until: float | None = None, failed: dict | None = None, spent: float = 0.0, changed: Callable[[DataFrame], DataFrame] | None = None, should_stop: Callable[[], bool] = lambda: False,
+    until: float | None = None, failed: DataFrame | None = None, already: float = 0.0, cache: EmbeddingCache | None = None, forget: Callable[..., None] = lambda *tables: None, changed: Callable[[DataFrame], DataFrame] | None = None, should_stop: Callable[[], bool] = lambda: False,
 ) -> Outcome:
     """Fills new vectors until nothing is pending, a quota is reached, the budget would be passed, or too little is left to matter.
 
-    ``embed``: (key, text) -> (key, vector, error). ``store``: writes a version and reads it again.
+    ``embed``: (key, text) -> (key, vector, error, and tokens where calls count them). ``store``: writes a version and reads it again, ``forget``
+    removes versions that nothing reads any more. ``already``: what was spent before. With a ``cache`` the model is asked for texts that it doesn't hold, each once, and only these cost.
     ``changed``: what the application did to the table meanwhile. Each pass is bounded by what was pending
-    when it began; rows that failed are not tried again until they are taken off ``failed``."""
-    out = Outcome("complete", store(table), spent_usd=spent, failed=dict(failed or {}))
-    spark = table.sparkSession
+    when it began; rows that failed are not tried again until they are taken off ``failed`` (key, error)."""
+    out = Outcome("complete", store(table), spent_usd=already, failed=failed)
+    ratio = 1 / CHARS_PER_TOKEN
+    last = out.table
     first = status_counts(out.table).first()
     left = None if until is None else quota(first["with_text"], first["with_text"] - first["missing"], until)
 
-
-    def rejected() -> DataFrame | None:
-        """Keys as the table has them: a saved state has them as text."""
-        return spark.createDataFrame([(str(k),) for k in out.failed], "key string").select(F.col("key").cast(table.schema["key"].dataType)) if out.failed else None
-
-    for n in range(1 + MORE_PASSES):
-        bad = rejected()
-        todo = pending(out.table, failed=bad)
+    for k in range(1 + MORE_PASSES):
+        todo = pending(out.table, failed=out.failed)
         backlog = todo.count()
-        if n == 0:
+        if k == 0:
             before = backlog
         if not backlog:
             break
@@ -184,32 +197,44 @@ def apply(
                 break
             part = todo if limit >= backlog - done and left is None else todo.orderBy("key").limit(limit)  # all that is pending needs no order
             some = store(part.select("key", T.clip("text", T.EMBED_CLIP).alias("text"), F.md5("text").alias("text_hash")))
-            size = some.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
-            if not size["n"]:
+            n = some.count()
+            if not n:
                 break
-            cost = size["chars"] / CHARS_PER_TOKEN * (price or 0.0) / 1e6
-            if budget is not None and out.spent_usd + cost > budget:
+            split = cache.split(some.select("key", "text")) if cache else None
+            size = (split.misses if split else some).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+            if budget is not None and out.spent_usd + size["chars"] * ratio * (price or 0.0) / 1e6 > budget:
                 out.status = "budget"
                 break
-            got = store(some.join(embed(some.select("key", "text")), "key"))
-            for r in got.where("error is not null").select("key", "error").collect():  # rows that failed one by one
-                out.failed[r["key"]] = r["error"]
+            got = store(some.join(split.answered(embed) if split else embed(some.select("key", "text")), "key"))
+            paid = spent(got).first()
+            if paid["calls"] and size["chars"]:
+                ratio = paid["tokens"] / size["chars"]  # as measured, for the next check of the budget
+            if paid["rejected"]:
+                bad = got.where("error is not null").select("key", "error")
+                was, out.failed = out.failed, store(bad if out.failed is None else out.failed.unionByName(bad))
+                if was is not None and was is not failed:
+                    forget(was)
             good = got.where("error is null").select("key", "text_hash", F.col("vector").alias("new_vector"))
             if changed is not None:
                 out.table = changed(out.table)
             wrote = accepted(out.table, good)
-            out.table = store(guarded_write(out.table, good))
+            gone, out.table = last, store(guarded_write(out.table, good))
+            last = out.table
+            forget(some, got, gone)
+            if split:
+                split.drop()
             out.rows_written += wrote
-            out.spent_usd += cost
-            done += size["n"]
+            out.tokens += round(paid["tokens"])
+            out.spent_usd += paid["tokens"] * (price or 0.0) / 1e6
+            out.asked += size["n"]
+            out.rejected += paid["rejected"]
+            done += n
             if left is not None:
                 left -= wrote
-            bad = rejected()
-            todo = pending(out.table, failed=bad)
+            todo = pending(out.table, failed=out.failed)
         if out.status != "complete" or left is not None and left <= 0 or not done:
             break
-    bad = rejected()
-    out.remaining = pending(out.table, failed=bad).count()
+    out.remaining = pending(out.table, failed=out.failed).count()
     if out.status == "complete" and left is not None and left <= 0 and out.remaining:
         out.status = "stopped"
     elif out.status == "complete" and not settled(out.remaining, max(before, out.rows_written)):

@@ -38,6 +38,7 @@ class Limits:
     budget_usd: float | None = None
     tokens_per_minute: int | None = None
     requests_per_minute: int | None = None
+    parallel: int | None = None
 
 
 @dataclass(frozen=True)
@@ -47,6 +48,7 @@ class Job:
     model: S.ModelSpec
     target: Target = field(default_factory=Target)
     limits: Limits = field(default_factory=Limits)
+    cache: str | None = None
 
 
 _CHOICES = {"vector_type": ("vector", "halfvec"), "index": ("hnsw", "ivfflat", "none"), "metric": (None, "cosine", "l2", "inner_product")}
@@ -69,7 +71,7 @@ def parse(data: dict) -> Job:
     """Unknown keys are refused; an empty section means its defaults."""
     if not isinstance(data, dict):
         raise JobError("a job is a mapping")
-    if extra := sorted(set(data) - {"name", "source", "model", "target", "limits"}):
+    if extra := sorted(set(data) - {"name", "source", "model", "target", "limits", "cache"}):
         raise JobError(f"unknown keys: {', '.join(extra)}")
     if not data.get("name") or not data.get("model"):
         raise JobError("a job needs name and model")
@@ -89,7 +91,11 @@ def parse(data: dict) -> Job:
             S.parse(source.model)
     except S.SpecError as e:
         raise JobError(str(e)) from e
-    return Job(str(data["name"]), source, model, target, limits)
+    if isinstance(limits.parallel, float):
+        raise JobError("limits.parallel must be a whole number")
+    if data.get("cache") is not None and not isinstance(data["cache"], str):
+        raise JobError("cache is a folder")
+    return Job(str(data["name"]), source, model, target, limits, data.get("cache"))
 
 
 def load(path: str | Path) -> Job:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import asdict
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import text, vectors
-from spindrift.operators import embed, knn, metrics, migrate, profile, remote, sampling
+from spindrift.operators import embed, ivf, knn, metrics, migrate, profile, remote, sampling
+from spindrift.operators.cache import EmbeddingCache
 from spindrift.plans import estimates, job, spec, stages, switch, verdict
-from spindrift.sources import tables
+from spindrift.sources import scratch, tables
 
 
 def _columns(df: DataFrame, vector: str | None = None, text_column: str | None = None) -> dict:
@@ -34,21 +34,32 @@ def doctor(df: DataFrame, vector: str | None = None, text_column: str | None = N
     }
 
 
-def plan(spark: SparkSession, j: job.Job) -> dict:
+def _key(df: DataFrame) -> str:
+    return next((k for k in ("key", "id", "doc_id") if k in df.columns), df.columns[0])
+
+
+def plan(spark: SparkSession, j: job.Job, probe: bool = False) -> dict:
+    """Estimates, findings, changes. ``probe``: a few texts are embedded first, so that tokens and time are estimated by what they took."""
     df = spark.read.parquet(j.source.table)
     c = _columns(df, j.source.vector_column, j.source.text_column)
     own = df.agg(F.count(F.lit(1)).alias("rows"), F.count(c["vector"]).alias("vectors"), F.count_if(text.has_text(c["text"]) if c["text"] else F.lit(False)).alias("texts_present"), (F.avg(F.length(c["text"])) if c["text"] else F.lit(0.0)).alias("avg_chars"), F.max(vectors.dims(c["vector"])).alias("max_dims")).withColumn("estimated_rows", F.col("rows"))
-    e = estimates.estimate(own, j.model.price, j.model.batch, spec.width(j.model), kind=j.target.vector_type, tokens_per_minute=j.limits.tokens_per_minute, requests_per_minute=j.limits.requests_per_minute, hnsw=j.target.index == "hnsw").first().asDict()
+    tried = embed.probe(df.select(F.col(_key(df)).alias("key"), F.col(c["text"]).alias("text")), remote.embedder(j.model)) if probe and c["text"] else {}
+    e = estimates.estimate(own, j.model.price, j.model.batch, spec.width(j.model), kind=j.target.vector_type, tokens_per_minute=j.limits.tokens_per_minute, requests_per_minute=j.limits.requests_per_minute, tokens_per_char=tried.get("tokens_per_char"), docs_per_second=tried.get("docs_per_second"), hnsw=j.target.index == "hnsw").first().asDict()
     n = own.first()
     found = job.plan_findings(j, e["cost_usd"], text_field=c["text"], texts=n["texts_present"], rows=n["rows"])
-    return {"estimates": e, "findings": [{"id": i, "severity": s} for i, s in found], "changes": [{"kind": k, "summary": s} for k, s in job.changes(j, e["est_rows"])], "ok": all(s != "error" for _, s in found)}
+    if "error" in tried:
+        found.append(("plan.probe_failed", "error"))
+    return {"estimates": e, "probe": tried or None, "findings": [{"id": i, "severity": s} for i, s in found], "changes": [{"kind": k, "summary": s} for k, s in job.changes(j, e["est_rows"])], "ok": all(s != "error" for _, s in found)}
 
 
 def _migrating(spark: SparkSession, j: job.Job, t: tables.VectorTable) -> DataFrame:
+    """key, text, payload (all other columns, as JSON), vector, new_vector: the source as it is now, with new vectors where they are of its present texts."""
     df = spark.read.parquet(j.source.table)
     c = _columns(df, j.source.vector_column, j.source.text_column)
-    key = next((k for k in ("key", "id", "doc_id") if k in df.columns), df.columns[0])
-    own = df.select(F.col(key).alias("key"), F.col(c["text"]).alias("text"), F.col(c["vector"]).alias("vector"))
+    key = _key(df)
+    others = [n for n in df.columns if n not in (key, c["text"], c["vector"])]
+    payload = F.to_json(F.struct(*[F.col(f"`{n}`") for n in others]), {"ignoreNullFields": "false"}) if others else F.lit(None).cast("string")
+    own = df.select(F.col(key).alias("key"), F.col(c["text"]).alias("text"), payload.alias("payload"), F.col(c["vector"]).alias("vector"))
     if t.pointer.get("new"):
         done = t.read("new").select("key", F.col("text").alias("_t"), "new_vector")
         own = own.join(done, "key", "left").withColumn("new_vector", F.when(F.col("text").eqNullSafe(F.col("_t")), F.col("new_vector"))).drop("_t")
@@ -64,15 +75,27 @@ def apply(spark: SparkSession, j: job.Job, work: str, until: float | None = None
     t = tables.VectorTable(spark, work)
     state = t.state
     model, dims = remote.embedder(j.model), spec.width(j.model)
-    out = migrate.apply(_migrating(spark, j, t), lambda df: embed.embedded(df, model, dims, j.model.batch), t.write, j.model.price, j.limits.budget_usd, until=until, failed=state.failed, spent=state.spent_usd)
+    failed = t.read("failed") if t.pointer.get("failed") else None
+    out = migrate.apply(
+        _migrating(spark, j, t), lambda df: embed.embedded(df, model, dims, j.model.batch, j.limits.parallel or 1), t.write, j.model.price, j.limits.budget_usd,
+        until=until, failed=failed, already=state.spent_usd, cache=_cache(spark, j, work), forget=t.forget,
+    )
     if not t.pointer.get("live"):
-        t.write(out.table.select("key", "text", "vector"), "live")
-    t.write(out.table, "new")
+        t.write(out.table.select("key", "text", "payload", "vector"), "live")
+    t.adopt(out.table, "new", drop=True)
+    if out.rejected:
+        t.adopt(out.failed, "failed", drop=True)
     state.runs += 1
     state.rows_written += out.rows_written
-    state.spent_usd, state.failed = out.spent_usd, {str(k): v for k, v in out.failed.items()}
+    state.tokens += out.tokens
+    state.spent_usd, state.failed = out.spent_usd, out.failed.count() if out.failed is not None else 0
     t.save(state)
-    return {"status": out.status, "rows_written": out.rows_written, "spent_usd": out.spent_usd, "remaining": out.remaining, "failed": len(out.failed), "passes": out.passes}
+    return {"status": out.status, "rows_written": out.rows_written, "asked": out.asked, "tokens": out.tokens, "spent_usd": out.spent_usd, "remaining": out.remaining, "failed": state.failed, "passes": out.passes}
+
+
+def _cache(spark: SparkSession, j: job.Job, work: str) -> EmbeddingCache:
+    """The job's cache, which jobs that name the same folder share; else one of its own."""
+    return EmbeddingCache(spark, j.cache or f"{work.rstrip('/')}/cache", spec.space(j.model))
 
 
 def cutover(spark: SparkSession, j: job.Job, work: str) -> dict:
@@ -83,11 +106,12 @@ def cutover(spark: SparkSession, j: job.Job, work: str) -> dict:
     def charge(filled: switch.Filled) -> None:
         state = t.state
         state.spent_usd, state.rows_written = state.spent_usd + filled.usd, state.rows_written + filled.embedded
+        state.tokens += filled.tokens
         t.save(state)
 
     budget = None if j.limits.budget_usd is None else j.limits.budget_usd - t.state.spent_usd
     try:
-        late = switch.cutover(t, lambda: _migrating(spark, j, t), lambda df: embed.embedded(df, model, dims, j.model.batch), lambda: apply(spark, j, work), price=j.model.price, budget=budget, charge=charge)
+        late = switch.cutover(t, lambda: _migrating(spark, j, t), lambda df: embed.embedded(df, model, dims, j.model.batch, j.limits.parallel or 1), lambda: apply(spark, j, work), price=j.model.price, budget=budget, charge=charge, cache=_cache(spark, j, work))
     except switch.StillPending as e:
         return {"stage": t.stage, "pending": e.rows}
     except switch.OverBudget as e:
@@ -98,7 +122,7 @@ def cutover(spark: SparkSession, j: job.Job, work: str) -> dict:
 def status(spark: SparkSession, j: job.Job, work: str) -> dict:
     t = tables.VectorTable(spark, work)
     s = t.stage
-    out = {"stage": s, "runs": t.state.runs, "spent_usd": t.state.spent_usd}
+    out = {"stage": s, "runs": t.state.runs, "tokens": t.state.tokens, "spent_usd": t.state.spent_usd}
     if s == "filling":
         c = migrate.status_counts(_migrating(spark, j, t)).first().asDict()
         out |= c

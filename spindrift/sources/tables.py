@@ -55,13 +55,13 @@ def json_keys(df: DataFrame, column: str) -> DataFrame:
 
 @dataclass
 class State:
-    """What a job remembers besides the data: spending, failures, history."""
+    """What a job remembers besides the data: spending, how many rows the model rejected (which ones is a version, ``failed``), history."""
 
     runs: int = 0
     rows_written: int = 0
     tokens: int = 0
     spent_usd: float = 0.0
-    failed: dict = field(default_factory=dict)
+    failed: int = 0
     history: list = field(default_factory=list)
     owned: list = field(default_factory=list)
 
@@ -98,7 +98,7 @@ class VectorTable:
 
     @property
     def pointer(self) -> dict:
-        """live, old and new version names."""
+        """live, old, new and failed version names."""
         return self._get("pointer")
 
     @property
@@ -118,9 +118,13 @@ class VectorTable:
             self.adopt(out, role)
         return out
 
-    def adopt(self, version: DataFrame, role: str) -> None:
-        """The pointer's ``role`` is a version that write() made."""
-        self._put("pointer", self.pointer | {role: version._spindrift_version})
+    def adopt(self, version: DataFrame, role: str, drop: bool = False) -> None:
+        """The pointer's ``role`` is a version that write() made; the one before is removed with ``drop``."""
+        p = self.pointer
+        self._put("pointer", p | {role: version._spindrift_version})
+        if drop and p.get(role) not in (None, version._spindrift_version, *(n for r, n in p.items() if r != role)):
+            at, fs = self._fs(f"{self.path}/{p[role]}")
+            fs.delete(at, True)
 
     def forget(self, *versions: DataFrame) -> None:
         """Removes versions that write() made, but for those that the pointer names."""
@@ -140,6 +144,9 @@ class VectorTable:
         p = self.pointer
         return "conflict" if p.get("new") and p.get("old") else "cut_over" if p.get("old") else "filling" if p.get("new") else "cleaned_up" if any(h.get("event") == "cleanup" for h in self.state.history[-1:]) else "not_started"
 
+    def _failed(self, p: dict) -> dict:
+        return {n: p[n] for n in ("failed",) if n in p}
+
     def _event(self, event: str) -> None:
         s = self.state
         s.history.append({"event": event})
@@ -150,14 +157,14 @@ class VectorTable:
         p = self.pointer
         if not p.get("new") or p.get("old"):
             raise SelectionError(f"nothing to switch to: {self.stage}")
-        self._put("pointer", {"live": p["new"], "old": p["live"]})
+        self._put("pointer", self._failed(p) | {"live": p["new"], "old": p["live"]})
         self._event("cutover")
 
     def rollback(self) -> None:
         p = self.pointer
         if not p.get("old"):
             raise SelectionError("nothing to go back to")
-        self._put("pointer", {"live": p["old"], "new": p["live"]})
+        self._put("pointer", self._failed(p) | {"live": p["old"], "new": p["live"]})
         self._event("rollback")
 
     def cleanup(self, typed: str) -> None:
@@ -165,7 +172,7 @@ class VectorTable:
         p = self.pointer
         if not p.get("old") or typed != p["old"]:
             raise SelectionError("type the old version's name to drop it", [p.get("old") or ""])
-        self._put("pointer", {"live": p["live"]})
+        self._put("pointer", self._failed(p) | {"live": p["live"]})
         at, fs = self._fs(f"{self.path}/{p['old']}")
         fs.delete(at, True)
         self._event("cleanup")

@@ -317,8 +317,8 @@ def test_apply_until_budget_stop_and_poison(spark, store):
         return embed.embedded(df, lambda texts: [[1.0]] * len(texts) if not any(t == "text 13" for t in texts) else 1 / 0)
 
     out = migrate.apply(migrating(spark), poison, store)
-    assert list(out.failed) == [13] and out.rows_written == 35
-    again = migrate.apply(out.table, poison, store, failed={"13": "no"})  # as a saved state has it
+    assert [r.key for r in out.failed.collect()] == [13] and (out.rows_written, out.rejected) == (35, 1)
+    again = migrate.apply(out.table, poison, store, failed=out.failed)
     assert (again.passes, again.remaining) == (0, 0)
 
 
