@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import identity as I
 from spindrift.functions import text as T
 from spindrift.functions import vectors as V
-from spindrift.operators import digests, embed, graph, ivf, knn, lookup, metrics, migrate, pivots, profile, sampling
+from spindrift.operators import cache, digests, embed, graph, ivf, knn, lookup, metrics, migrate, pivots, profile, sampling
 from spindrift.plans import estimates, stages, verdict
 from spindrift.sources import buckets, scratch, tables
 from spindrift.streaming import feed
@@ -560,6 +560,38 @@ def embedding_cache_misses(spark, sf):
     return hits.agg(F.count("key").alias("hits")).crossJoin(misses.agg(F.count("text").alias("misses"), F.min("cache_key").alias("first_miss")))  # one row each
 
 
+@query("""with c as (select distinct text from documents where doc_id % 3 = 0 and text is not null)
+select doc_id as key, length(text)::bigint as size, case when text in (select text from c) or doc_id > min(doc_id) over (partition by text) then 0 else length(text) end::bigint as tokens from documents where text is not null""")
+def cache_in_path(spark, sf):
+    """A third of the documents through a model that counts a token a character, then all through the cache: the model sees the other texts, each once."""
+
+    def model(texts):
+        out = embed.Answer([float(len(t))] for t in texts)
+        out.tokens = sum(map(len, texts))
+        return out
+
+    asked = lambda df: embed.embedded(df, model, 1, 1)
+    docs, store = _docs(spark, sf).select("key", "text"), cache.EmbeddingCache(spark, scratch.fresh(spark, "cache"), "characters")
+    scratch.kept(store.split(docs.where(F.col("key") % 3 == 0)).answered(asked), "first")
+    return store.split(docs).answered(asked).select("key", F.col("vector")[0].cast("long").alias("size"), "tokens")
+
+
+@query(r"""with p as (select text from documents where trim(text, E' \t\n\r\f\v') <> '' order by md5(doc_id::varchar), doc_id limit 16), r as (select sum(len(regexp_extract_all(substr(text, 1, 24000), '\S+')))::double / sum(length(substr(text, 1, 24000))) as per_char from p),
+s as (select count(*) as rows, avg(length(text)) as chars from documents) select round(per_char, 6) + 0.0 as tokens_per_char, round_even(rows * chars * per_char, 0)::bigint as tokens, round(round_even(rows * chars * per_char, 0) * 0.02 / 1e6, 6) as cost_usd from r, s""")
+def plan_estimates_probed(spark, sf):
+    """The cost of all documents by what sixteen of them take, from a model that counts words as tokens."""
+
+    def model(texts):
+        out = embed.Answer([1.0] for _ in texts)
+        out.tokens = sum(len(t.split()) for t in texts)
+        return out
+
+    docs = _docs(spark, sf)
+    ratio = embed.probe(docs.select("key", "text"), model)["tokens_per_char"]
+    own = docs.agg(F.count("*").alias("estimated_rows"), F.count("*").alias("rows"), F.lit(0).alias("vectors"), F.count("*").alias("texts_present"), F.avg(F.length("text")).alias("avg_chars"), F.lit(0).alias("max_dims"))
+    return rounded(estimates.estimate(own, 0.02, tokens_per_char=ratio).select(F.lit(ratio).alias("tokens_per_char"), "tokens", "cost_usd"))
+
+
 # Identity.
 @query("""with s as (select distinct ' ' || upper(source) || ' ' as provider, lang || '-Model' as model, n_chars::int + 1 as dimensions, case when n_chars % 2 = 0 then 'v' || n_chars % 7 end as version, case when n_chars % 3 = 0 then 'search' end as task, case when n_chars % 5 = 0 then lang || '"|' end as prefix, n_chars % 4 > 0 as normalized from documents),
 j as (select *, lower(trim(provider)) as p, lower(trim(model)) as m from s),

@@ -40,7 +40,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("apply", "status", "cutover", "rollback"):
         add(name, "job", "work", **({"until": float} if name == "apply" else {"check": bool} if name == "cutover" else {}))
     add("cleanup", "job", "work", "typed")
-    add("eval", "job", "work", queries=int, tolerance=float, min_slice=int)
+    add("eval", "job", "work", queries=int, tolerance=float, min_slice=int, lists=int, probes=int, sweep=str, timed=int, max_p95_ms=float, max_slowdown_pct=float, least_index_recall=float)
     c = add("bench", "docs", queries=int, labelled=str, seed=str)
     c.add_argument("--model", action="append", required=True)
     return p
@@ -71,8 +71,13 @@ def run(args: argparse.Namespace) -> tuple[dict | str, int]:
     if args.command == "status":
         return service.status(spark, j, args.work), 0
     if args.command == "eval":
-        gates = verdict.Gates(**{k: v for k, v in (("tolerance", args.tolerance), ("min_slice", args.min_slice)) if v is not None})
-        out = service.evaluate(t.read("new"), spec.parse(j.source.model) if j.source.model else None, j.model, args.queries or 200, gates=gates)
+        gates = verdict.Gates(**{k: v for k in ("tolerance", "min_slice", "max_p95_ms", "max_slowdown_pct", "least_index_recall") if (v := getattr(args, k)) is not None})
+        rows = t.read("new")
+        sweep = tuple(int(p) for p in (args.sweep or "").split(",") if p)
+        out = service.evaluate(
+            rows, spec.parse(j.source.model) if j.source.model else None, j.model, args.queries or 200, gates=gates, group=service.groups(spark, j, rows),
+            lists=args.lists or 0, probes=args.probes or 4, sweep=sweep, timed=args.timed or 0,
+        )
         return out, verdict.EXIT_CODES[out["verdict"]["status"]]
     if args.command == "cutover":
         now = service.status(spark, j, args.work)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import text, vectors
-from spindrift.operators import embed, ivf, knn, metrics, migrate, profile, remote, sampling
+from spindrift.operators import embed, ivf, knn, lookup, metrics, migrate, profile, remote, sampling
 from spindrift.operators.cache import EmbeddingCache
 from spindrift.plans import estimates, job, spec, stages, switch, verdict
 from spindrift.sources import scratch, tables
@@ -131,10 +132,37 @@ def status(spark: SparkSession, j: job.Job, work: str) -> dict:
     return out | {"next": stages.NEXT[s]}
 
 
-def evaluate(rows: DataFrame, old: spec.ModelSpec | None, new: spec.ModelSpec, queries: int = 200, k: int = 10, gates: verdict.Gates = verdict.Gates(), group: DataFrame | None = None) -> dict:
-    """Old and new vectors (key, text, vector, new_vector) compared on queries made from the rows. Without the old model only neighbours count."""
+def groups(spark: SparkSession, j: job.Job, rows: DataFrame) -> DataFrame | None:
+    """key, group of a job's rows (key, payload): by the column that it names, or one that is called as groups are; None where there is none."""
+    name = j.source.group_by or tables.infer(spark.read.parquet(j.source.table))["group"]
+    return rows.select("key", F.variant_get(F.try_parse_json("payload"), f"$['{name}']", "string").alias("group")) if name and "payload" in rows.columns else None
+
+
+def _searches(index: ivf.Index, asked: list, model: spec.ModelSpec, k: int, probes: int, sweep: tuple[int, ...]) -> list[tuple]:
+    """(probes, embed_ms, search_ms) of single queries (key, query), each at every setting, beginning with another one each time."""
+    out, call = [], remote.embedder(model, "query")
+    for n, r in enumerate(asked):
+        began = time.perf_counter()
+        vector = call([r["query"]])[0]
+        embedded = 1000 * (time.perf_counter() - began)
+        one = index.spark.createDataFrame([(r["key"], vector)], "qid long, vector array<float>" if isinstance(r["key"], int) else "qid string, vector array<float>")
+        for setting in knn.sweep(probes, list(sweep), n):
+            began = time.perf_counter()
+            index.search(one, k, setting).collect()
+            out.append((setting, embedded, 1000 * (time.perf_counter() - began)))
+    return out
+
+
+def evaluate(
+    rows: DataFrame, old: spec.ModelSpec | None, new: spec.ModelSpec, queries: int = 200, k: int = 10, gates: verdict.Gates = verdict.Gates(), group: DataFrame | None = None,
+    lists: int = 0, probes: int = 4, sweep: tuple[int, ...] = (), timed: int = 0,
+) -> dict:
+    """Old and new vectors (key, text, vector, new_vector) compared on queries made from the rows. Without the old model only neighbours count.
+
+    ``lists``: an index of so many inverted lists is built of each side, and its recall measured when ``probes`` of them are searched, and at each
+    setting of ``sweep``. ``timed``: so many queries are also embedded and searched one at a time, each search a job of its own."""
     made = sampling.eval_queries(rows.select("key", "text"), queries).cache()
-    sides, same = {}, {}
+    sides, same, recalls, times = {}, {}, {}, []
     qrels = made.select(F.col("key").alias("qid"), "key")
     slices = made.select(F.col("key").alias("qid"), "slice")
     top = {}
@@ -144,13 +172,26 @@ def evaluate(rows: DataFrame, old: spec.ModelSpec | None, new: spec.ModelSpec, q
             q = embed.embedded(made.select("key", F.col("query").alias("text")), remote.embedder(model, "query"), spec.width(model)).select(F.col("key").alias("qid"), "vector")
             top[side] = knn.knn_block(q, have, k)
             sides[side] = metrics.scores_by_slice(metrics.per_query(top[side], qrels, k), slices)
+            if lists:
+                index, exact = ivf.Index.build(have, scratch.fresh(rows.sparkSession, "ivf"), lists), scratch.kept(top[side], "exact")
+                recalls[side] = {p: metrics.index_recall(index.search(q, k, p), exact).first()["index_recall"] for p in sorted({probes, *sweep})}
+                scratch.drop(exact)
+                if timed:
+                    asked = made.select("key", "query").orderBy(F.md5(F.col("key").cast("string")), "key").limit(timed).collect()  # a stated number
+                    times += [(side, *t) for t in _searches(index, asked, model, k, probes, sweep)]
         if group is not None:
             near = knn.knn_block(have.join(made.select("key"), "key", "left_semi").select(F.col("key").alias("qid"), "vector"), have, k, exclude_self=True)
             same[side] = metrics.same_group(near, group).agg(F.avg("same")).first()[0]
     mode = "queries" if "old" in sides else "vectors"
     decided = verdict.by_slice(sides["old"], sides["new"], gates).collect() if mode == "queries" else []
-    v = verdict.decide(verdict.Measured(tuple(decided), (same.get("old"), same.get("new")), mode=mode), gates)
-    out = {"mode": mode, "verdict": asdict(v), "slices": [r.asDict() for r in decided], "same_group": same, "overlap": metrics.overlap(top["old"], top["new"], k).first()["overlap"] if len(top) == 2 else None}
+    latency = []
+    if times:
+        measured = rows.sparkSession.createDataFrame(times, "side string, probes int, embed double, search double")
+        embedding = metrics.latencies(measured, "embed", "side", "probes").select("side", "probes", F.col("p95").alias("embed_p95"))
+        latency = [r.asDict() for r in metrics.latencies(measured, "search", "side", "probes").join(embedding, ["side", "probes"]).withColumn("end_to_end_p95", lookup.end_to_end("embed_p95", "p95")).orderBy("side", "probes").collect()]
+    at = {r["side"]: r["end_to_end_p95"] for r in latency if r["probes"] == probes}
+    v = verdict.decide(verdict.Measured(tuple(decided), (same.get("old"), same.get("new")), (at.get("old"), at.get("new")), {s: r[probes] for s, r in recalls.items()}, mode), gates)
+    out = {"index_recall": recalls, "latency": latency, "mode": mode, "verdict": asdict(v), "slices": [r.asDict() for r in decided], "same_group": same, "overlap": metrics.overlap(top["old"], top["new"], k).first()["overlap"] if len(top) == 2 else None}
     made.unpersist()
     return out
 

@@ -101,3 +101,20 @@ def test_bench_ranks_models(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").cast("string").alias("key"), "text")
     out = service.bench(docs, [spec.parse("hash/8"), spec.parse("hash/128")], 30)
     assert out["models"][0]["name"] == "hash/128" and out["models"][0]["recall_at_k"] > out["models"][1]["recall_at_k"]
+
+
+def test_evaluation_measures_indexes_and_searches(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("key"), "text", "source")
+    rows = docs.join(embed.hash_blake(docs, 16), "key").join(embed.hash_blake(docs, 64).withColumnRenamed("vector", "new_vector"), "key")
+    old, new = spec.parse("hash/16"), spec.parse("hash/64")
+    out = service.evaluate(rows, old, new, 40, gates=verdict.Gates(max_p95_ms=0.001, least_index_recall=1.1), lists=6, probes=2, sweep=(6,), timed=2)
+    assert set(out["index_recall"]) == {"old", "new"} and all(r[6] == 1.0 and 0 < r[2] <= 1 for r in out["index_recall"].values())
+    assert [(r["side"], r["probes"], r["n"]) for r in out["latency"]] == [("new", 2, 2), ("new", 6, 2), ("old", 2, 2), ("old", 6, 2)]
+    assert all(r["end_to_end_p95"] >= r["p95"] > 0 for r in out["latency"])
+    assert out["verdict"]["status"] == "no_go" and any("p95" in r for r in out["verdict"]["reasons"]) and sum("index" in w for w in out["verdict"]["warnings"]) == 2
+    rows.withColumnRenamed("vector", "embedding").drop("new_vector").withColumn("odd name", F.lit("x")).write.parquet(f"{tmp_path}/t")
+    from spindrift.plans import job
+
+    j = job.parse({"name": "x", "source": {"table": f"{tmp_path}/t", "group_by": "odd name"}, "model": "hash/64"})
+    found = service.groups(spark, j, spark.createDataFrame([(1, '{"odd name":"a"}'), (2, '{"odd name":3}'), (3, None), (4, "{}")], "key long, payload string"))
+    assert {r.key: r.group for r in found.collect()} == {1: "a", 2: "3", 3: None, 4: None}
