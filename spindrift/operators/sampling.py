@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
+from spindrift.sources import scratch
 
 
 def spread(df: DataFrame, n: int, key: str = "key", seed: str = "") -> DataFrame:
@@ -35,18 +36,22 @@ def boilerplate(sentences: DataFrame) -> DataFrame:
     return sentences.select("key", F.explode(F.array_distinct("sentences")).alias("s")).groupBy(T.normalized("s").alias("norm")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _unique_sentences(docs: DataFrame, split, low: int, high: int) -> DataFrame:
-    """key, i, s of sentences of low to high words that stand in one text once, from docs (key, text)."""
-    own = docs.select("key", split("text").alias("sentences"))
-    once = boilerplate(own).where("n = 1").select("norm")
-    pieces = own.select("key", F.posexplode("sentences").alias("i", "s")).where(T.word_count("s").between(low, high)).withColumn("norm", T.normalized("s"))
-    return pieces.join(once, "norm", "left_semi").select("key", "i", "s")
-
-
-def _drawn(pieces: DataFrame, seed: str) -> DataFrame:
-    """One sentence of each key: the one with the smallest hash of key, seed and place."""
+def _drawn(docs: DataFrame, split, low: int, high: int, seed: str) -> DataFrame:
+    """key, i: of each text the place of one sentence of low to high words that stands in this text alone, in one form; the one with the smallest hash of key, seed and place.
+
+    Texts are split once, and leave hashes and numbers behind: a sentence is unique if all that share its normalized form are the same
+    by hashes of key and form, which partial aggregates of fixed size find. Keys are unique."""
+    each = docs.select("key", F.posexplode(split("text")).alias("i", "s"))
+    norm, own = T.normalized("s"), ("key", "s")
+    places = scratch.kept(
+        each.select(
+            "key", "i", T.word_count("s").between(low, high).alias("fits"), F.xxhash64(norm).alias("a"), F.xxhash64(F.lit(1), norm).alias("b"), F.xxhash64(*own).alias("c"), F.xxhash64(F.lit(1), *own).alias("d")
+        ),
+        "sentences",
+    )
+    once = places.groupBy("a", "b").agg(*[f(c).alias(f"{n}_{c}") for c in "cd" for n, f in (("least", F.min), ("most", F.max))]).where("least_c = most_c and least_d = most_d")
     rank = F.struct(F.md5(F.concat_ws("|", F.col("key").cast("string"), F.lit(seed), F.col("i").cast("string"))), F.col("i"))
-    return pieces.groupBy("key").agg(F.min_by(F.struct("i", "s"), rank).alias("one")).select("key", "one.i", "one.s")
+    return places.where("fits").join(once, ["a", "b"], "left_semi").groupBy("key").agg(F.min_by("i", rank).alias("i"))
 
 
 def bench_queries(docs: DataFrame, n: int, seed: str = "0") -> tuple[DataFrame, DataFrame]:
@@ -56,7 +61,7 @@ def bench_queries(docs: DataFrame, n: int, seed: str = "0") -> tuple[DataFrame,
     keeps eight words; else the first third, twelve words at most, of a text of twenty words. Which
     sentence and which n texts: by hash."""
     split = docs.select("key", "text", T.bench_sentences("text").alias("parts"))
-    one = _drawn(_unique_sentences(docs, T.bench_sentences, 6, 40), seed)
+    one = _drawn(docs, T.bench_sentences, 6, 40, seed)
     joined = split.join(one, "key", "left")
     rest = F.array_join(F.filter("parts", lambda s, j: j != F.col("i")), " ")
     words = T.words("text")
@@ -64,7 +69,7 @@ def bench_queries(docs: DataFrame, n: int, seed: str = "0") -> tuple[DataFrame,
     made = joined.withColumn("rest", F.when(F.col("i").isNotNull() & (F.size("parts") >= 2), rest)).withColumn("w", words)
     good = T.word_count("rest") >= 8
     made = made.select(
-        "key", F.when(good, F.col("s")).when(F.size("w") >= 20, F.array_join(F.slice("w", F.lit(1), cut), " ")).alias("query"),
+        "key", F.when(good, F.get("parts", F.col("i"))).when(F.size("w") >= 20, F.array_join(F.slice("w", F.lit(1), cut), " ")).alias("query"),
         F.when(good, F.col("rest")).when(F.size("w") >= 20, F.array_join(F.slice("w", cut + 1, F.size("w")), " ")).alias("left"),
     ).where("query is not null")
     chosen = spread(made, n, "key", seed)
@@ -77,11 +82,12 @@ def eval_queries(docs: DataFrame, n: int, seed: str = "0") -> DataFrame:
 
     A query is a sentence of 5 to 40 words, unique among all texts; else the first half, twelve words at
     most, of a text of twelve words."""
-    one = _drawn(_unique_sentences(docs, T.eval_sentences, 5, 40), seed)
+    one = _drawn(docs, T.eval_sentences, 5, 40, seed)
     words = T.words("text")
     first = F.when(F.size(words) >= 12, F.array_join(F.slice(words, F.lit(1), F.least(F.lit(12), F.floor(F.size(words) / 2)).cast("int")), " "))
-    made = docs.select("key", "text").join(one, "key", "left").select("key", F.coalesce("s", first).alias("query"), "text").where("query is not null")
-    chosen = spread(made, n, "key", seed)
+    long_enough = F.col("i").isNotNull() | (F.size(words) >= 12)  # words are only cut where no sentence was found
+    placed = spread(docs.select("key", "text").join(one, "key", "left").where(long_enough).select("key", "i"), n, "key", seed)
+    chosen = docs.select("key", "text").join(placed, "key").select("key", F.coalesce(F.get(T.eval_sentences("text"), F.col("i")), first).alias("query"), "text")
     own = chosen.select("key", "query", T.script("query").alias("language"), T.script("text").alias("doc_language"))
     return own.withColumn("slice", T.slice_label("language", "doc_language"))
 
