@@ -786,9 +786,19 @@ def stage_machine(spark, sf):
 @query("""with c as (select count(*) filter (where trim(text) <> '' and quality is null) as pending, count(*) filter (where not trim(text) <> '') as no_text from documents left join labels using (doc_id))
 select unnest(list_filter([case when pending > 0 then 'cutover.pending' end, case when no_text > 0 then 'cutover.no_text' end, 'cutover.size_change', 'cutover.model_switch'], lambda x: x is not null)) as id from c""")
 def cutover_readiness(spark, sf):
-    c = migrate.status_counts(_migrating(spark, sf)).first()
-    found = stages.readiness("ready", pending=c["missing"], no_text=c["rows"] - c["with_text"], old_dims=2, new_dims=1)
-    return spark.createDataFrame([(i,) for i, _ in found], "id string")
+    c = migrate.status_counts(_migrating(spark, sf))
+    facts = c.select(F.lit("ready").alias("stage"), F.col("missing").alias("pending"), (F.col("rows") - F.col("with_text")).alias("no_text"), F.lit(2).alias("old_dims"), F.lit(1).alias("new_dims"))
+    return stages.readiness(facts).select("id")
+
+
+@query("""with c as (select source as name, count(*) filter (where quality is null) as pending, count(*) filter (where lang = 'ar') as unindexed, max(doc_id) % 4 as k from documents left join labels using (doc_id) group by source)
+select name, unnest(case when k = 0 then ['cutover.not_applied'] when k = 1 then ['cutover.done'] else list_filter([case when k = 3 then 'cutover.alias_moved' end, case when pending > 0 then 'cutover.pending' end, case when unindexed > 0 then 'cutover.indexing' end, 'cutover.model_switch'], lambda x: x is not null) end) as id from c""")
+def alias_readiness(spark, sf):
+    """Every source as a collection behind an alias: what stands against moving each."""
+    k = F.max("key") % 4
+    own = _docs(spark, sf).join(_table(spark, sf, "labels").withColumnRenamed("doc_id", "key"), "key", "left").groupBy(F.col("source").alias("name"))
+    facts = own.agg(stages.alias_stage(k == 1, k != 0).alias("stage"), F.count_if(F.col("quality").isNull()).alias("pending"), F.count_if(F.col("lang") == "ar").alias("unindexed"), (k == 3).alias("moved"))
+    return stages.readiness(facts, "name", store="alias").select("name", "id")
 
 
 # Rows by key, page or chance; formats.

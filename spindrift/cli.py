@@ -86,7 +86,7 @@ def run(args: argparse.Namespace) -> tuple[dict | str, int]:
         out = service.cutover(spark, j, args.work)
         return out, int("pending" in out)
     elif args.command == "rollback":
-        t.rollback()
+        return service.rollback(spark, j, args.work), 0
     else:
         t.cleanup(args.typed)
     return {"stage": t.stage}, 0

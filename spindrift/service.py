@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import text, vectors
-from spindrift.operators import embed, ivf, knn, lookup, metrics, migrate, profile, remote, sampling
+from spindrift.operators import digests, embed, ivf, knn, lookup, metrics, migrate, profile, remote, sampling
 from spindrift.operators.cache import EmbeddingCache
 from spindrift.plans import estimates, job, spec, stages, switch, verdict
 from spindrift.sources import scratch, tables
@@ -120,7 +120,16 @@ def cutover(spark: SparkSession, j: job.Job, work: str) -> dict:
     return {"stage": t.stage, "embedded": late}
 
 
+def rollback(spark: SparkSession, j: job.Job, work: str) -> dict:
+    """Goes back to the old vectors; ``without_vector``: rows with text that have none there, as they came or were empty when the switch was made."""
+    t = tables.VectorTable(spark, work)
+    t.rollback()
+    old = t.read("live").where("vector is not null").select("key")
+    return {"stage": t.stage, "without_vector": _migrating(spark, j, t).where(text.has_text("text")).join(old, "key", "left_anti").count()}
+
+
 def status(spark: SparkSession, j: job.Job, work: str) -> dict:
+    """Stage, spending, what is missing; after a switch, how many rows of the source were written since (``late``)."""
     t = tables.VectorTable(spark, work)
     s = t.stage
     out = {"stage": s, "runs": t.state.runs, "tokens": t.state.tokens, "spent_usd": t.state.spent_usd}
@@ -129,6 +138,8 @@ def status(spark: SparkSession, j: job.Job, work: str) -> dict:
         out |= c
         if not c["missing"]:
             out["stage"] = s = "ready"
+    if s == "cut_over":
+        out["late"] = digests.changed_rows(_migrating(spark, j, t), t.read("live"))
     return out | {"next": stages.NEXT[s]}
 
 

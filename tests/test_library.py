@@ -272,9 +272,18 @@ def test_verdicts():
     assert verdict.decide(verdict.Measured(rows_of(all=(40, 0.8, 0.8)), index_recalls={"new": 0.5})).warnings
 
 
-def test_readiness():
-    assert stages.readiness("ready") == [("cutover.model_switch", "info")] and stages.readiness("not_started")[0][1] == "error"
-    assert ("cutover.pending", "error") in stages.readiness("filling", pending=3) and ("cutover.pending", "warning") in stages.readiness("filling", pending=3, allow_missing=True)
+def test_readiness(spark):
+    def found(store="rows", allow_missing=False, **facts):
+        kinds = {bool: "boolean", int: "int", str: "string"}
+        row = spark.createDataFrame([tuple(facts.values())], ", ".join(f"{n} {kinds[type(v)]}" for n, v in facts.items()))
+        return [(r.id.removeprefix("cutover."), r.severity) for r in stages.readiness(row, store=store, allow_missing=allow_missing).orderBy("place").collect()]
+
+    assert found(stage="ready") == [("model_switch", "info")] and found(stage="not_started") == [("not_applied", "error")] and found(stage="cut_over", pending=2) == [("done", "error")]
+    assert found(stage="filling", pending=3) == [("pending", "error"), ("model_switch", "info")] and ("pending", "warning") in found(stage="filling", pending=3, allow_missing=True)
+    assert found(stage="conflict", index=False, sizes=2, no_text=1, old_dims=3, new_dims=4) == [("previous_exists", "error"), ("no_index", "error"), ("mixed_sizes", "error"), ("no_text", "warning"), ("size_change", "info"), ("model_switch", "info")]
+    assert found(stage="ready", index=False, needs_index=False, old_dims=3) == [("model_switch", "info")]
+    assert found("alias", allow_missing=True, stage="applied", alias=True, taken=True, moved=True, pending=1, unindexed=5, sizes=2) == [("alias_conflict", "error"), ("alias_moved", "error"), ("pending", "error"), ("indexing", "warning"), ("mixed_sizes", "error"), ("model_switch", "info")]
+    assert found("alias", stage="not_applied") == [("not_applied", "error")] and found("alias", stage="cut_over", alias=False, taken=True, pending=1) == [("done", "error"), ("no_alias", "error")]
 
 
 # Migration.

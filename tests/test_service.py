@@ -77,8 +77,12 @@ def test_a_whole_migration(spark, tmp_path, capsys, monkeypatch):
     assert code == 0 and out["remaining"] == 0 and call("status", job, work)[0]["stage"] == "ready"
     out, code = call("eval", job, work, "--queries", "60")
     assert code == 0 and out["verdict"]["status"] == "go" and out["mode"] == "queries" and 0 < out["overlap"] < 1
-    assert call("cutover", job, work)[0]["stage"] == "cut_over" and call("rollback", job, work)[0]["stage"] == "filling"
-    assert call("cutover", job, work, "--check")[1] == 0
+    assert call("cutover", job, work)[0]["stage"] == "cut_over" and call("status", job, work)[0]["late"] == 0
+    spark.createDataFrame([(-5, "a row that came late", [0.0] * 16)], "key long, text string, embedding array<float>").write.mode("append").parquet(f"{tmp_path}/t")
+    assert call("status", job, work)[0]["late"] == 1
+    assert call("rollback", job, work)[0] == {"stage": "filling", "without_vector": 1}
+    assert call("cutover", job, work, "--check")[1] == 1  # the late row is pending
+    assert call("apply", job, work)[0]["asked"] == 1 and call("cutover", job, work, "--check")[1] == 0
     assert call("cleanup", job, work, "x")[1] == 2
 
 
