@@ -123,7 +123,7 @@ def knn_neighbours_same_group(spark, sf):
 def index_recall_ivf(spark, sf):
     """What share of the exact neighbours an inverted-file search finds. No SQL: its lists are trained and searched in part."""
     found = _index(spark, sf).search(_queries(spark, sf), probes=8)
-    return rounded(metrics.index_recall(found, knn.knn(_queries(spark, sf), _vectors(spark, sf))))
+    return rounded(metrics.index_recall(found, knn.knn_block(_queries(spark, sf), _vectors(spark, sf))))
 
 
 def _index(spark, sf, lists: int = 16) -> ivf.Index:

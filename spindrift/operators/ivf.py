@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from spindrift.functions import vectors as V
-from spindrift.operators.knn import BROADCAST_COMPONENTS, TILE, best, blocks, far, ranked
+from spindrift.operators.knn import BROADCAST_COMPONENTS, Nearest, blocks, ranked, sized, values
 from spindrift.sources import scratch
 
 #: Vectors of the training sample for each list; rounds of training; rows of a list's file.
@@ -151,39 +151,31 @@ class Index:
         probes = min(probes, len(self.centres))
         for block in blocks(own, "key", "vector", max(1, most // max(1, probes))):
             held = assigned(block, self.centres, self.metric, probes).toArrow() if probes else None  # at most about ``most`` numbers
-            hits = self._hits(held, queries.schema["qid"].dataType, rows, k, exclude_self)
+            hits = self._hits(held, probes, queries.schema["qid"].dataType, rows, k, exclude_self)
             out = hits if out is None else out.unionByName(hits)
         return ranked(out, k)
 
-    def _hits(self, held: pa.Table | None, qid_type, rows: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    def _hits(self, held: pa.Table | None, probes: int, qid_type, rows: DataFrame, k: int, exclude_self: bool) -> DataFrame:
         key_type, metric = rows.schema["key"].dataType, self.metric
         names = ["qid", "key", "distance"]
         types = [to_arrow_type(qid_type), to_arrow_type(key_type), pa.float64()]
-        own: dict[int, tuple[list, np.ndarray]] = {}
-        if held is not None and held.num_rows:
-            lists = held["list"].to_numpy()
-            for c in np.unique(lists).tolist():
-                some = held.filter(pa.array(lists == c))
-                own[c] = some["key"].to_pylist(), np.asarray(some["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(some.num_rows, -1)
+        own: dict[int, np.ndarray] = {}
+        qids, q = np.zeros(0, np.int64), np.zeros((0, 0))
+        if held is not None and held.num_rows:  # a query's lists follow one another
+            first = held.take(pa.array(np.arange(0, held.num_rows, probes)))
+            for at, q in sized(pa.array(np.arange(first.num_rows)), first["vector"].combine_chunks()):  # one size
+                qids, lists = values(first["key"].combine_chunks())[at], held["list"].to_numpy().reshape(-1, probes)[at]
+                own = {c: np.flatnonzero((lists == c).any(1)) for c in np.unique(lists).tolist()}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept: dict = {}
+            found = Nearest(qids, q, k, metric, exclude_self)
             for b in batches:
                 lists = b["list"].to_numpy()
                 for c in np.unique(lists).tolist():
                     some = b.filter(pa.array(lists == c))
-                    qids, q = own[c]
-                    keys, d = some["key"].to_pylist(), np.asarray(some["vector"].flatten().to_numpy(zero_copy_only=False), np.float64).reshape(some.num_rows, -1)
-                    step = max(1, TILE // len(keys))
-                    for i in range(0, len(qids), step):
-                        for hit in best(far(q[i : i + step], d, metric), keys, qids[i : i + step], k, exclude_self):
-                            kept.setdefault(hit[0], []).append(hit)
-                for q, hits in kept.items():
-                    if len(hits) > 4 * k:
-                        kept[q] = sorted(hits, key=lambda x: (x[2], x[1]))[:k]
-            out = [h for hits in kept.values() for h in sorted(hits, key=lambda x: (x[2], x[1]))[:k]]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                    for keys, d in sized(some["key"], some["vector"]):
+                        found.add(keys, d, own[c])
+            yield found.batch(pa.schema(list(zip(names, types))))
 
         probed = rows.where(F.col("list").isin(sorted(own)))
         return probed.mapInArrow(run, f"qid {qid_type.simpleString()}, key {key_type.simpleString()}, distance double")

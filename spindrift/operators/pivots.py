@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from spindrift.functions import vectors as V
 from spindrift.operators import ivf
-from spindrift.operators.knn import best, far, ranked
+from spindrift.operators.knn import Nearest, ranked, sized
 from spindrift.sources import scratch
 
 #: Queries, and rows, of a tile; pivots.
@@ -138,9 +138,10 @@ def _tiles(asked: DataFrame, placed: DataFrame, k: int, metric: str, exclude_sel
     def tile(q: pa.Table, d: pa.Table) -> pa.Table:
         if not q.num_rows or not d.num_rows:
             return schema.empty_table()
-        x, y = (np.array(t["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(t.num_rows, -1) for t in (q, d))
-        hits = list(best(far(x, y, metric), d["key"].to_pylist(), q["qid"].to_pylist(), k, exclude_self))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*hits), schema.types)], schema=schema) if hits else schema.empty_table()
+        ((qids, x),), ((keys, y),) = (sized(t[c].combine_chunks(), t["vector"].combine_chunks()) for t, c in ((q, "qid"), (d, "key")))
+        found = Nearest(qids, x, k, metric, exclude_self)
+        found.add(keys, y)
+        return pa.Table.from_batches([found.batch(schema)])
 
     by = ["cell", "a", "b"]
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(tile, f"qid {qid.simpleString()}, key {key.simpleString()}, distance double")
