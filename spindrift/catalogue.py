@@ -163,7 +163,7 @@ select count(*) as queries, round(avg(least(coalesce(m, 0), n) / n), 6) as index
 def index_recall_partial(spark, sf):
     """The same for an index that has half of the vectors, those with even ids."""
     rows = _vectors(spark, sf)
-    return rounded(metrics.index_recall(knn.knn(_queries(spark, sf), rows.where(F.col("key") % 2 == 0)), knn.knn(_queries(spark, sf), rows)))
+    return rounded(metrics.index_recall(knn.knn_block(_queries(spark, sf), rows.where(F.col("key") % 2 == 0)), knn.knn_block(_queries(spark, sf), rows)))
 
 
 def _cut(df: DataFrame, n: int = 32) -> DataFrame:
