@@ -87,7 +87,7 @@ def knn_l2_top10(spark, sf):
 
 @query(_knn_sql("-" + _DOT))
 def knn_ip_top10(spark, sf):
-    return rounded(knn.knn(_queries(spark, sf), _vectors(spark, sf), metric="inner_product"))
+    return rounded(knn.knn_block(_queries(spark, sf), _vectors(spark, sf), metric="inner_product"))
 
 
 @query(_knn_sql(_COS))
