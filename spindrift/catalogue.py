@@ -82,7 +82,7 @@ def knn_cosine_top10(spark, sf):
 
 @query(_knn_sql(_L2))
 def knn_l2_top10(spark, sf):
-    return rounded(knn.knn(_queries(spark, sf), _vectors(spark, sf), metric="l2"))
+    return rounded(knn.knn_block(_queries(spark, sf), _vectors(spark, sf), metric="l2"))
 
 
 @query(_knn_sql("-" + _DOT))
