@@ -411,11 +411,13 @@ def _labelled(spark, sf) -> DataFrame:
     words = lambda c: F.split(F.col(c), " ")
     b = _table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     long = F.size(words("query")) >= _ANCHOR + 2
-    anchors = b.where(long).withColumn("anchor", F.xxhash64(F.array_join(F.slice(words("query"), 2, _ANCHOR), " ")))
+    run = lambda w, i: F.xxhash64(*[F.get(w, i + c) for c in range(_ANCHOR)])
+    anchors = b.where(long).withColumn("anchor", run(words("query"), F.lit(1)))
     docs = _docs(spark, sf).select("key", "text")
-    n = F.size(words("text"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - (_ANCHOR - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words("text"), i, _ANCHOR), " ")))
-    met = docs.select("key", F.explode(F.array_distinct(runs)).alias("anchor")).join(anchors, "anchor").select("key", "qid", "query")
+    # a text is split once, and a run of words found by its place: work is in proportion to the words, not to their square
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - _ANCHOR, F.lit(0))), lambda i: run(w, i))
+    split = F.transform(F.array(words("text")), runs)[0]
+    met = docs.select("key", F.explode(F.array_distinct(split)).alias("anchor")).join(anchors, "anchor").select("key", "qid", "query")
     found = met.join(docs, "key").where(F.col("text").contains(F.col("query"))).select("qid", "key")
     short = docs.join(F.broadcast(b.where(~long & (F.col("query") != ""))), F.col("text").contains(F.col("query"))).select("qid", "key")
     pairs = found.unionByName(short)
@@ -431,7 +433,7 @@ def labelled_queries(spark, sf):
 @query(f"select count(distinct b.item_id) as queries, count(distinct p.qid) filter (where p.key % 2 = 0) as usable, count(distinct b.item_id) - count(distinct p.qid) filter (where p.key % 2 = 0) as skipped from benchmark b left join ({_PASSAGES}) p on p.qid = b.item_id")
 def labelled_prune(spark, sf):
     """Labels that are outside a corpus of half the documents are dropped, and queries without any left are skipped."""
-    all_queries = _labelled(spark, sf)
+    all_queries = scratch.kept(_labelled(spark, sf), "labelled")
     left = sampling.labelled_queries(all_queries, _docs(spark, sf).where(F.col("key") % 2 == 0))
     return all_queries.agg(F.count("qid").alias("queries")).crossJoin(left.agg(F.count("qid").alias("usable"))).withColumn("skipped", F.col("queries") - F.col("usable"))  # one row each
 

@@ -49,3 +49,13 @@ def test_no_row_for_each_pair(spark, name):
     """A row for each pair, sorted, was 33 microseconds a pair."""
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" not in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("name", ["labelled_queries", "labelled_prune"])
+def test_runs_of_words_are_found_by_place(spark, monkeypatch, name):
+    """slice() copies the whole array, and split() stood in the lambda: a text's work was the square of its words."""
+    kept = []
+    monkeypatch.setattr(scratch, "kept", lambda df, kind="rows": kept.append(df) or df)
+    df = entry.queries()[name](spark, SF)
+    plan = (kept or [df])[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" not in plan and "transform(array(split(" in plan
