@@ -2,7 +2,8 @@
 
 Rows go to the cell of their nearest pivot. A query first meets its home cell, which bounds the distance of
 its k-th neighbour; then it visits only cells that the triangle inequality doesn't rule out: by the ring that
-a cell's rows lie in, and by the plane between its pivot and the query's nearest one. Cells are compared in tiles of about
+a cell's rows lie in, and by the plane between its pivot and the query's nearest one. Cells lie in groups of about BLOCK rows or
+more; a query goes once to a group, with the cells that it visits there. Groups are compared in tiles of about
 BLOCK queries and BLOCK rows, so a cell with a third of all rows is many tasks, and no task holds a cell. Neither
 table is broadcast; only pivots, and a few numbers for each, go to every task.
 """
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -24,7 +26,7 @@ from spindrift.operators.knn import Nearest, ranked, sized
 from spindrift.sources import scratch
 
 #: Queries, and rows, of a tile; pivots.
-BLOCK, PIVOTS = 2048, 256
+BLOCK, PIVOTS = 16_384, 256
 #: Share of squared lengths by which bounds give way, for what floats lose.
 SLACK = 1e-10
 
@@ -90,7 +92,7 @@ def _placed(rows: DataFrame, pivots: np.ndarray, space: _Space) -> DataFrame:
 
 
 def _visits(queries: DataFrame, pivots: np.ndarray, space: _Space, cells: dict[int, tuple], k: int, first: bool) -> DataFrame:
-    """qid, vector, cells: the home cell alone (``first``), or the others that may hold one of the k nearest, from queries with ``edge`` (null: not bounded yet)."""
+    """qid, vector, edge, cells: the home cell alone (``first``), or the others that may hold one of the k nearest, from queries with ``edge`` (null: not bounded yet)."""
     qid, vector = queries.schema["qid"].dataType.simpleString(), queries.schema["vector"].dataType.simpleString()
     some = np.array(sorted(cells))
     n, low, high = (np.array([cells[c][i] for c in some], np.float64) for i in range(3))
@@ -105,6 +107,7 @@ def _visits(queries: DataFrame, pivots: np.ndarray, space: _Space, cells: dict[i
             every = _apart(x, pivots)
             d = every[:, some]
             home = np.where(full, d, np.inf).argmin(1) if full.any() else d.argmin(1)
+            edges = pa.nulls(b.num_rows, pa.float64()) if first else b["edge"]
             if first:
                 found = [[int(some[h])] for h in home]
             else:
@@ -118,32 +121,56 @@ def _visits(queries: DataFrame, pivots: np.ndarray, space: _Space, cells: dict[i
                 may = least <= (reach + 1e-5 * np.sqrt(SLACK) * (1 + reach))[:, None]
                 may[np.arange(len(x)), home] = False
                 found = [some[np.flatnonzero(m)].tolist() for m in may]
-            yield pa.RecordBatch.from_arrays([b["qid"], b["vector"], pa.array(found, pa.list_(pa.int32()))], ["qid", "vector", "cells"])
+            yield pa.RecordBatch.from_arrays([b["qid"], b["vector"], edges, pa.array(found, pa.list_(pa.int32()))], ["qid", "vector", "edge", "cells"])
 
-    return queries.mapInArrow(run, f"qid {qid}, vector {vector}, cells array<int>")
+    return queries.mapInArrow(run, f"qid {qid}, vector {vector}, edge double, cells array<int>")
 
 
-def _tiles(asked: DataFrame, placed: DataFrame, k: int, metric: str, exclude_self: bool) -> DataFrame:
+def _groups(cells: dict[int, tuple]) -> list[int]:
+    """The group of each cell: cells in their order, a group with BLOCK rows is full."""
+    out, group, n = [0] * (max(cells, default=0) + 1), 0, 0
+    for c in sorted(cells):
+        if n >= BLOCK:
+            group, n = group + 1, 0
+        out[c] = group
+        n += cells[c][0]
+    return out
+
+
+def _tiles(asked: DataFrame, placed: DataFrame, cells: dict[int, tuple], k: int, metric: str, exclude_self: bool) -> DataFrame:
     """qid, key, distance: of each tile the k nearest of every query."""
     qid, key = asked.schema["qid"].dataType, placed.schema["key"].dataType
     schema = pa.schema([("qid", to_arrow_type(qid)), ("key", to_arrow_type(key)), ("distance", pa.float64())])
     parts = lambda n: F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(n)
-    visits = asked.select("qid", "vector", F.explode("cells").alias("cell"))
-    sizes = F.broadcast(visits.groupBy("cell").agg(parts("na")).join(placed.groupBy("cell").agg(parts("nb")), "cell"))  # a row for each pivot at most
+    numbers = F.array(*map(F.lit, _groups(cells)))
+    group = lambda c: F.get(numbers, c)
+    visits = asked.select("qid", "vector", "edge", "cells", F.explode(F.array_distinct(F.transform("cells", group))).alias("group"))
+    rows = placed.withColumn("group", group(F.col("cell")))
+    sizes = F.broadcast(visits.groupBy("group").agg(parts("na")).join(rows.groupBy("group").agg(parts("nb")), "group"))  # a row for each pivot at most
+    tiles = sizes.agg(F.sum(F.col("na") * F.col("nb"))).first()[0] or 1
+    spread = min(2 * tiles, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # stated, as small inputs of much work would be put together
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = visits.join(sizes, "cell").select("cell", dealt("qid", "na").alias("a"), each("nb").alias("b"), "qid", "vector")
-    right = placed.join(sizes, "cell").select("cell", each("na").alias("a"), dealt("key", "nb").alias("b"), "key", "vector")
+    here = F.filter("cells", lambda c: group(c) == F.col("group"))
+    left = visits.join(sizes, "group").select("group", dealt("qid", "na").alias("a"), each("nb").alias("b"), "qid", "vector", "edge", here.alias("cells"))
+    right = rows.join(sizes, "group").select("group", each("na").alias("a"), dealt("key", "nb").alias("b"), "key", "vector", "cell")
 
     def tile(q: pa.Table, d: pa.Table) -> pa.Table:
         if not q.num_rows or not d.num_rows:
             return schema.empty_table()
         ((qids, x),), ((keys, y),) = (sized(t[c].combine_chunks(), t["vector"].combine_chunks()) for t, c in ((q, "qid"), (d, "key")))
-        found = Nearest(qids, x, k, metric, exclude_self)
-        found.add(keys, y)
+        found = Nearest(qids, x, k, metric, exclude_self, np.asarray(q["edge"].to_numpy(), np.float64))
+        visited = q["cells"].combine_chunks()
+        at, to = np.asarray(pa.compute.list_parent_indices(visited)), np.asarray(visited.flatten())
+        order, cell = np.argsort(to, kind="stable"), d["cell"].to_numpy()
+        at, to = at[order], to[order]
+        for c in np.unique(cell).tolist():
+            some = cell == c
+            found.add(keys[some], y[some], at[np.searchsorted(to, c) : np.searchsorted(to, c, "right")])
         return pa.Table.from_batches([found.batch(schema)])
 
-    by = ["cell", "a", "b"]
+    by = ["group", "a", "b"]
+    left, right = left.repartition(spread, *by), right.repartition(spread, *by)
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(tile, f"qid {qid.simpleString()}, key {key.simpleString()}, distance double")
 
 
@@ -165,10 +192,10 @@ def knn_pivots(queries: DataFrame, rows: DataFrame, k: int = 10, metric: str = "
         placed = scratch.kept(_placed(own, centres, space), "cells")
         cells = {r.cell: (r.n, r.low, r.high) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("away").alias("low"), F.max("away").alias("high")).collect()}  # a row for each pivot at most
         home = scratch.kept(_visits(asked, centres, space, cells, k, True), "home")
-        near = scratch.kept(ranked(_tiles(home, placed, k, metric, exclude_self), k).drop("rank"), "near")
+        near = scratch.kept(ranked(_tiles(home, placed, cells, k, metric, exclude_self), k).drop("rank"), "near")
         edge = near.groupBy("qid").agg(F.when(F.count("*") >= k, F.max("distance")).alias("edge"))
         others = scratch.kept(_visits(home.select("qid", "vector").join(edge, "qid", "left"), centres, space, cells, k, False), "visits")
-        hits += [near, _tiles(others, placed, k, metric, exclude_self)]
+        hits += [near, _tiles(others, placed, cells, k, metric, exclude_self)]
         counts = placed.groupBy("cell").agg(F.count("*").alias("n"))
         met = home.unionByName(others).select(F.explode("cells").alias("cell")).join(F.broadcast(counts), "cell").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("compared"))
         work.append(home.agg((F.count("*") * F.lit(sum(c[0] for c in cells.values()))).alias("pairs")).crossJoin(met))  # one row each
