@@ -64,7 +64,7 @@ _WORD = re.compile(r"\w+")
 _STOP = frozenset(STOPWORDS)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def _digest(word: str) -> bytes:
     return hashlib.blake2b(word.encode(), digest_size=8).digest()
 
@@ -94,13 +94,19 @@ class Answer(list):
     tokens: int | None = None
 
 
+#: Rows whose texts and vectors a task holds as Python objects.
+HELD = 256
+
+
 def embedded(docs: DataFrame, model: Callable[[list[str]], list[list[float]]], dims: int | None = None, batch: int = 64, parallel: int = 1) -> DataFrame:
     """key, vector, error, tokens: texts through a model in batches, ``parallel`` of them at a time in each task; null texts are left out.
 
     Where a call fails, or gives vectors of another number or size than it should, the batch is halved
     until single rows fail: one bad text costs no other its vector, and no stage fails. What a call counted as
-    tokens is in its first row, 0 in its others; null where it counted none."""
+    tokens is in its first row, 0 in its others; null where it counted none. A task has the texts and vectors of about HELD rows as Python objects at
+    once, or of eight rounds of calls."""
     key_type = docs.schema["key"].dataType
+    held = batch * max(8 * parallel, -(-HELD // batch))  # whole calls
 
     def isolated(texts: list[str]) -> list[tuple[list[float] | None, str | None, int | None]]:
         try:
@@ -120,12 +126,13 @@ def embedded(docs: DataFrame, model: Callable[[list[str]], list[list[float]]], d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(parallel) as pool:
             for b in batches:
-                texts = b["text"].to_pylist()
-                calls = [texts[i : i + batch] for i in range(0, len(texts), batch)]
-                out = [r for answers in (map if parallel == 1 else pool.map)(isolated, calls) for r in answers]
-                if out:
+                for start in range(0, b.num_rows, held):
+                    part = b.slice(start, held)
+                    texts = part["text"].to_pylist()
+                    calls = [texts[i : i + batch] for i in range(0, len(texts), batch)]
+                    out = [r for answers in (map if parallel == 1 else pool.map)(isolated, calls) for r in answers]
                     vector, error, tokens = zip(*out)
-                    yield pa.RecordBatch.from_arrays([b["key"], pa.array(vector, pa.list_(pa.float32())), pa.array(error, pa.string()), pa.array(tokens, pa.int64())], ["key", "vector", "error", "tokens"])
+                    yield pa.RecordBatch.from_arrays([part["key"], pa.array(vector, pa.list_(pa.float32())), pa.array(error, pa.string()), pa.array(tokens, pa.int64())], ["key", "vector", "error", "tokens"])
 
     return docs.select("key", "text").where("text is not null").mapInArrow(run, f"key {key_type.simpleString()}, vector array<float>, error string, tokens long")
 

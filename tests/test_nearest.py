@@ -59,3 +59,24 @@ def test_runs_of_words_are_found_by_place(spark, monkeypatch, name):
     df = entry.queries()[name](spark, SF)
     plan = (kept or [df])[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "slice(" not in plan and "transform(array(split(" in plan
+
+
+def test_a_task_holds_few_texts_as_objects(spark):
+    """All texts of an Arrow batch, ten thousand rows, were objects at once, and their vectors too."""
+    from spindrift.operators import embed
+
+    docs = spark.range(3000).coalesce(1).selectExpr("id as key", "cast(id as string) as text")
+
+    def model(texts):
+        import sys
+
+        frame, held = sys._getframe(), 0
+        while frame:
+            held = max([held, *(len(v) for v in frame.f_locals.values() if isinstance(v, list) and v and isinstance(v[0], str))])
+            frame = frame.f_back
+        return [[float(held), float(t)] for t in texts]
+
+    for batch, parallel in ((1, 1), (64, 1), (100, 1)):
+        got = embed.embedded(docs, model, 2, batch, parallel).collect()
+        assert len(got) == 3000 and all(r.vector[1] == r.key for r in got)
+        assert max(r.vector[0] for r in got) <= 8 * batch + embed.HELD
