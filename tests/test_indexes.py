@@ -117,3 +117,15 @@ def test_a_round_compares_no_all_pairs(rows):
     g = graph.Graph.build(rows, 4, rounds=0)
     plan = graph._joined(g.rows, g.edges.withColumn("new", F.lit(True)), 4, "cosine")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_cells_leave_little_to_descent(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CELL", 256, raising=False)
+    many = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    own = graph.Graph.build(many, 16, rounds=0).edges.select(F.col("key").alias("qid"), F.col("other").alias("key"), "distance")
+    assert recall(own, knn.knn_block(many.select(F.col("key").alias("qid"), "vector"), many, exclude_self=True)) >= 0.9
+
+
+def test_search_moves_no_vectors_of_queries(rows, queries):
+    g = graph.Graph.build(rows, 16)
+    assert hits(g.search(queries, most=64 * 10)) == hits(g.search(queries))  # in ten blocks or so, and in one
