@@ -12,6 +12,7 @@ from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,39 +26,35 @@ STOPWORDS = (
 ).split()
 
 
-def _bag(words: DataFrame, dims: int) -> DataFrame:
-    """key, vector from (key, idx, sign), one row for each word: signed sums, damped, normalized, made dense."""
-    sums = words.groupBy("key", "idx").agg(F.sum("sign").alias("c")).where("c <> 0")
-    damped = sums.withColumn("w", F.signum("c") * (1 + F.log(F.abs("c"))))
-    packed = damped.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))  # dims entries at most
-    zeros = lambda k: F.array_repeat(F.lit(0.0), k)
-    # each cell with the zeros before it, then the zeros after the last
-    before = lambda x, i: x["idx"] - F.coalesce(F.get("m", i - 1)["idx"], F.lit(-1)) - 1
-    dense = F.concat(F.flatten(F.transform("m", lambda x, i: F.concat(zeros(before(x, i)), F.array(x["w"] / F.col("n"))))), zeros(F.lit(dims - 1) - F.element_at("m", -1)["idx"]))
-    return packed.select("key", dense.cast("array<float>").alias("vector"))
-
-
-def _words(docs: DataFrame, stopwords: list[str]) -> DataFrame:
-    """key, word: every word of every text, in lower case; stop words only where there are no others."""
-    w = F.regexp_extract_all(F.lower("text"), F.lit(T.WORD), F.lit(0))
-    stop = F.array(*map(F.lit, stopwords))
-    own = docs.select("key", w.alias("all")).withColumn("some", F.filter("all", lambda x: ~F.array_contains(stop, x)))
-    return own.select("key", F.explode(F.when(F.size("some") > 0, F.col("some")).otherwise(F.col("all"))).alias("word"))
-
-
-def _dense(docs: DataFrame, bags: DataFrame, dims: int) -> DataFrame:
-    """Texts without words get the zero vector."""
-    zero = F.array_repeat(F.lit(0.0).cast("float"), dims)
-    return docs.select("key").join(bags, "key", "left").select("key", F.coalesce("vector", zero).alias("vector"))
+def _md5_vectors(words: pa.Array, dims: int) -> np.ndarray:
+    """A row for each list of words: signed sums, damped, normalized. Each word of the batch is hashed once; stop words count only where there are no others."""
+    n = len(words)
+    row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+    coded = words.flatten().dictionary_encode()
+    place, own = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    digests = np.frombuffer(b"".join(hashlib.md5(w.encode(), usedforsecurity=False).digest() for w in own), np.uint8).reshape(-1, 16)
+    cell = np.ascontiguousarray(digests[:, :4]).view(">u4").ravel().astype(np.int64) % dims
+    sign = np.where(digests[:, 4] >> 4 & 1, 1.0, -1.0)
+    stop = np.array([w in _STOP for w in own], bool)[place]
+    kept = ~stop | (np.bincount(row[~stop], minlength=n) == 0)[row]
+    sums = np.bincount(row[kept] * dims + cell[place[kept]], sign[place[kept]], n * dims).reshape(n, dims)
+    damped = np.sign(sums) * (1 + np.log(np.maximum(np.abs(sums), 1)))
+    length = np.sqrt((damped**2).sum(1, keepdims=True))
+    return (damped / np.where(length > 0, length, 1)).astype(np.float32)
 
 
 def hash_md5(docs: DataFrame, dims: int) -> DataFrame:
     """key, vector: the hashing model with a hash that SQL has: the first eight hexadecimal digits of a word's MD5 choose the cell, the next one's parity the sign.
 
-    Another vector space than hash_blake()'s, and named so."""
-    w = _words(docs, STOPWORDS).withColumn("h", F.md5("word"))
-    w = w.select("key", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(dims)).cast("int").alias("idx"), F.when(F.conv(F.substring("h", 9, 1), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1).alias("sign"))
-    return _dense(docs, _bag(w, dims), dims)
+    Another vector space than hash_blake()'s, and named so. Texts without words get the zero vector. Nothing is shuffled."""
+    own = docs.select("key", F.regexp_extract_all(F.lower("text"), F.lit(T.WORD), F.lit(0)).alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = _md5_vectors(b["words"], dims)
+            yield pa.RecordBatch.from_arrays([b["key"], pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * dims), pa.array(v.ravel()))], ["key", "vector"])
+
+    return own.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, vector array<float>")
 
 
 _WORD = re.compile(r"\w+")

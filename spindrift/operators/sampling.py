@@ -72,7 +72,7 @@ def bench_queries(docs: DataFrame, n: int, seed: str = "0") -> tuple[DataFrame,
         "key", F.when(good, F.get("parts", F.col("i"))).when(F.size("w") >= 20, F.array_join(F.slice("w", F.lit(1), cut), " ")).alias("query"),
         F.when(good, F.col("rest")).when(F.size("w") >= 20, F.array_join(F.slice("w", cut + 1, F.size("w")), " ")).alias("left"),
     ).where("query is not null")
-    chosen = spread(made, n, "key", seed)
+    chosen = scratch.kept(spread(made, n, "key", seed), "queries")  # read for documents, queries and what is relevant: made once
     edited = docs.join(chosen.select("key", "left"), "key", "left").withColumn("text", F.coalesce("left", "text")).drop("left")
     return edited, chosen.select("key", "query")
 

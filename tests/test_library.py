@@ -209,6 +209,18 @@ def test_hashing_models(spark):
         assert all(math.isclose(sum(x * x for x in got[k]), 1, rel_tol=1e-5) for k in (1, 2, 4))
 
 
+def test_queries_are_made_once_and_md5_vectors_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(i, f"The sentence number {i} here has exactly nine whole words. Another sentence {i} stands here with several more words.") for i in range(40)] + [(99, None)], "key long, text string")
+    edited, queries = sampling.bench_queries(docs, 10)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan(edited) and "regexp" not in plan(queries) and queries.count() == 10
+    vectors = embed.hash_md5(docs, 16)
+    assert "Exchange" not in vectors._jdf.queryExecution().executedPlan().toString() and vectors.where("vector[0] is null or size(vector) <> 16").count() == 0
+    digest = hashlib.md5("cat".encode()).hexdigest()
+    got = embed.hash_md5(spark.createDataFrame([(1, "The cat")], "key long, text string"), 16).first().vector
+    assert got == [(1.0 if int(digest[8], 16) % 2 else -1.0) if i == int(digest[:8], 16) % 16 else 0.0 for i in range(16)]
+
+
 def test_bad_rows_are_isolated(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(99, None)], "key long, text string")
 
