@@ -3,18 +3,16 @@
 follow() reduces every micro-batch to the newest change of each id and merges it into the table's next version.
 Applying a batch twice changes nothing, so a restarted stream needs no more than its checkpoint.
 
-winners() keeps, in the state store, what each id's newest change is, tombstones too, and passes on only changes that
-win; keep_up() merges these into a table of buckets, so that a batch writes what it changes and reads nothing back.
+winners() keeps, in the state store, what each id's newest change is, tombstones too, and passes on the newest of all for the ids
+a batch touches; keep_up() merges these into a table of buckets, so that a batch writes these ids alone and reads nothing back.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from spindrift.sources import scratch
 from spindrift.sources.buckets import BucketTable
 from spindrift.sources.tables import VectorTable
 
@@ -41,43 +39,16 @@ def follow(stream: DataFrame, table: VectorTable, checkpoint: str, key: str = "i
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class _Newest(StatefulProcessor):
-    """One id's newest change, a tombstone or not: its time in microseconds (null is oldest) and its order (smaller wins ties)."""
-
-    def __init__(self, names: list[str], order: str):
-        self.names, self.order = names, order
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("newest", "at long, place long")
-
-    def handleInputRows(self, key, rows: Iterator, timers) -> Iterator:  # noqa: N802  the interface's name
-        import pandas as pd
-
-        have, best = self.held.get(), None
-        rank = None if have is None else (have[0] is not None, have[0] or 0, -have[1])
-        for part in rows:
-            part.columns = self.names  # some names don't come through
-            own = part["_at"].isna()
-            for i in range(len(part)):
-                r = (not own.iloc[i], 0 if own.iloc[i] else int(part["_at"].iloc[i]), -int(part[self.order].iloc[i]))
-                if rank is None or r > rank:
-                    rank, best = r, part.iloc[[i]]
-        if best is None:
-            return
-        self.held.update((rank[1] if rank[0] else None, -rank[2]))
-        yield pd.DataFrame(best.drop(columns="_at"))
-
-    def close(self) -> None:
-        pass
-
-
 def winners(stream: DataFrame, key: str = "id", at: str = "updated_at", order: str = "event_id") -> DataFrame:
-    """The changes that are newer than all before of their id, whatever order they come in.
+    """Of each id that a batch touches the newest change of all so far, whatever order they come in: null times are oldest, ties go to the smaller ``order``.
 
-    Two numbers an id are kept, of deleted ones for ever: the store's timers keep a query that should end running, so no change is ever taken
-    for new because a tombstone was forgotten. Needs the RocksDB state store (state_store())."""
-    rows = stream.withColumn("_at", F.unix_micros(F.col(at).cast("timestamp")))
-    return rows.groupBy(key).transformWithStateInPandas(_Newest(rows.columns, order), stream.schema, "Update", "None")
+    An aggregate in update mode: tasks reduce a batch to a row an id, and the state store has one change an id, of deleted ones for ever, as
+    nothing takes it out; so no change is ever taken for new because a tombstone was forgotten. An id whose newest change is an
+    older batch's comes again, which changes nothing. Uses the RocksDB state store (state_store())."""
+    when = F.col(at).cast("timestamp")
+    rank = F.struct(when.isNotNull(), when, -F.col(order))
+    newest = F.max_by(F.struct(*[c for c in stream.columns if c != key]), rank)
+    return stream.groupBy(key).agg(newest.alias("_r")).select(*[F.col(c) if c == key else F.col(f"_r.{c}").alias(c) for c in stream.columns])
 
 
 def state_store(spark) -> None:
@@ -92,10 +63,10 @@ def keep_up(stream: DataFrame, table: BucketTable, checkpoint: str, name: str =
     state_store(stream.sparkSession)
 
     def merge(batch: DataFrame, number: int) -> None:
-        batch.persist()
+        batch = scratch.kept(batch, "batch")  # read twice; the state is gone through once
         gone = F.coalesce(F.col(deleted), F.lit(False))
         table.merge(batch.where(~gone).drop(deleted), batch.where(gone).select(key), (name, number))
-        batch.unpersist()
+        scratch.drop(batch)
         table.compact()
 
     changes = winners(stream, key, at, order)

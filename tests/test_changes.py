@@ -139,3 +139,13 @@ def test_late_changes_do_not_bring_deleted_ids_back(spark, tmp_path):
     put((1, 150, False, 9.0, 4), (2, 90, False, 8.0, 5))
     run(spark, t, tmp_path)
     assert [(r.id, r.value) for r in t.read().collect()] == [(2, 2.0)]
+
+
+def test_feed_keeps_newest_changes_without_python(spark, tmp_path):
+    df, _ = changes(spark)
+    df.write.parquet(f"{tmp_path}/in")
+    newest = feed.winners(spark.readStream.schema(SCHEMA).parquet(f"file://{tmp_path}/in"))
+    plan = newest._jdf.queryExecution().analyzed().toString()
+    assert newest.columns == df.columns and "Aggregate" in plan and "Pandas" not in plan and "TransformWithState" not in plan
+    best = feed.winners(df)  # a batch gives the same
+    assert rows_of(best.where("not coalesce(deleted, false)").select("id", "event_id", "value")) == rows_of(migrate.newest(df, order="event_id").select("id", "event_id", "value"))
