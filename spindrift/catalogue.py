@@ -530,9 +530,8 @@ def embed_md5_64(spark, sf):
 
 @query()
 def bench_leaderboard_md5(spark, sf):
-    """Two hashing models ranked on queries taken out of the documents. No SQL: near ties of 32-bit vectors fall as the order of sums does."""
+    """Two hashing models ranked on queries taken out of the documents, whose texts are used whole. No SQL: near ties of 32-bit vectors fall as the order of sums does."""
     docs, queries = sampling.bench_queries(_docs(spark, sf).select("key", "text"), 50)
-    docs = docs.withColumn("text", T.clip("text"))
     qrels = queries.select(F.col("key").alias("qid"), "key")
     out = None
     for n, dims in enumerate((16, 64)):

@@ -221,6 +221,16 @@ def test_queries_are_made_once_and_md5_vectors_without_a_shuffle(spark):
     assert got == [(1.0 if int(digest[8], 16) % 2 else -1.0) if i == int(digest[:8], 16) % 16 else 0.0 for i in range(16)]
 
 
+def test_leaderboard_reads_texts_to_their_end(spark, tmp_path):
+    from spindrift.catalogue import QUERIES
+
+    words = lambda i: [f"w{i}{c}" for c in "abcdefgh"]
+    texts = [(i, "the " * 2500 + f"end. One {' '.join(words(i))}. One {' '.join(reversed(words(i)))}.", "en", "s") for i in range(30)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.name: r for r in QUERIES["bench_leaderboard_md5"](spark, str(tmp_path)).collect()}
+    assert all(r.queries == 30 for r in got.values()) and got["hash-md5/64"].recall_at_1 == 1
+
+
 def test_bad_rows_are_isolated(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(99, None)], "key long, text string")
 
