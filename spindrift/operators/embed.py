@@ -27,7 +27,7 @@ STOPWORDS = (
 
 
 def _md5_vectors(words: pa.Array, dims: int) -> np.ndarray:
-    """A row for each list of words: signed sums, damped, normalized. Each word of the batch is hashed once; stop words count only where there are no others."""
+    """A row for each list of words: signed sums, damped, normalized. Each word of the lists is hashed once; stop words count only where there are no others."""
     n = len(words)
     row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
     coded = words.flatten().dictionary_encode()
@@ -43,7 +43,11 @@ def _md5_vectors(words: pa.Array, dims: int) -> np.ndarray:
     return (damped / np.where(length > 0, length, 1)).astype(np.float32)
 
 
-def hash_md5(docs: DataFrame, dims: int) -> DataFrame:
+#: Words whose cells and signs a task holds at once; a longer text is held whole.
+WORDS = 1_000_000
+
+
+def hash_md5(docs: DataFrame, dims: int, held: int = WORDS) -> DataFrame:
     """key, vector: the hashing model with a hash that SQL has: the first eight hexadecimal digits of a word's MD5 choose the cell, the next one's parity the sign.
 
     Another vector space than hash_blake()'s, and named so. Texts without words get the zero vector. Nothing is shuffled."""
@@ -51,8 +55,12 @@ def hash_md5(docs: DataFrame, dims: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = _md5_vectors(b["words"], dims)
-            yield pa.RecordBatch.from_arrays([b["key"], pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * dims), pa.array(v.ravel()))], ["key", "vector"])
+            upto = np.cumsum(pc.fill_null(pc.list_value_length(b["words"]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            edges = [0, *(np.flatnonzero(np.diff(upto // held)) + 1).tolist(), b.num_rows]
+            for start, end in zip(edges, edges[1:]):
+                part = b.slice(start, end - start)
+                v = _md5_vectors(part["words"], dims)
+                yield pa.RecordBatch.from_arrays([part["key"], pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * dims), pa.array(v.ravel()))], ["key", "vector"])
 
     return own.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, vector array<float>")
 

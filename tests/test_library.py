@@ -231,6 +231,12 @@ def test_leaderboard_reads_texts_to_their_end(spark, tmp_path):
     assert all(r.queries == 30 for r in got.values()) and got["hash-md5/64"].recall_at_1 == 1
 
 
+def test_md5_vectors_are_the_same_however_many_words_are_held(spark):
+    texts = ["cat " * n + f"w{n} the" for n in (0, 1, 2, 50, 3, 0, 7)] + ["", None, "the the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string").coalesce(1)
+    assert embed.hash_md5(docs, 16, held=5).collect() == embed.hash_md5(docs, 16).collect() and embed.hash_md5(docs.where("key >= 7"), 16, held=1).count() == 3
+
+
 def test_bad_rows_are_isolated(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(99, None)], "key long, text string")
 
